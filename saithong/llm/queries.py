@@ -37,6 +37,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), shingle=2, percent=80)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saithong.llm.pii import personal_data
 
@@ -51,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
