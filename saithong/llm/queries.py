@@ -16,6 +16,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.llm.common import hashed_mod
+    from saithong.llm.suffix_tree import score, train
+
+    docs, held_out = _docs(spark, sf_dir), hashed_mod(F.col("doc_id"), 10) == 0
+    return score(docs, train(docs.filter(~held_out)), extra={"held_out": held_out})
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saithong.llm.quality import quality
 
@@ -57,6 +65,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_suffix_tree_scores, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
