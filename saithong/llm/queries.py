@@ -16,6 +16,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.llm.common import hashed_mod
+    from saithong.llm.langid import identify
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = hashed_mod(F.col("doc_id"), 4) == 2
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out), keep=("held_out",))
+
+
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saithong.llm.common import hashed_mod
     from saithong.llm.suffix_tree import score, train
@@ -65,6 +74,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_suffix_tree_scores, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_suffix_tree_scores, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
