@@ -60,6 +60,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), shingle=2, percent=80)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.llm.linededup import line_summary
+
+    return line_summary(_docs(spark, sf_dir))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saithong.llm.pii import personal_data
 
@@ -74,6 +80,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_suffix_tree_scores, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_suffix_tree_scores, op4_quality_rules, op5_repair_token_ids, op6_decontamination, op7_near_duplicates, op8_line_dedup, op9_personal_data, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
