@@ -249,3 +249,9 @@ def proximity_hits(docs: DataFrame, phrases: list[str], slop: int, *, id_col: st
                 yield pa.RecordBatch.from_arrays([b.column("ids")[i].values.take(pa.array(doc)), pa.array([names[k] for k in item[row]], pa.string()), pa.array(at - block.first[doc])], [id_col, "phrase", "at"])
 
     return index.mapInArrow(run, f"`{id_col}` {kind}, phrase string, at bigint")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", broadcast_ids: int = 1_000_000, **options) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns. Rows with one id go together; rows with a null id stay."""
+    bad = cut(decontaminate(docs, items, id_col=id_col, **options).filter("contaminated").groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).select("_id"), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= broadcast_ids else bad, F.col(id_col) == F.col("_id"), "left_anti")

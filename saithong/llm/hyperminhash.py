@@ -253,3 +253,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns; of rows with one id, one. The ids to drop are sent to the texts if they are few (counted), else joined."""
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).select(F.col(id_col).alias("_id"), "kept"), "kept")
+    dropped = found.filter(~F.col("kept")).groupBy("_id").agg(F.count("*").alias("n")).select("_id")
+    few = dropped.count() <= _BROADCAST_IDS
+    out = docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("_id"), "left_anti")
+    again = cut(found.filter("kept and _id is not null").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "again")
+    n = again.count()
+    if n == 0:
+        return out
+    again = F.broadcast(again) if n <= _BROADCAST_IDS else again
+    once = out.join(again, F.col(id_col) == F.col("_id"), "left_anti")
+    return once.unionByName(out.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
