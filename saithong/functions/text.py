@@ -240,12 +240,12 @@ def replace_wrep(tokens: Column | str, *, number: bool = True) -> Column:
 
 
 def lowercase_all(tokens: Column | str) -> Column:
-    return F.transform(as_column(tokens), F.lower)
+    return F.transform(as_column(tokens), lambda t: F.lower(t))
 
 
 def remove_space(tokens: Column | str) -> Column:
     """Tokens trimmed, empty ones dropped."""
-    return F.filter(F.transform(as_column(tokens), F.trim), lambda t: t != "")
+    return F.filter(F.transform(as_column(tokens), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def strip_whitespace(tokens: Column | str) -> Column:

@@ -1,4 +1,7 @@
-"""Queries of the text operators over the driver's tables, with their SQL."""
+"""Queries of the text operators over the driver's tables, with their SQL.
+
+The SQL is written on its own: it shares no expression with the Spark plan. Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,432 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saithong.functions import dates as D
+from saithong.functions import numbers as N
+from saithong.functions import text as T
+from saithong.operators import corpus as R
+from saithong.operators import lexical as L
+from saithong.operators import segment as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: A few frequent words of the generated prose.
+STOP_WORDS = ["the", "and", "of", "to", "in", "a", "it", "de", "la", "der", "die", "und"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _stop_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+
+
+_STOP_SQL = "(VALUES " + ", ".join(f"('{w}')" for w in STOP_WORDS) + ") AS s(word)"
+_TOKENS_SQL = "regexp_extract_all(text, '(?:[-a-zA-Z]+|\\p{Nd}+(?:[,.]\\p{Nd}+)*|[ \\t]+|\\r?\\n|[^\\x{0E00}-\\x{0E7F} \\t\\r\\n]+|\\r)')"
+_WORDS_SQL = f"list_filter(list_transform({_TOKENS_SQL}, lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+def _with_words(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return _table(spark, sf_dir, table).withColumn("tokens", S.foreign_tokenize("text", keep_whitespace=False))
+
+
+def _sql_number(n: str, digits: int = 12) -> str:
+    """SQL for a whole number from 0 on in Thai words, of up to 12 digits."""
+    names = "['', 'หนึ่ง', 'สอง', 'สาม', 'สี่', 'ห้า', 'หก', 'เจ็ด', 'แปด', 'เก้า']"
+    digit = lambda place: f"CAST(substr(lpad(CAST({n} AS VARCHAR), {digits}, '0'), {digits - place}, 1) AS INT)"
+    pieces = []
+    for block in range(digits // 6 - 1, -1, -1):
+        low = 6 * block
+        for place, unit in ((5, "แสน"), (4, "หมื่น"), (3, "พัน"), (2, "ร้อย")):
+            pieces.append(f"CASE WHEN {digit(low + place)} > 0 THEN {names}[{digit(low + place)} + 1] || '{unit}' ELSE '' END")
+        tens, ones = digit(low + 1), digit(low)
+        pieces.append(f"CASE {tens} WHEN 0 THEN '' WHEN 1 THEN 'สิบ' WHEN 2 THEN 'ยี่สิบ' ELSE {names}[{tens} + 1] || 'สิบ' END")
+        alone = f"{n} = 1" if block == 0 else f"({n} // {10**low}) % 1000000 = 1"
+        pieces.append(f"CASE WHEN {ones} = 1 AND NOT ({alone}) THEN 'เอ็ด' ELSE {names}[{ones} + 1] END")
+        if block:
+            pieces.append(f"CASE WHEN {n} >= {10**low} THEN 'ล้าน' ELSE '' END")
+    return f"CASE WHEN {n} = 0 THEN 'ศูนย์' ELSE " + " || ".join(pieces) + " END"
+
+
+# Tokens, counts, keywords
+
+
+@query(f"""
+WITH t AS (SELECT lang, unnest({_WORDS_SQL}) AS token FROM documents),
+c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL)
+SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS place FROM c
+QUALIFY place <= 10""")
+def token_freq_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of newmm's native form, counted; the ten most frequent of each language."""
+    from pyspark.sql import Window
+
+    counts = R.rank(_with_words(spark, sf_dir), "tokens", "lang")
+    placed = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token")))
+    return placed.filter("place <= 10").select("lang", "token", "n", "place")
+
+
+@query(f"SELECT doc_id, len({_TOKENS_SQL}) AS n_tokens, CAST(list_sum(list_transform({_TOKENS_SQL}, lambda x: length(x))) AS BIGINT) AS n_chars_kept, md5(array_to_string({_TOKENS_SQL}, '|')) AS tokens_md5 FROM documents")
+def word_tokenize_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The native tokenizer for texts without Thai: all tokens of all texts."""
+    t = _table(spark, sf_dir, "documents").select("doc_id", S.foreign_tokenize("text").alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars_kept"), F.md5(F.array_join("t", "|").cast("binary")).alias("tokens_md5"))
+
+
+@query(f"""
+WITH t AS (SELECT unnest({_WORDS_SQL}) AS token FROM documents)
+SELECT token, count(*) AS n FROM t WHERE token NOT IN (SELECT word FROM {_STOP_SQL}) GROUP BY token""")
+def rank_without_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank(_with_words(spark, sf_dir), "tokens", stop_words=_stop_words(spark))
+
+
+@query(f"""
+WITH t AS (SELECT source, unnest({_WORDS_SQL}) AS token FROM documents)
+SELECT source, token, count(*) AS n FROM t WHERE token NOT IN (SELECT word FROM {_STOP_SQL}) GROUP BY ALL HAVING count(*) >= 20""")
+def find_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.find_keyword(_with_words(spark, sf_dir), "tokens", "source", stop_words=_stop_words(spark), least=20)
+
+
+@query(f"""
+WITH d AS (SELECT lang, {_WORDS_SQL} AS t FROM documents),
+g AS (SELECT lang, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i : i + n - 1], ' '))) AS ngram FROM d, (VALUES (2), (3)) AS k(n))
+SELECT lang, CAST(n AS INT) AS n, ngram, count(*) AS count FROM g GROUP BY ALL HAVING count(*) >= 5""")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ngram_counts(_with_words(spark, sf_dir), "tokens", "lang", least=2, most=3).filter("count >= 5")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS token, generate_subscripts({_WORDS_SQL}, 1) AS pos FROM documents),
+c AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first FROM t WHERE token NOT IN (SELECT word FROM {_STOP_SQL}) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS place FROM c)
+SELECT doc_id, CAST(place AS INT) AS place, token, n FROM p WHERE place <= 5 AND n >= 2""")
+def extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.extract_keywords(_with_words(spark, sf_dir), "tokens", "doc_id", most=5, least=2, stop_words=_stop_words(spark))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)),
+w AS (SELECT doc_id, line, unnest(string_split(sentence, ' ')) AS word FROM s),
+c AS (SELECT doc_id, word, count(*) AS c FROM w WHERE word NOT IN (SELECT word FROM {_STOP_SQL}) GROUP BY ALL),
+f AS (SELECT doc_id, word, c / max(c) OVER (PARTITION BY doc_id) AS f FROM c),
+x AS (SELECT w.doc_id, w.line, sum(f.f) AS score FROM w JOIN f ON w.doc_id = f.doc_id AND w.word = f.word WHERE f.f > 0.1 AND f.f < 0.9 GROUP BY ALL),
+r AS (SELECT s.doc_id, s.sentence, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(coalesce(x.score, 0), 9) DESC, s.line) AS place FROM s LEFT JOIN x ON s.doc_id = x.doc_id AND s.line = x.line)
+SELECT doc_id, CAST(place AS INT) AS place, sentence FROM r WHERE place <= 2""")
+def summarize_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return R.summarize_by_frequency(docs, "lines", "doc_id", n=2, stop_words=_stop_words(spark))
+
+
+# Metrics
+
+
+_PAIRS_SQL = f"(SELECT a.conv_id AS k, string_split(a.text, ' ') AS r, string_split(b.text, ' ') AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn = (SELECT min(turn) FROM conversations))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second turns of conversations, as words."""
+    t = _table(spark, sf_dir, "conversations")
+    first = t.agg(F.min("turn").alias("m"))
+    a = t.join(F.broadcast(first), F.col("turn") == F.col("m")).select(F.col("conv_id").alias("k"), (F.col("turn") + 1).alias("n"), F.split("text", " ").alias("r"))
+    b = t.select("conv_id", "turn", F.split("text", " ").alias("h"))
+    return a.join(b, (F.col("k") == F.col("conv_id")) & (F.col("n") == F.col("turn"))).select("k", "r", "h")
+
+
+def _rouge_sql(n: int) -> str:
+    gram = f"list_transform(range(1, len({{}}) - {n} + 2), lambda i: array_to_string({{}}[i : i + {n - 1}], chr(31)))"
+    return f"""
+WITH p AS {_PAIRS_SQL},
+a AS (SELECT k, g, count(*) AS c FROM (SELECT k, unnest({gram.format('r', 'r')}) AS g FROM p) GROUP BY ALL),
+b AS (SELECT k, g, count(*) AS c FROM (SELECT k, unnest({gram.format('h', 'h')}) AS g FROM p) GROUP BY ALL),
+o AS (SELECT a.k, sum(least(a.c, b.c)) AS o FROM a JOIN b ON a.k = b.k AND a.g = b.g GROUP BY a.k),
+s AS (SELECT p.k, coalesce(o.o, 0) AS o, greatest(len(r) - {n - 1}, 0) AS nr, greatest(len(h) - {n - 1}, 0) AS nh FROM p LEFT JOIN o ON p.k = o.k),
+q AS (SELECT k, CASE WHEN nh > 0 THEN o / nh ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN o / nr ELSE 0.0 END AS r FROM s)
+SELECT k, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS fmeasure FROM q"""
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+@query(_rouge_sql(1))
+def rouge_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.rouge_n(_pairs(spark, sf_dir), "r", "h", "k", 1), "precision", "recall", "fmeasure")
+
+
+@query(_rouge_sql(2))
+def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.rouge_n(_pairs(spark, sf_dir), "r", "h", "k", 2), "precision", "recall", "fmeasure")
+
+
+@query()
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rouge_l(_pairs(spark, sf_dir), "r", "h", "k")
+
+
+@query()
+def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("k", R.word_error_rate("r", "h").alias("wer"))
+
+
+@query()
+def longest_common_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select("k", F.array_join(F.slice("r", 1, 5), " ").alias("a"), F.array_join(F.slice("h", 1, 5), " ").alias("b"))
+    return pairs.select("k", R.lcs("a", "b").alias("lcs"))
+
+
+@query("SELECT s_suppkey, p_partkey, round(levenshtein(p_name, s_name) / length(p_name), 9) AS cer FROM part JOIN supplier ON p_partkey = s_suppkey")
+def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _table(spark, sf_dir, "part").join(_table(spark, sf_dir, "supplier"), F.col("p_partkey") == F.col("s_suppkey"))
+    return j.select("s_suppkey", "p_partkey", F.round(R.character_error_rate("p_name", "s_name"), 9).alias("cer"))
+
+
+_GRAMS = "list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string({0}[i : i + n - 1], chr(31)))"
+
+
+@query(f"""
+WITH p AS {_PAIRS_SQL}, k4 AS (SELECT unnest([1, 2, 3, 4]) AS n),
+a AS (SELECT k, n, g, count(*) AS c FROM (SELECT k, n, unnest({_GRAMS.format('r')}) AS g FROM p, k4) GROUP BY ALL),
+b AS (SELECT k, n, g, count(*) AS c FROM (SELECT k, n, unnest({_GRAMS.format('h')}) AS g FROM p, k4) GROUP BY ALL),
+c AS (SELECT b.n, sum(least(b.c, coalesce(a.c, 0))) AS clip, sum(b.c) AS total FROM b LEFT JOIN a ON a.k = b.k AND a.n = b.n AND a.g = b.g GROUP BY b.n),
+q AS (SELECT exp(sum(ln(CASE WHEN clip = 0 THEN 1 / (2 * total) ELSE clip / total END)) / 4) AS m, count(*) AS orders FROM c),
+l AS (SELECT sum(len(h)) AS h, sum(len(r)) AS r FROM p)
+SELECT round(CASE WHEN orders = 4 THEN 100 * m * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END ELSE 0 END, 6) AS bleu, CAST(h AS BIGINT) AS hyp_length, CAST(r AS BIGINT) AS ref_length FROM q, l""")
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).withColumn("refs", F.array("r"))
+    return R.bleu(pairs, "refs", "h", "k").select(F.round("bleu", 6).alias("bleu"), "hyp_length", "ref_length")
+
+
+@query("""
+WITH d AS (SELECT doc_id, string_split(replace(regexp_extract(text, '^[^\\n]*'), '|', ''), ' ') AS w FROM documents),
+v AS (SELECT doc_id, list_filter(w, lambda x: x <> '') AS e FROM d),
+e AS (SELECT doc_id, unnest(list_transform(range(1, len(e) + 1), lambda i: length(array_to_string(e[1 : i - 1], '')))) AS s, unnest(list_transform(range(1, len(e) + 1), lambda i: length(array_to_string(e[1 : i], '')))) AS f FROM v),
+g AS (SELECT doc_id, list_transform(range(0, (len(e) + 1) // 2), lambda i: array_to_string(e[2 * i + 1 : 2 * i + 2], '')) AS a FROM v),
+a AS (SELECT doc_id, unnest(list_transform(range(1, len(a) + 1), lambda i: length(array_to_string(a[1 : i - 1], '')))) AS s, unnest(list_transform(range(1, len(a) + 1), lambda i: length(array_to_string(a[1 : i], '')))) AS f FROM g),
+j AS (SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, count(e.s) FILTER (a.s IS NOT NULL) AS tp, count(a.s) FILTER (e.s IS NULL) AS fp, count(e.s) FILTER (a.s IS NULL) AS fn, count(a.f) FILTER (a.f = e.f) AS correct, count(a.s) AS words, count(e.s) AS expected_words FROM e FULL JOIN a ON e.doc_id = a.doc_id AND e.s = a.s GROUP BY 1)
+SELECT doc_id, CAST(tp AS INT) AS tp, CAST(fp AS INT) AS fp, CAST(length(array_to_string(e, '')) - tp - fp - fn AS INT) AS tn, CAST(fn AS INT) AS fn, CAST(correct AS INT) AS correct, CAST(words AS INT) AS words, CAST(expected_words AS INT) AS expected_words FROM j JOIN v USING (doc_id)""")
+def segmentation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines cut into words, and into pairs of words."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.translate(F.regexp_extract("text", "^([^\n]*)", 1), "|", ""), " "), lambda w: w != "").alias("e"))
+    pairs = F.when(F.size("e") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("e") + 1) / 2).cast("int") - 1), lambda i: F.array_join(F.slice("e", 2 * i + 1, F.lit(2)), ""))).otherwise(F.array().cast("array<string>"))
+    d = d.filter(F.size("e") > 0).select("doc_id", F.array_join("e", "|").alias("x"), F.array_join(pairs, "|").alias("y"))
+    return R.segmentation_stats(d, "x", "y", "doc_id").drop("indicators")
+
+
+# Texts
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, ' {2,}', ' ', 'g'), '[ \\n]*\\n[ \\n]*', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages")
+def squeeze_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", T.remove_dup_spaces("html").alias("text"))
+
+
+@query("""
+SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '#39;', ''''), 'amp;', '&'), '#146;', ''''), 'nbsp;', ' '), '#36;', '$'), '\\n', chr(10)), 'quot;', ''''), '<br />', chr(10)), '\\"', '"'), '<unk>', 'xxunk'), ' @.@ ', '.'), ' @-@ ', '-'), ' @,@ ', ','), '\\', ' \\ '), '&lt;', '<'), '&gt;', '>'), ' {2,}', ' ', 'g')) AS fixed FROM pages""")
+def fix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(T.fix_html("html").cast("binary")).alias("fixed"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([/#\\n])', ' \\1 ', 'g'), ' {2,}', ' ', 'g')) AS spaced FROM documents")
+def spec_add_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.rm_useless_spaces(T.spec_add_spaces("text")).cast("binary")).alias("spaced"))
+
+
+_WREP_SQL = """
+WITH w AS (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY i) AS island FROM w),
+r AS (SELECT conv_id, turn, w, min(i) AS i, count(*) AS n FROM g GROUP BY conv_id, turn, w, island)
+SELECT conv_id, turn, string_agg(CASE WHEN n > 1 THEN 'xxwrep ' || CAST(n - 1 AS VARCHAR) || ' ' ELSE '' END || w, ' ' ORDER BY i) AS said FROM r GROUP BY ALL"""
+
+
+@query(_WREP_SQL)
+def word_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.replace_wrep(F.split("text", " ")), " ").alias("said"))
+    return c.filter("said <> ''")
+
+
+@query("SELECT o_orderkey, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS thai, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '0123456789') AS back FROM orders")
+def digits_thai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thai = T.arabic_to_thai_digits(F.col("o_orderkey").cast("string"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", thai.alias("thai"), T.thai_to_arabic_digits(thai).alias("back"))
+
+
+@query(f"SELECT o_orderkey, {_sql_number('o_orderkey')} AS words, {_sql_number('(o_orderkey * 1000003)')} AS more FROM orders")
+def thai_number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", N.num_to_thaiword(k).alias("words"), N.num_to_thaiword(k * 1_000_003).alias("more"))
+
+
+_SATANG = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, {_sql_number(f'({_SATANG} // 100)')} || 'บาท' || CASE WHEN {_SATANG} % 100 = 0 THEN 'ถ้วน' ELSE {_sql_number(f'({_SATANG} % 100)', 6)} || 'สตางค์' END AS said FROM orders WHERE o_totalprice > 0")
+def baht_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").filter("o_totalprice > 0").select("o_orderkey", N.bahttext("o_totalprice").alias("said"))
+
+
+@query()
+def decimal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", N.num_to_thaiword_float("p_retailprice").alias("said"))
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in D.MONTHS) + "]"
+_DAYS = "[" + ", ".join(f"'{m}'" for m in D.WEEKDAYS) + "]"
+
+
+@query(f"SELECT o_orderkey, {_DAYS}[isodow(o_orderdate)] || 'ที่ ' || CAST(day(o_orderdate) AS VARCHAR) || ' ' || {_MONTHS}[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) + 543 AS VARCHAR) AS said, translate(strftime(o_orderdate, '%d/%m/') || CAST(year(o_orderdate) + 543 AS VARCHAR), '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS short FROM orders")
+def thai_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.thai_strftime("o_orderdate", "%Aที่ %-d %B %Y").alias("said"), D.thai_strftime("o_orderdate", "%x", thai_digits=True).alias("short"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
+def thai_date_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = D.thai_strftime("o_orderdate", "%d %B %Y")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.thai_strptime(said, "%d %B %Y", zone=None).cast("date").cast("string").alias("d"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) + 543 AS VARCHAR) AS be, CAST(year(o_orderdate) + 543 - 2324 AS VARCHAR) AS re, CAST(year(o_orderdate) + 543 - 1122 AS VARCHAR) AS ah, ['ชวด','ฉลู','ขาล','เถาะ','มะโรง','มะเส็ง','มะเมีย','มะแม','วอก','ระกา','จอ','กุน'][(year(o_orderdate) + 8) % 12 + 1] AS animal FROM orders")
+def eras_and_zodiac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.year("o_orderdate")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", *(N.convert_years(y, "ad", e).alias(e) for e in ("be", "re", "ah")), N.th_zodiac(y).alias("animal"))
+
+
+@query()
+def time_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", *(D.time_to_thaiword("ts", f).alias(f"said_{f}") for f in ("24h", "6h", "m6h")))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thai texts made of numbers and dates."""
+    said = F.concat(N.num_to_thaiword("o_orderkey"), D.thai_strftime("o_orderdate", " %-d %B"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"), "o_orderdate")
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, ({_sql_number('o_orderkey')}) || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ' ' || {_MONTHS}[month(o_orderdate)] AS said FROM orders)
+SELECT o_orderkey, length(regexp_replace(said, '[^กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ]', '', 'g')) AS consonants, length(regexp_replace(said, '[^่้๊๋]', '', 'g')) AS tonemarks, round(100.0 * length(regexp_replace(said, '[^ก-๛]', '', 'g')) / length(regexp_replace(said, '[ 0-9]', '', 'g')), 9) AS thai FROM s""")
+def thai_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = T.count_thai_chars("said")
+    return _spoken(spark, sf_dir).select("o_orderkey", counts["consonants"].alias("consonants"), counts["tonemarks"].alias("tonemarks"), F.round(T.count_thai("said"), 9).alias("thai"))
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_sql_number('o_orderkey')} AS said FROM orders),
+k AS (SELECT o_orderkey, said, regexp_replace(regexp_replace(said, '[็-์]', '', 'g'), '([เ-ไ])([ก-ฮ])', '\\2\\1', 'g') || regexp_extract(said, '[็-์]') AS key FROM s)
+SELECT o_orderkey, key, row_number() OVER (ORDER BY key, o_orderkey) AS place FROM k QUALIFY place <= 500""")
+def collation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 numbers in the order of a Thai dictionary."""
+    from pyspark.sql import Window
+
+    k = _table(spark, sf_dir, "orders").select("o_orderkey", T.collation_key(N.num_to_thaiword("o_orderkey")).alias("key"))
+    first = k.orderBy("key", "o_orderkey").limit(500)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("key", "o_orderkey")))
+
+
+_NUMBER_WORDS = [*T.DIGIT_WORDS, "เอ็ด", "ยี่", *N.PLACES[1:], "ล้าน"]
+
+
+@query()
+def newmm_on_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in words, cut with a dictionary of number words and read back."""
+    words = S.broadcast_words(spark, [*_NUMBER_WORDS, *D.MONTHS])
+    return _spoken(spark, sf_dir).select("o_orderkey", S.word_tokenize("said", words, keep_whitespace=False).alias("tokens"), S.word_tokenize("said", words, engine="longest").alias("longest"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS n FROM orders")
+def thaiword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = N.num_to_thaiword("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", L.arrow(L.thaiword_to_num, "bigint")(said).alias("n"))
+
+
+@query()
+def tcc_on_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spoken(spark, sf_dir).select("o_orderkey", S.subword_tokenize("said").alias("clusters"), T.display_cells("said").alias("cells"))
+
+
+@query()
+def soundex_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = N.num_to_thaiword("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", *(L.soundex(said, e).alias(e) for e in ("udom83", "lk82", "metasound", "prayut_and_somchaip")))
+
+
+# Lookups, classes, vectors
+
+_PLACES_SQL = "(VALUES ('in', 'B-LOCATION'), ('of', 'B-LOCATION')) AS p(word, tag)"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS token, generate_subscripts({_WORDS_SQL}, 1) - 1 AS pos FROM documents)
+SELECT doc_id, CAST(pos AS INT) AS pos, token, coalesce(tag, 'O') AS tag FROM t LEFT JOIN {_PLACES_SQL} ON token = word""")
+def tag_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = spark.createDataFrame([("in",), ("of",)], "word string")
+    return R.tag_locations(_with_words(spark, sf_dir), "tokens", places, "doc_id")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_WORDS_SQL} AS t FROM documents)
+SELECT doc_id, list_has_any(t, ['worthless', 'hate']) AS found, md5(array_to_string(list_transform(t, lambda x: CASE WHEN x IN ('worthless', 'hate') THEN repeat('*', length(x)) ELSE x END), '')) AS censored FROM t""")
+def censor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = ["worthless", "hate"]
+    d = _with_words(spark, sf_dir)
+    return d.select("doc_id", R.contains_listed("tokens", listed).alias("found"), F.md5(R.censor_listed("tokens", listed).cast("binary")).alias("censored"))
+
+
+@query(f"""
+WITH t AS (SELECT {_WORDS_SQL} AS t FROM documents),
+b AS (SELECT w1, w2, count(*) AS n FROM (SELECT unnest(t[1 : len(t) - 1]) AS w1, unnest(t[2 :]) AS w2 FROM t) GROUP BY ALL),
+u AS (SELECT w1, count(*) AS m FROM (SELECT unnest(t) AS w1 FROM t) GROUP BY ALL)
+SELECT w1, w2, n, round(n / m, 9) AS prob FROM b JOIN u USING (w1) WHERE n >= 5""")
+def bigram_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _with_words(spark, sf_dir)
+    pair = F.filter(R.ngrams("tokens", 2), lambda g: F.size(g) == 2)
+    bi = d.select(F.explode(pair).alias("g")).groupBy(F.col("g")[0].alias("w1"), F.col("g")[1].alias("w2")).agg(F.count("*").alias("n")).filter("n >= 5")
+    uni = d.select(F.explode("tokens").alias("w1")).groupBy("w1").agg(F.count("*").alias("n"))
+    return _rounded(R.ngram_probabilities(bi, uni), "prob")
+
+
+@query("""
+SELECT a.vec_id, b.vec_id AS near, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = e.select(F.col("vec_id").alias("near"), F.col("embedding").alias("other"))
+    return e.join(b, F.col("near") == F.col("vec_id") + 1).select("vec_id", "near", F.round(R.cosine("embedding", "other"), 6).alias("cosine"))
+
+
+@query()
+def gzip_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of the second turns of conversations by compression, from four given texts."""
+    known = [("the and of to in that was for with his they this have from one had by word", "en"), ("der die und das nicht von mit auf für ist im dem zu ein eine den", "de"), ("le la les des et dans pour que qui une sur avec est pas au du", "fr"), ("el la los de que y en un por con para una su al lo como más", "es")]
+    return R.gzip_knn(_table(spark, sf_dir, "benchmark"), "text", "item_id", known)
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT a.word, b.word AS candidate, CAST(levenshtein(a.word, b.word) AS INT) AS distance FROM w a, w b WHERE levenshtein(a.word, b.word) <= 2""")
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return L.similar_words(words, words.withColumn("n", F.lit(1))).select("word", "candidate", "distance")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most frequent words of each language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
-    return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return token_freq_top10(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
