@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut
+from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
 DEPTH = 2
 #: A word, or a context with its next word, is kept in the model if at least this share of the training tokens is it. So each level has at most 1 / SHARE entries.
@@ -24,7 +25,7 @@ _BACK = 50.0  # weight of a suffix's distribution in that of its context, in tok
 _GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
 END = b"\n"  # stands for the end in the tables of counts; no word has white space
 _OTHER, _START = 0, 1  # numbers of words beyond the vocabulary, and of a text's beginning
-_FLUSH = 2_000_000
+_FLUSH = 6_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -34,26 +35,17 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
-        column = pc.fill_null(b.column("text"), "").cast(pa.binary())
-        for start, end in by_bytes(column, 1 << 20):
-            yield b.slice(start, end - start), column[start:end].to_pylist()
+        column = pc.fill_null(b.column("text"), "")
+        for start, end in by_bytes(column, 8 << 20):
+            yield b.slice(start, end - start), column[start:end]
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
-
-    counts: Counter = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
     for _, texts in _texts(batches):
-        for t in texts:
-            counts.update(tokens(t))
-        if len(counts) > _FLUSH:
-            yield flush()
-            counts.clear()
-    if counts:
-        yield flush()
+        words, numbers, _ = word_numbers(texts, lower=True)
+        yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.r_[np.bincount(numbers, minlength=len(words)), len(texts)].astype(np.int64))], ["word", "n"])
 
 
 class Model:
@@ -69,12 +61,17 @@ class Model:
         self.unknown = math.log10(0.1 / (n + 0.1 * (v + 1)))
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # keys, log10 of probabilities, contexts, log10 of escapes
 
-    def ids(self, toks: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens, with a start before each text; where each text starts)."""
-        get = self.number.get
-        sizes = np.fromiter((len(t) + 1 for t in toks), np.int64, len(toks))
-        flat = np.fromiter((x for t in toks for x in (_START, *map(get, t, [_OTHER] * len(t)))), np.int64, int(sizes.sum()))
-        return flat, np.cumsum(sizes) - sizes
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(numbers of all tokens, with a start before each text and an end behind it; where each text starts; its words as word_numbers() has them, and their numbers here)."""
+        words, numbers, sizes = word_numbers(texts, lower=True)
+        own = np.fromiter(map(self.number.get, words, repeat(_OTHER)), np.int64, len(words))
+        first = np.cumsum(sizes + 2) - sizes - 2
+        flat = np.full(int((sizes + 2).sum()), _START, np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[first] = inside[first + sizes + 1] = False
+        flat[inside] = own[numbers]
+        flat[first + sizes + 1] = self.number.get(END, _OTHER)
+        return flat, first, (words, numbers, sizes, own)
 
     @staticmethod
     def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -90,25 +87,34 @@ class Model:
         state = np.zeros(size, np.int64)  # the empty context
         for k, (_, _, ctx, _) in enumerate(self.levels, 1):
             before = np.r_[np.full(k, -1), flat[: size - k]] if size > k else np.full(size, -1)
+            before[before == self.number.get(END)] = -1  # a context doesn't reach into the text before
             state = np.where((state >= 0) & (before > _OTHER), self.find(ctx, np.where(before > _OTHER, (state << 32) | np.maximum(before, 0), -1)), -1)
             out.append(state)
         return out
 
-    def score(self, toks: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Per text: (base, model) log10 probabilities but for the base terms of words beyond the vocabulary; and those words."""
-        flat, first = self.ids(toks)
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Per text: its tokens; (base, model) log10 probabilities but for the base terms of words beyond the vocabulary; and those words."""
+        flat, first, (words, numbers, sizes, own) = self.ids(texts)
         base = self.base[flat]
         score = base.copy()
         for (keys, prob, _, escape), state in zip(self.levels, self.contexts(flat), strict=True):
-            inside = state >= 0
+            inside = np.flatnonzero(state >= 0)
             score[inside] += escape[state[inside]]
-            at = self.find(keys, np.where(inside & (flat > _START), (state << 32) | flat, -1))
-            score[at >= 0] = prob[at[at >= 0]]
-        score[flat == _START] = 0
-        ends = np.r_[first[1:], len(flat)]
-        rare = [[w for w in t if w not in self.number] for t in toks]
-        total = lambda x: np.add.reduceat(x, first) if len(ends) else x
-        return total(base), total(score), rare
+            at = self.find(keys, (state[inside] << 32) | flat[inside])
+            score[inside[at >= 0]] = prob[at[at >= 0]]
+        score[first] = 0
+        total = lambda x: np.add.reduceat(x, first) if len(first) else x
+        strange = np.r_[(own == _OTHER)[numbers], np.zeros(0, bool)]
+        bounds = np.r_[0, np.cumsum(strange)][np.r_[0, np.cumsum(sizes)]]
+        rare = pa.array(words, pa.binary()).take(pa.array(numbers[strange]))
+        if END not in self.number:  # without training texts
+            return sizes + 1, total(base), total(score), _with_ends(rare, bounds)
+        return sizes + 1, total(base), total(score), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)
+
+
+def _with_ends(rare: pa.Array, bounds: np.ndarray) -> pa.Array:
+    rows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare).to_pylist()
+    return pa.array([[*r, END] for r in rows], pa.list_(pa.binary()))
 
 
 def _pair_counts(model, level: int):
@@ -128,13 +134,18 @@ def _pair_counts(model, level: int):
             return pa.RecordBatch.from_arrays([pa.array(keys[start, 0]), pa.array(keys[start, 1]), pa.array(n)], ["ctx", "word", "n"])
 
         for _, texts in _texts(batches):
-            flat, _ = m.ids([tokens(t) for t in texts])
+            flat, _, _ = m.ids(texts)
             if len(flat) <= level:
                 continue
-            state = m.contexts(flat)[level - 2][level:] if level > 1 else np.zeros(len(flat) - level, np.int64)
-            before, word = flat[: len(flat) - level], flat[level:]
-            ok = (state >= 0) & (before > _OTHER) & (word > _START)
-            held.append(np.stack([(state[ok] << 32) | before[ok], word[ok]], 1))
+            state = m.contexts(flat)[level - 2] if level > 1 else np.zeros(len(flat), np.int64)
+            ok = np.flatnonzero((state[level:] >= 0) & (flat[:-level] > _OTHER) & (flat[:-level] != m.number.get(END)) & (flat[level:] > _START)) + level
+            if level > 1:
+                # What is frequent has frequent parts: the shorter context with the word, and the longer context's other words.
+                keys = m.levels[level - 2][0]
+                ok = ok[m.find(keys, (state[ok] << 32) | flat[ok]) >= 0]
+                outer = m.contexts(flat)[level - 2][ok - 1]
+                ok = ok[(outer < 0) | (m.find(keys, (np.maximum(outer, 0) << 32) | flat[ok - 1]) >= 0)]
+            held.append(np.stack([(state[ok] << 32) | flat[ok - level], flat[ok]], 1))
             size += len(held[-1])
             if size > _FLUSH:
                 yield flush()
@@ -173,7 +184,7 @@ def _grow(model: Model, ctx: np.ndarray, word: np.ndarray, n: np.ndarray, back:
 def train(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, share: float = SHARE, back: float = _BACK, gain: float = _GAIN) -> tuple[Model, DataFrame]:
     """(the tree, a table of the counts of all words). The words' table is complete and stays in Spark; the tree's own levels are bounded by `share` and come to the driver."""
     docs = docs.select(F.col(text_col).alias("text"))
-    counts = cut(docs.mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = cut(docs.mapInArrow(tidied(_word_counts), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(_LEAST, math.ceil(share * n))
     common = counts.filter(F.col("n") >= least).toArrow()
@@ -184,7 +195,7 @@ def train(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, share:
         if not model.number or level > 1 and not len(model.levels[-1][2]):
             break
         sent = docs.sparkSession.sparkContext.broadcast(model)
-        pairs = docs.mapInArrow(_pair_counts(sent, level), "ctx bigint, word bigint, n bigint").groupBy("ctx", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        pairs = docs.mapInArrow(tidied(_pair_counts(sent, level)), "ctx bigint, word bigint, n bigint").groupBy("ctx", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
         sent.unpersist()
         _grow(model, *(pairs.column(k).to_numpy() for k in ("ctx", "word", "n")), back, gain)
     return model, counts
@@ -206,26 +217,24 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame], *, id_col: str = "d
 
         part = TaskContext.get().partitionId()
         for b, texts in _texts(batches):
-            toks = [tokens(t) for t in texts]
-            base, full, rare = m.score(toks)
-            n = np.fromiter(map(len, toks), np.int64, len(toks))
-            n_rare = np.fromiter(map(len, rare), np.int64, len(rare))
-            row = (part << 40) + made + np.arange(len(toks))
-            made += len(toks)
-            columns = [pa.array(row), b.column("id"), b.column("extra"), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.binary()))]
+            n, base, full, rare = m.score(texts)
+            row = (part << 40) + made + np.arange(len(n))
+            made += len(n)
+            n_rare = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
+            columns = [pa.array(row), b.column("id"), b.column("extra"), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(full), rare]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "extra", "n_tokens", "n_common", "base", "full", "rare"])
 
     extra = extra or {}
     rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in extra.items())).alias("extra"), F.col(text_col).alias("text"))
     out = f"row bigint, id {kind}, extra {rows.schema['extra'].dataType.simpleString()}, n_tokens bigint, n_common bigint, base double, full double, rare array<binary>"
-    scored = cut(rows.mapInArrow(run, out), "scored")
+    scored = cut(rows.mapInArrow(tidied(run), out), "scored")
     n, v, unknown = model.n, model.v, model.unknown
     if n == 0:
         unknown = math.log10(0.1 / (0.1 * (v + 1)))
     term = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1))))
-    rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
+    rare = scored.select("row", F.explode("rare").alias("w"))  # each of these words has less than `share` of the tokens: no key is hot
     rare = rare.join(counts.select(F.col("word"), "n"), F.col("w") == F.col("word"), "left")
-    rare = rare.groupBy(F.col("row").alias("r")).agg(F.sum(F.col("times") * term).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
+    rare = rare.groupBy(F.col("row").alias("r")).agg(F.sum(term).alias("more"), F.count("n").alias("found"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = scored.drop("rare").join(rare, F.col("row") == F.col("r"), "left")
     return both.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", (F.col("n_common") + zero("found")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("more")).alias("base_score"), (F.col("full") + zero("more")).alias("score"))
