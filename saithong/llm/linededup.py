@@ -14,6 +14,7 @@ from saithong.llm.components import components
 EDITS = 2
 MIN_CHARS = 24  # shorter lines only equal themselves
 _WORD = 60  # bits of a column of the edit matrix
+_LOOK = 24  # characters behind the common prefix that are looked at first
 _BROADCAST_IDS = 1_000_000
 
 
@@ -36,51 +37,67 @@ def keys_of(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
     return F.array(*own), F.array(*probes)
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings is at most `edits`.
+def _common_prefix(a: Column, b: Column, most: Column) -> Column:
+    """Length of the longest common prefix of two strings, at most `most` (below 2**24): a binary search by comparing pieces."""
+    at = F.lit(0)
+    for bit in (1 << k for k in range(23, -1, -1)):
+        at = let(at, lambda lo, bit=bit: F.when((lo + bit <= most) & (F.substring(a, lo + 1, F.lit(bit)) == F.substring(b, lo + 1, F.lit(bit))), lo + bit).otherwise(lo))
+    return at
+
 
-    Bit-parallel, in a band of 2 * edits + 1 diagonals that one 64-bit word holds: vertical differences of a column of the matrix are two bit vectors, and a step along the shorter string is a dozen word operations.
+def _distance(long: Column, short: Column, steps: Column, edits: int, *, whole: bool) -> Column:
+    """The edit distance of two arrays of characters if it is at most `edits`, else a larger number; without whole, only the value on the matrix's diagonal after so many steps, which it can't undercut by more than 2 * edits.
+
+    Bit-parallel, in a band of 2 * edits + 1 diagonals that one word holds: vertical differences of a column of the matrix are two bit vectors, and a step along the shorter string is a dozen word operations.
     """
     every, top = (1 << _WORD) - 1, _WORD - 1
     bits = lambda x: F.lit(x).cast("bigint")
     flip = lambda x: x.bitwiseXOR(bits(every))
+    n = F.size(long)
+
+    def step(s: Column, i: Column) -> Column:
+        same = None
+        for d in range(2 * edits + 1):  # bit top - d stands for place i + edits - d of the longer string
+            at = i + edits - d
+            bit = F.when((at >= 0) & (F.get(long, F.greatest(at, F.lit(0))) == F.get(short, i)), bits(1 << (top - d))).otherwise(bits(0))
+            same = bit if same is None else same.bitwiseOR(bit)
+
+        def column(d0: Column) -> Column:
+            hp = s["vn"].bitwiseOR(flip(d0.bitwiseOR(s["vp"])))
+            hn = d0.bitwiseAND(s["vp"])
+            low = F.shiftright(d0, 1)
+            along = F.when(d0.bitwiseAND(bits(1 << top)) == 0, 1).otherwise(0)
+            row = lambda v: (v.bitwiseAND(s["mask"]) != 0).cast("int")  # noqa: E731  on the last row
+            on_diagonal = (i < n - edits) if whole else F.lit(True)
+            return F.struct(
+                hn.bitwiseOR(flip(low.bitwiseOR(hp))).alias("vp"), low.bitwiseAND(hp).alias("vn"),
+                (s["dist"] + F.when(on_diagonal, along).otherwise(row(hp) - row(hn))).alias("dist"),
+                F.when(on_diagonal, s["mask"]).otherwise(F.shiftright(s["mask"], 1)).alias("mask"),
+            )
+
+        d0 = let(same, lambda x: (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseAND(bits(every)).bitwiseXOR(s["vp"]).bitwiseOR(x).bitwiseOR(s["vn"]))
+        return F.when(s["dist"] > 3 * edits + 1, s).otherwise(let(d0, column))  # it falls on the last row alone, by at most 2 * edits
+
+    start = F.struct(bits(every ^ ((1 << (_WORD - edits - 1)) - 1)).alias("vp"), bits(0).alias("vn"), F.lit(edits).alias("dist"), bits(1 << (top - 1)).alias("mask"))
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), start, step, lambda s: s["dist"])
 
-    def run(long: Column, short: Column) -> Column:
-        n, m = F.size(long), F.size(short)
-
-        def step(s: Column, i: Column) -> Column:
-            c = F.get(short, i)
-            same = None
-            for d in range(2 * edits + 1):  # bit top - d stands for place i + edits - d of the longer string
-                at = i + edits - d
-                bit = F.when((at >= 0) & (F.get(long, F.greatest(at, F.lit(0))) == c), bits(1 << (top - d))).otherwise(bits(0))
-                same = bit if same is None else same.bitwiseOR(bit)
-            d0 = let(same, lambda x: (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseAND(bits(every)).bitwiseXOR(s["vp"]).bitwiseOR(x).bitwiseOR(s["vn"]))
-
-            def column(d0: Column) -> Column:
-                hp = s["vn"].bitwiseOR(flip(d0.bitwiseOR(s["vp"])))
-                hn = d0.bitwiseAND(s["vp"])
-                low = F.shiftright(d0, 1)
-                along = F.when(d0.bitwiseAND(bits(1 << top)) == 0, 1).otherwise(0)  # on the diagonal
-                row = lambda v: (v.bitwiseAND(s["mask"]) != 0).cast("int")  # noqa: E731  on the last row
-                on_diagonal = i < n - edits
-                return F.struct(
-                    hn.bitwiseOR(flip(low.bitwiseOR(hp))).alias("vp"), low.bitwiseAND(hp).alias("vn"),
-                    (s["dist"] + F.when(on_diagonal, along).otherwise(row(hp) - row(hn))).alias("dist"),
-                    F.when(on_diagonal, s["mask"]).otherwise(F.shiftright(s["mask"], 1)).alias("mask"),
-                )
-
-            return F.when(s["dist"] > 3 * edits + 1, s).otherwise(let(d0, column))  # it falls on the last row alone, by at most 2 * edits
-
-        start = F.struct(bits(every ^ ((1 << (_WORD - edits - 1)) - 1)).alias("vp"), bits(0).alias("vn"), F.lit(edits).alias("dist"), bits(1 << (top - 1)).alias("mask"))
-        distance = F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda s: s["dist"])
-        return F.when(n - m > edits, False).when(m == 0, n <= edits).otherwise(distance <= edits)
 
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether the edit distance of two strings is at most `edits`, by a banded bit-parallel computation behind their common prefix. Pairs that differ more are mostly told by the next few characters."""
     chars = lambda x: F.split(x, "")
+
+    def rest(long: Column, short: Column) -> Column:
+        full = let(chars(long), lambda x: let(chars(short), lambda y: _distance(x, y, F.size(y), edits, whole=True))) <= edits
+        head = let(chars(F.left(long, F.lit(_LOOK + 2 * edits))), lambda x: let(chars(F.left(short, F.lit(_LOOK + 2 * edits))), lambda y: _distance(x, y, F.lit(_LOOK), edits, whole=False)))
+        likely = F.when(F.length(short) <= _LOOK + 2 * edits, True).otherwise(head <= 3 * edits)
+        return F.when(F.length(short) == 0, F.length(long) <= edits).when(~likely, False).otherwise(full)
+
+    def behind(long: Column, short: Column) -> Column:
+        tail = lambda x, p: F.substring(x, p + 1, F.length(x))
+        return F.when(F.length(long) - F.length(short) > edits, False).otherwise(let(_common_prefix(long, short, F.length(short)), lambda p: let(tail(long, p), lambda x: let(tail(short, p), lambda y: rest(x, y)))))
+
     longer = F.length(a) >= F.length(b)
-    long, short = F.when(longer, a).otherwise(b), F.when(longer, b).otherwise(a)
-    empty = F.length(short) == 0
-    return F.when(empty, F.length(long) <= edits).otherwise(let(chars(long), lambda x: let(chars(short), lambda y: run(x, y))))
+    return let(F.when(longer, a).otherwise(b), lambda x: let(F.when(longer, b).otherwise(a), lambda y: behind(x, y)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,17 +117,25 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     long = lines.filter(F.col("n") >= max(min_chars, edits + 1)).select("id", own.alias("own"), probes.alias("probes"))
     distinct = cut(long.dropDuplicates(["id"]), "segments")
     indexed = distinct.select(F.col("id").alias("a"), F.explode("own").alias("key"))
-    probing = distinct.select(F.col("id").alias("b"), F.explode(F.concat("own", "probes")).alias("k"))
-    pairs = indexed.join(probing, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("keys")), "pairs")
-
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("i")).groupBy("i").agg(F.count("*").alias("times")).select("i"), "ids")
-    few = ids.count() <= _BROADCAST_IDS  # counted
-    texts = lines.select("id", "line").join(F.broadcast(ids) if few else ids, F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = cut(texts, "texts")
-    side = lambda x: texts.select(F.col("id").alias(f"i_{x}"), F.col("line").alias(f"l_{x}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("i_a")).join(side("b"), F.col("b") == F.col("i_b"))
-    links = cut(both.filter(within(F.col("l_a"), F.col("l_b"), edits)).select("a", "b"), "links")
+    probing = distinct.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.concat("own", "probes"))).alias("k"))
+    # Keys under which different lines meet. A line meets others under few keys, so only those keys' rows get texts.
+    met = probing.join(indexed, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")), "left_semi")
+    met = cut(met.groupBy("k").agg(F.count("*").alias("n")).select(F.col("k").alias("m")), "met")
+    small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df  # noqa: E731  counted
+    few = small(met)
+    here = cut(indexed.join(few, F.col("key") == F.col("m"), "left_semi"), "here")
+    there = cut(probing.join(few, F.col("k") == F.col("m"), "left_semi"), "there")
+
+    ids = cut(here.select(F.col("a").alias("i")).union(there.select("b")).distinct(), "ids")
+    texts = lines.select("id", "line").join(small(ids), F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    texts = cut(texts.withColumn("n", F.length("line")).select("id", "line", "n", own.alias("own"), F.concat(own, probes).alias("all")), "texts")
+    here = cut(here.join(texts.select("id", F.col("line").alias("l_a"), F.col("n").alias("n_a"), "own"), F.col("a") == F.col("id")).drop("id"), "here")
+    there = cut(there.join(texts.select("id", F.col("line").alias("l_b"), F.col("n").alias("n_b"), "all"), F.col("b") == F.col("id")).drop("id"), "there")
+    # Each pair is verified once, under its smallest common key, and within the join, so that no pairs but links leave it.
+    once = (F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))
+    first_key = F.array_min(F.array_intersect("own", "all")) == F.col("key")
+    near = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & F.when(~(once & first_key), False).otherwise(within(F.col("l_a"), F.col("l_b"), edits))
+    links = cut(here.join(there, near).select(F.col("a"), F.col("b")), "links")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("links"))
     label = components(links)
