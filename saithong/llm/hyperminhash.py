@@ -14,16 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut
+from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 from saithong.llm.components import components
 
 P, R = 8, 10  # 2**P registers; bits of mantissa beside a leading-zero count of 6 bits
 REGISTERS = 1 << P
 BANDS, ROWS = 48, 6  # a pair with a Jaccard similarity of 0.8 shares no band with a probability of 4.6e-7
 _MARGIN = 0.11  # estimates below the threshold by more are not verified: over 4 standard deviations
-_BLOCK = 256
+_BLOCK = 1024
 _BROADCAST_IDS = 1_000_000
-_MEMO = 500_000
 
 _rng = np.random.default_rng(20240)
 _PICK = np.stack([_rng.permutation(REGISTERS)[:ROWS] for _ in range(BANDS)])
@@ -39,35 +38,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of the word shingles of texts (bytes); A-Z lower-cased."""
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each text; A-Z lower-cased. Fewer words make one shingle."""
+    words, numbers, sizes = word_numbers(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[numbers]
 
-    def __init__(self, n: int):
-        self.n = n
-        self.reset()
+    def mix(h: np.ndarray, k: int) -> np.ndarray:
+        s = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            s = mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(s)])
+        return s
 
-    def reset(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.memo) > _MEMO:
-            self.reset()
-        memo = self.memo
-        parts = [t.lower().split() for t in texts]
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in memo))
-        memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-        self.hashes = np.r_[self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))]
-        out = []
-        for p in parts:
-            h = self.hashes[np.fromiter(map(memo.__getitem__, p), np.int64, len(p))]
-            n = min(self.n, len(h)) or 1
-            s = np.full(max(0, len(h) - n + 1), n, np.uint64)
-            for k in range(n):
-                s = mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(s)])
-            s.sort()
-            out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
-        return out
+    every = mix(h, n) if len(h) >= n else h
+    out, at = [], 0
+    for size in sizes.tolist():
+        s = np.sort(every[at : at + size - n + 1]) if size >= n else mix(h[at : at + size], size) if size else h[:0]
+        out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
+        at += size
+    return out
 
 
 def registers(s: np.ndarray) -> np.ndarray:
@@ -117,32 +105,31 @@ def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").cast(pa.binary())
-            for start, end in by_bytes(texts, 1 << 20):
-                sets = shingler(texts[start:end].to_pylist())
+            texts = pc.fill_null(b.column(1), "")
+            for start, end in by_bytes(texts, 4 << 20):
+                sets = shingle_sets(texts[start:end], n)
                 keys = band_keys(np.stack([filled(registers(s)) for s in sets]))
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
                 digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array(sizes), digest, bands], ["id", "n", "digest", "bands"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n bigint, digest binary, bands array<bigint>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, n bigint, digest binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, s): the sets of hashes of docs (id, text), as bytes."""
+    """(id, s, half, regs) of docs (id, text), as bytes: the sets of hashes, their upper halves, and their registers."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").cast(pa.binary())
-            for start, end in by_bytes(texts, 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array([s.tobytes() for s in shingler(texts[start:end].to_pylist())], pa.binary())], ["id", "s"])
+            texts = pc.fill_null(b.column(1), "")
+            for start, end in by_bytes(texts, 4 << 20):
+                sets = shingle_sets(texts[start:end], n)
+                yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()), pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["id", "s", "half", "regs"])
 
-    return docs.mapInArrow(run, f"id {kind}, s binary")
+    return docs.mapInArrow(tidied(run), f"id {kind}, s binary, half binary, regs binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -163,26 +150,48 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(likely and _similar(a, b, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.mapInArrow(tidied(run), f"a {kind}, b {kind}")
+
+
+def _likely(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[float, int, int]]:
+    """(minus the estimate, i, j) of the pairs of a block, of different components (and sides, if there are two), whose estimate comes near the threshold."""
+    two, found, every = side.min() != side.max(), [], np.arange(len(n))
+    for i in range(len(n)):
+        j = np.flatnonzero((comp != comp[i]) & (every > i) & ((side != side[i]) if two else True) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        if len(j):
+            e = estimate(regs[i], regs[j], n[i], n[j])
+            near = e >= percent / 100 - _MARGIN
+            found += zip((-e[near]).tolist(), [i] * int(near.sum()), j[near].tolist(), strict=True)
+    return found
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _promising(percent: int):
+    """Of a block's rows (key, kind, x, y, side, label, a, n, regs) those in a likely pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        regs = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("regs").combine_chunks()])
+        pairs = _likely(regs, table.column("n").to_numpy(), _codes(table.column("label"))[1], table.column("side").to_numpy(), percent)
+        rows = sorted({k for _, i, j in pairs for k in (i, j)})
+        return table.drop_columns(["n", "regs"]).take(pa.array(rows, pa.int64()))
+
+    return run
 
 
 def _joined_in_block(percent: int):
-    """Links between components within a block of a bucket (or two blocks), of rows (label, s, side); once two components are joined no more links between them are looked for."""
+    """Pairs (a, b) whose half hashes say that they link components of a block, of rows (label, a, half, side); once two components are joined no more links between them are looked for.
+
+    Half hashes rarely agree by chance, and never nearly often enough to make up a hundredth of a set; whoever is that near to the threshold is returned but joins nothing.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        label, side = table.column("label").combine_chunks(), table.column("side").to_numpy()
-        codes = label.dictionary_encode()
-        names, comp = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s").combine_chunks()]
+        names, comp = _codes(table.column("label"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(32) for x in table.column("half").combine_chunks()]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        regs = np.stack([registers(s) for s in sets])
-        two = side.min() != side.max()
-        found = []
-        for i in range(len(sets)):
-            j = np.flatnonzero((comp != comp[i]) & (np.arange(len(sets)) > i) & ((side != side[i]) if two else True) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(j):
-                e = estimate(regs[i], regs[j], n[i], n[j])
-                found += [(-v, i, k) for v, k in zip(e.tolist(), j.tolist(), strict=True) if v >= percent / 100 - _MARGIN]
         root = list(range(len(names)))
 
         def top(x: int) -> int:
@@ -191,13 +200,14 @@ def _joined_in_block(percent: int):
             return x
 
         out = []
-        for _, i, k in sorted(found):
+        for _, i, k in sorted(_likely(np.stack([registers(s) for s in sets]), n, comp, table.column("side").to_numpy(), percent)):
             x, y = top(comp[i]), top(comp[k])
-            if x != y and _similar(sets[i], sets[k], percent):
-                root[x] = y
-                out.append((comp[i], comp[k]))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table([names.take(pa.array(a, pa.int64())), names.take(pa.array(b, pa.int64()))], ["a", "b"])
+            if x != y and _similar(sets[i], sets[k], percent - 1):
+                out.append((i, k))
+                if _similar(sets[i], sets[k], percent + 1):
+                    root[x] = y
+        a, b = (pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ())))
+        return pa.table([table.column("a").take(a), table.column("a").take(b)], ["a", "b"])
 
     return run
 
@@ -233,16 +243,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut(_confirm(pairs, percent), "links")
     label = components(links)
 
-    # Buckets that still hold several components: all pairs between them, in blocks.
-    labelled = cut(member.filter("members > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label")), "labelled")
-    mixed_up = cut(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k")), "mixed")
-    blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
-    left = labelled.join(mixed_up, F.col("key") == F.col("k")).select("key", "label", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    left = left.select("key", "label", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = left.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "label", F.col("rep").alias("a"))
-    left = with_sets(cut(left, "left"), "a").withColumnRenamed("s_a", "s").select("key", "x", "y", "side", "label", "s")
-    more = cut(left.groupBy("key", "x", "y").applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "links")
-    top = components(more)
+    # Buckets that still hold several components: all pairs between them, in blocks. The largest component needs none within itself, so only the others' rows are repeated for each of its blocks.
+    labelled = cut(member.filter("members > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("a"), "n", F.coalesce("label", "rep").alias("label")), "labelled")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    several = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
+    several = cut(several.select("k", F.col("most.label").alias("main"), F.ceil(F.col("most.c") / _BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("most.c")) / _BLOCK).cast("int").alias("n_rest")), "several")
+    left = labelled.join(several, F.col("key") == F.col("k"))
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("a")
+    own = F.when(is_main, F.pmod(h, "n_main")).otherwise(F.pmod(h, "n_rest")).cast("int")
+    place = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    main = F.transform(upto("n_rest"), lambda j: place(0, own, j, F.lit(0)))
+    rest = F.concat(F.transform(upto("n_main"), lambda i: place(0, i, own, F.lit(1))), F.transform(upto("n_rest"), lambda j: place(1, F.least(own, j), F.greatest(own, j), own)))
+    left = left.select("key", "label", "a", "n", F.explode(F.when(is_main, main).otherwise(rest)).alias("p")).select("key", "p.*", "label", "a", "n")
+    with_regs = cut(left, "left").join(sets.select(F.col("id").alias("i"), "regs"), F.col("a") == F.col("i")).drop("i")
+    block = ["key", "kind", "x", "y"]
+    left = cut(with_regs.groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}"), "promising")
+    left = left.join(sets.select(F.col("id").alias("i"), "half"), F.col("a") == F.col("i")).select(*block, "side", "label", "a", "half")
+    more = cut(left.groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely").distinct()
+    more = _confirm(with_sets(with_sets(more, "a"), "b").select("a", "b", "s_a", "s_b"), percent)
+    by = lambda side: label.select(F.col("node").alias(f"n_{side}"), F.col("label").alias(f"l_{side}"))
+    more = more.join(by("a"), F.col("a") == F.col("n_a"), "left").join(by("b"), F.col("b") == F.col("n_b"), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    top = components(cut(more, "more"))
 
     before = label.select(F.col("node").alias("l_node"))
     label = label.join(top.select(F.col("node").alias("t_node"), F.col("label").alias("t_label")), F.col("label") == F.col("t_node"), "left").select("node", F.coalesce("t_label", "label").alias("label"))
