@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut
+from saithong.llm.common import cut, tidied, word_numbers
 
 WINDOW = 13
 _BLOCK_BYTES = 8 << 20
@@ -32,15 +32,11 @@ def fold(text: bytes) -> list[bytes]:
 
 def index_block(texts: list[bytes]) -> tuple[bytes, bytes, bytes, bytes, bytes]:
     """The columns of INDEX for a block of documents."""
-    words = [fold(t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for p in words for w in p), np.int32, int(sizes.sum()))
+    words, ids, sizes = word_numbers(pa.array([t.translate(_FOLD) for t in texts], pa.binary()))
     first = np.cumsum(sizes + 1) - sizes - 1
-    at = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(ids, kind="stable")
-    ends = np.cumsum(np.bincount(ids, minlength=len(number)))
-    return b" ".join(number), ends.astype("<u4").tobytes(), at[order].astype("<u4").tobytes(), first.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()
+    at = (np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)).astype("<u4")
+    ends = np.cumsum(np.bincount(ids, minlength=len(words)))
+    return b" ".join(words), ends.astype("<u4").tobytes(), at[np.argsort(ids, kind="stable")].tobytes(), first.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()
 
 
 class Block:
@@ -147,7 +143,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if texts:
             yield flush()
 
-    return cut(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{INDEX}, ids array<{kind}>, block string"), "postings")
+    return cut(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"{INDEX}, ids array<{kind}>, block string"), "postings")
 
 
 def phrases_of(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
@@ -193,7 +189,7 @@ def _lookup(index: DataFrame, items: list[tuple], window: int, id_col: str) -> D
                 columns = [[b.column("block")[i].as_py()] * len(first), np.arange(len(first)), b.column("ids")[i].values, sizes, before[first + sizes] - before[first], pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.ListArray.from_arrays(bounds, runs)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["block", "place", id_col, "n_words", "n_hit", "items", "runs"])
 
-    return index.mapInArrow(run, f"block string, place bigint, `{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, runs array<struct<start: bigint, end: bigint>>")
+    return index.mapInArrow(tidied(run), f"block string, place bigint, `{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, runs array<struct<start: bigint, end: bigint>>")
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, rows: int) -> Iterator[list[tuple]]:
@@ -248,7 +244,7 @@ def proximity_hits(docs: DataFrame, phrases: list[str], slop: int, *, id_col: st
                 doc = np.searchsorted(block.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([b.column("ids")[i].values.take(pa.array(doc)), pa.array([names[k] for k in item[row]], pa.string()), pa.array(at - block.first[doc])], [id_col, "phrase", "at"])
 
-    return index.mapInArrow(run, f"`{id_col}` {kind}, phrase string, at bigint")
+    return index.mapInArrow(tidied(run), f"`{id_col}` {kind}, phrase string, at bigint")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", broadcast_ids: int = 1_000_000, **options) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes
+from saithong.llm.common import by_bytes, tidied
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -239,4 +239,4 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
                 scores += np.clip(p[np.arange(len(p)), best], 0, 1).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + k) for k in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, *keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, {kept}lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), f"`{id_col}` {kind}, {kept}lang_pred string, score double")

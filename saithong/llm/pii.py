@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saithong.llm.common import tidied
+
 # The patterns of the base kinds.
 _EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -133,4 +135,4 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], [id_col, *names])
 
     out = f"`{id_col}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, found array<struct<kind: string, start: bigint, end: bigint, score: double>>"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), out)

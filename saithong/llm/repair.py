@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,54 +15,60 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut
+from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
 END = 1
-_MEMO = 400_000
+_MEMO = 500_000
 _BLOCK = 1 << 20  # ids in a shard, about; a longer document makes a shard of its own
 #: One row of the file format. rules: pairs of symbols, uint32; a rule's own symbol is n_ids plus its place. lengths: ids that each rule expands to, uint32. symbols: the compressed sequence, uint32 or uint16. doc_sizes, doc_symbols: ids and symbols of each document, uint32.
 SHARD = "part int, shard int, n_ids int, width int, n_tokens bigint, rules binary, lengths binary, symbols binary, doc_sizes binary, doc_symbols binary"
 
 
-def grammar(ids: np.ndarray, last: np.ndarray, n_ids: int, *, rounds: int = 6, per_round: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths, last): in each round the most frequent pairs of neighbours, at most per_round and `least` times each, become new symbols; a pair never spans two documents (last marks their ends)."""
-    seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
-    top = n_ids
+def grammar(ids: np.ndarray, sizes: np.ndarray, n_ids: int, *, rounds: int = 6, per_round: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths, symbols of each document) for the ids of documents of these sizes, none 0: in each round the most frequent pairs of neighbours, at most per_round and `least` times each, become new symbols; a pair never spans two documents."""
+    seq, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
+    ends = np.cumsum(sizes) - 1
+    top, never = n_ids, np.uint64(0xFFFFFFFFFFFFFFFF)
     for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        codes = (seq[:-1] << 32) | seq[1:]
-        codes = np.sort(codes[~last[:-1]])
+        codes = seq[:-1].astype(np.uint64)
+        codes <<= np.uint64(32)
+        codes |= seq[1:]
+        codes[ends[:-1]] = never
+        codes.sort()
+        codes = codes[: len(codes) - len(ends) + 1]
         if not len(codes):
             break
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        counts = np.diff(np.r_[starts, len(codes)])
+        starts = np.r_[0, 1 + np.flatnonzero(codes[1:] != codes[:-1])]
+        counts = np.diff(starts, append=len(codes))
         frequent = counts >= least
         if not frequent.any():
             break
         found, counts = codes[starts[frequent]], counts[frequent]
         best = np.sort(found[np.lexsort((found, -counts))[:per_round]])
-        a, b = best >> 32, best & 0xFFFFFFFF
+        a, b = (best >> np.uint64(32)).astype(np.int64), (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
         lefts, rights = np.unique(a), np.unique(b)
-        left, right = np.zeros(top, np.int32), np.zeros(top, np.int32)
+        left, right = np.zeros(top, np.int16), np.zeros(top, np.int16)
         left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
-        table = np.zeros((len(lefts) + 1, len(rights) + 1), np.int32)
+        table = np.zeros((len(lefts) + 1, len(rights) + 1), np.int16)
         table[left[a], right[b]] = np.arange(1, len(best) + 1)
-        rule = table[left[seq[:-1]], right[seq[1:]]]
-        rule[last[:-1]] = 0
-        at = np.flatnonzero(rule)
+        is_end = np.zeros(len(seq), bool)
+        is_end[ends] = True
+        at = np.flatnonzero((left != 0)[seq[:-1]] & (right != 0)[seq[1:]] & ~is_end[:-1])
+        rule = table[left[seq[at]], right[seq[at + 1]]]
+        at, rule = at[rule > 0], rule[rule > 0]
         run = np.r_[True, np.diff(at) != 1]  # of overlapping pairs every other one is taken, from the left
         nth = np.arange(len(at))
-        at = at[(nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0]
-        seq[at] = top + rule[at] - 1
-        last[at] = last[at + 1]
+        taken = (nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0
+        at, rule = at[taken], rule[taken]
+        seq[at] = top - 1 + rule.astype(np.int64)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq = seq[keep]
+        ends = ends - np.searchsorted(at + 1, ends, "right")
         rules.append(np.stack([a, b], 1))
         lengths = np.r_[lengths, lengths[a] + lengths[b]]
         top += len(best)
-    return seq, np.concatenate(rules), lengths[n_ids:], last
+    return seq, np.concatenate(rules), lengths[n_ids:], np.diff(ends, prepend=-1)
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +93,25 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nd
     return flat[out]
 
 
+_MARKS = b".,;:!?"
+
+
+#: Words of lower-case Latin letters alone: normalization leaves them as they are and the pre-tokenizer whole, so the library's model can be asked at once. _BYTE_CHARS: the characters that stand for bytes in its vocabulary: printable ones for themselves, the others from 256 on.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _stem(word: bytes) -> tuple[bytes, int]:
+    """(what to encode, number of a mark to encode after it, or 0): A-Z in lower case, as the tokenizer makes them, and without a mark behind a letter or digit, which it always splits off. Words that could hold a special token stay whole."""
+    if b"<" in word:
+        return word, 0
+    word = word.lower()
+    if word[-1] in _MARKS and (word[-2:-1].isalnum() or word[-2:-1] > b"\x7f" and word[:-1].decode()[-1].isalpha()):
+        return word[:-1], _MARKS.index(word[-1]) + 1
+    return word, 0
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library. Words between ASCII white space are encoded apart (the tokenizer must drop white space) and remembered, up to a bound."""
 
@@ -95,47 +122,72 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        probe = ["straße", "señal", "the", "àÿ", "q"]
+        self.by_model = all([t.id for t in self.model.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))] == self.model.encode(w, add_special_tokens=False).ids for w in probe)
         self.n_ids = max(self.model.get_vocab_size(with_added_tokens=True), END + 1)
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, int] = {}  # of a word: 8 * place of its stem + number of its mark
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self._add([b"", *(bytes([c]) for c in _MARKS)])
+
+    def _add(self, stems: list[bytes]) -> None:
+        plain = _PLAIN.fullmatch
+        merge = self.model.model.tokenize
+        ids: list = [[t.id for t in merge(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))] if self.by_model and plain(w) else None for w in stems]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, self.model.encode_batch_fast([stems[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = x.ids
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.memo.update(zip(stems, range(8 * len(self.start), 8 * (len(self.start) + len(stems)), 8), strict=True))
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(n) - n]
+        self.length = np.r_[self.length, n]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END after it; number of ids of each text)."""
         if len(self.memo) > _MEMO:
             self.reset()
         memo = self.memo
-        parts = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in memo))
-        if new:
-            ids = [x.ids for x in self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(n) - n]
-            self.length = np.r_[self.length, n]
-            self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))]
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-        if not memo:
-            return np.full(len(texts), END, np.uint32), np.ones(len(texts), np.int64)
-        words = np.fromiter(map(memo.__getitem__, (w for p in parts for w in p)), np.int64, sum(map(len, parts)))
-        of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        sizes = np.bincount(of, self.length[words], len(parts)).astype(np.int64) + 1
+        words, numbers, counts = word_numbers(texts)
+        codes = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
+            split = [_stem(w) for w in new]
+            self._add(list(dict.fromkeys(x for x, _ in split if x not in memo)))
+            own = [memo[x] + mark for x, mark in split]
+            codes[missing] = own
+            memo.update(zip(new, own, strict=True))
+        # The distinct words' ids, one after another: stem, then mark (place 0 is empty, places 1 to 6 are the marks).
+        at = np.stack([codes >> 3, codes & 7], 1).reshape(-1)
+        own = gather(self.flat, self.start, self.length, at[self.length[at] > 0])
+        length = self.length[at].reshape(-1, 2).sum(1)
+        n = length[numbers]
+        sizes = np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]) + 1
         out = np.empty(int(sizes.sum()), np.uint32)
         ends = np.cumsum(sizes) - 1
         inside = np.ones(len(out), bool)
         inside[ends] = False
         out[ends] = END
-        out[inside] = gather(self.flat, self.start, self.length, words)
+        out[inside] = gather(own, np.cumsum(length) - length, length, numbers)
         return out, sizes
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's encoder for a file; what it remembers serves all of the worker's tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray], n_ids: int) -> tuple:
     flat, n = np.concatenate(ids), np.concatenate(sizes)
-    last = np.zeros(len(flat), bool)
-    last[np.cumsum(n) - 1] = True
-    symbols, rules, lengths, last = grammar(flat, last, n_ids)
-    per_doc = np.diff(np.r_[-1, np.flatnonzero(last)])
+    symbols, rules, lengths, per_doc = grammar(flat, n, n_ids)
     width = 2 if n_ids + len(rules) <= 1 << 16 else 4
     as_bytes = lambda x, w=4: x.astype(f"<u{w}").tobytes()
     return part, shard, n_ids, width, len(flat), as_bytes(rules), as_bytes(lengths), as_bytes(symbols, width), as_bytes(n), as_bytes(per_doc)
@@ -151,7 +203,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     types = [pa.int32()] * 4 + [pa.int64()] + [pa.binary()] * 5
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard, held = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encode, part, shard, held = encoder(path), TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         keys: list[pa.Array] = []
@@ -162,9 +214,9 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(row, types, strict=True)), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)], [*names, "doc_ids"])
 
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").cast(pa.binary())
-            for start, end in by_bytes(texts, 1 << 20):
-                out, n = encode(texts[start:end].to_pylist())
+            texts = pc.fill_null(b.column(1), "")
+            for start, end in by_bytes(texts, 4 << 20):
+                out, n = encode(texts[start:end])
                 ids.append(out)
                 sizes.append(n)
                 keys.append(b.column(0)[start:end])
@@ -176,7 +228,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             yield flush()
 
     ordered = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    return cut(ordered.mapInArrow(run, f"{SHARD}, doc_ids array<{kind}>"), "shards")
+    return cut(ordered.mapInArrow(tidied(run), f"{SHARD}, doc_ids array<{kind}>"), "shards")
 
 
 class Shard:
@@ -218,7 +270,7 @@ def read_shards(shards: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), b.column("doc_ids")[i].values, pa.array(ends - s.sizes), pa.array(s.sizes), pa.array(crc, pa.int64())], ["part", "shard", id_col, "place", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, f"part int, shard int, `{id_col}` {kind}, place bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.mapInArrow(tidied(run), f"part int, shard int, `{id_col}` {kind}, place bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes
+from saithong.llm.common import by_bytes, tidied
 
 #: A lone blank between two other characters: byte-level pre-tokenizers begin a new piece at it, whatever surrounds it. Python's white space contains all that Unicode calls so, hence no boundary is unsafe.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -101,4 +101,4 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), tokens, pc.greater(tokens, limit)], [id_col, *schema.names])
 
     out = f"`{id_col}` {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), out)
