@@ -21,7 +21,7 @@ P, R = 8, 10  # 2**P registers; bits of mantissa beside a leading-zero count of
 REGISTERS = 1 << P
 BANDS, ROWS = 48, 6  # a pair with a Jaccard similarity of 0.8 shares no band with a probability of 4.6e-7
 _MARGIN = 0.11  # estimates below the threshold by more are not verified: over 4 standard deviations
-_BLOCK = 1024
+_BLOCK = 512
 _BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240)
