@@ -65,9 +65,9 @@ def summarize_by_frequency(df: DataFrame, sentences: str, key: str, *, tokens_of
     counted = words if stop_words is None else words.join(stop_words.select("word"), "word", "left_anti")
     counts = counted.groupBy(key, "word").agg(F.count("*").alias("c"))
     share = (F.col("c") / F.max("c").over(Window.partitionBy(key))).alias("f")
-    shares = counts.select(F.col(key).alias("k"), F.col("word").alias("w"), share).filter((F.col("f") > low) & (F.col("f") < high))
-    scores = words.join(shares, (F.col(key) == F.col("k")) & (F.col("word") == F.col("w"))).groupBy(F.col(key).alias("k"), F.col("at").alias("a")).agg(F.sum("f").alias("score"))
-    scored = each.join(scores, (F.col(key) == F.col("k")) & (F.col("at") == F.col("a")), "left")
+    shares = counts.select(F.col(key).alias("_k"), F.col("word").alias("_w"), share).filter((F.col("f") > low) & (F.col("f") < high))
+    scores = words.join(shares, (F.col(key) == F.col("_k")) & (F.col("word") == F.col("_w"))).groupBy(F.col(key).alias("_k"), F.col("at").alias("_a")).agg(F.sum("f").alias("score"))
+    scored = each.join(scores, (F.col(key) == F.col("_k")) & (F.col("at") == F.col("_a")), "left")
     order = Window.partitionBy(key).orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "at")
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select(key, "place", "sentence")
 
@@ -265,8 +265,8 @@ def bad_words(gold: DataFrame, found: DataFrame, key: str) -> DataFrame:
     from saithong.operators.segment import spans
 
     rows = lambda d: d.select(key, F.explode(F.arrays_zip(F.col("tokens").alias("t"), spans("tokens").alias("s"))).alias("x")).select(key, F.col("x.t").alias("word"), F.col("x.s").alias("span"))
-    known = rows(gold).select(F.col(key).alias("k"), F.col("span").alias("sp")).distinct().withColumn("hit", F.lit(1))
-    joined = rows(found).join(known, (F.col(key) == F.col("k")) & (F.col("span") == F.col("sp")), "left")
+    known = rows(gold).select(F.col(key).alias("_k"), F.col("span").alias("_sp")).distinct().withColumn("hit", F.lit(1))
+    joined = rows(found).join(known, (F.col(key) == F.col("_k")) & (F.col("span") == F.col("_sp")), "left")
     return joined.groupBy("word").agg(F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("wrong"), F.sum(F.coalesce("hit", F.lit(0))).alias("right")).filter("wrong > right")
 
 

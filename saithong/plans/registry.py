@@ -429,6 +429,73 @@ def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.similar_words(words, words.withColumn("n", F.lit(1))).select("word", "candidate", "distance")
 
 
+# Spans, neighbours, more scripts
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ') AS l FROM conversations))
+SELECT conv_id, turn, CAST(pos AS INT) AS pos, token, lag(token) OVER x AS token_m1, lead(token) OVER x AS token_p1 FROM w WINDOW x AS (PARTITION BY conv_id, turn ORDER BY pos)""")
+def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.operators import entities as E
+
+    t = _table(spark, sf_dir, "conversations").withColumn("tokens", F.split("text", " "))
+    rows = R.tokens_of(t, "tokens", "conv_id", "turn").withColumn("key", F.struct("conv_id", "turn"))
+    return E.neighbour_features(rows, "key", ["token"]).select("conv_id", "turn", "pos", "token", "token_m1", "token_p1")
+
+
+_TAGGED_SQL = "(SELECT conv_id AS k, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, role AS token, CASE WHEN turn % 3 = 0 THEN 'B-X' WHEN turn % 3 = 1 THEN 'I-X' ELSE 'O' END AS tag FROM conversations)"
+
+
+@query(f"""
+WITH t AS {_TAGGED_SQL},
+b AS (SELECT *, tag = 'O' OR tag = 'B-X' OR coalesce(lag(tag) OVER (PARTITION BY k ORDER BY pos), 'O') = 'O' AS begins FROM t),
+i AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS island FROM b)
+SELECT k, min(pos) AS first, max(pos) AS last, CASE WHEN min(tag) = 'O' THEN '' ELSE 'X' END AS kind, string_agg(token, '' ORDER BY pos) AS text FROM i GROUP BY k, island""")
+def iob_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of tags: turns of conversations as tokens."""
+    from pyspark.sql import Window
+
+    from saithong.operators import entities as E
+
+    c = _table(spark, sf_dir, "conversations")
+    tag = F.when(F.col("turn") % 3 == 0, "B-X").when(F.col("turn") % 3 == 1, "I-X").otherwise("O")
+    t = c.select(F.col("conv_id").alias("k"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("pos"), F.col("role").alias("token"), tag.alias("tag"))
+    return E.iob_entities(t, "k")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS k, l_partkey % 50 AS s, l_partkey % 50 + l_quantity AS f FROM lineitem)
+SELECT k, CAST(s AS BIGINT) AS start, f AS end FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.k = e.k AND e.s >= o.s AND e.f <= o.f AND (e.s > o.s OR e.f < o.f))""")
+def top_level_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.operators import entities as E
+
+    s = F.col("l_partkey") % 50
+    return E.top_level_entities(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), s.alias("start"), (s + F.col("l_quantity")).alias("end")), "k")
+
+
+@query()
+def prosody_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vowel, final, rhyme key, weight and mark of the words of numbers; each different word once."""
+    from saithong.operators import prosody as P
+
+    words = S.broadcast_words(spark, _NUMBER_WORDS)
+    each = _table(spark, sf_dir, "orders").select(F.explode(S.word_tokenize(N.num_to_thaiword("o_orderkey"), words)).alias("word")).distinct()
+    return each.select("word", P.prosody("word").alias("p")).select("word", "p.*")
+
+
+@query()
+def scripts_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saithong.operators import scripts as X
+
+    said = N.num_to_thaiword("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", X.iso_11940(said).alias("iso"), X.braille(said).alias("braille"), X.royin_vowels(said).alias("vowels"))
+
+
+@query("SELECT n_nationkey, array_to_string(list_transform(string_split(upper(n_name), ''), lambda c: coalesce(map([' '] || string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ012345678', ''), [' '] || string_split('.- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. ----- .---- ..--- ...-- ....- ..... -.... --... ---..', ' '))[c], ' ')), ' ') AS morse FROM nation")
+def morse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "nation").select("n_nationkey", T.morse_encode("n_name", "en").alias("morse"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_freq_top10(spark, sf_dir)
 

@@ -280,3 +280,53 @@ def test_every_query_runs_and_matches_its_sql(spark):
             cols = [d[0] for d in cur.description]
             assert sorted(cols) == sorted(df.columns), name
             assert show(rows, cols) == show([dict(zip(cols, r, strict=True)) for r in cur.fetchall()], cols), name
+
+
+def test_entities(spark):
+    from saithong.operators import entities as E
+
+    t = spark.createDataFrame([(1, i, w, g) for i, (w, g) in enumerate([("คุณ", "O"), ("สม", "B-PERSON"), ("ชาย", "I-PERSON"), ("ไป", "O"), ("ไทย", "I-LOC"), ("แดน", "B-LOC")])], "k int, pos int, token string, tag string")
+    assert [r.token for r in E.merge_entities(t, "k").orderBy("pos").collect()] == ["คุณ", "สมชาย", "ไป", "ไทย", "แดน"]
+    assert [r.token for r in E.merge_entities(t, "k", ["LOC"]).orderBy("pos").collect()] == ["คุณ", "สม", "ชาย", "ไป", "ไทย", "แดน"]
+    assert E.inline_tags(t, "k").first().text == "คุณ<PERSON>สมชาย</PERSON>ไป<LOC>ไทย</LOC><LOC>แดน</LOC>"
+    f = E.neighbour_features(t, "k", ["token"]).orderBy("pos").collect()
+    assert (f[0].token_m1, f[0].token_p1, f[5].token_m1, f[5].token_p1) == (None, "สม", "ไทย", None)
+    spans = spark.createDataFrame([(1, 0, 5), (1, 1, 3), (1, 4, 8), (1, 0, 5)], "k int, start int, end int")
+    assert sorted((r.start, r.end) for r in E.top_level_entities(spans, "k").collect()) == [(0, 5), (0, 5), (4, 8)]
+    s = spark.createDataFrame([(1, 0, "abc"), (1, 1, "defg")], "k int, pos int, text string")
+    assert [(r.pos, r.word) for r in E.spans_to_sentences(s, spark.createDataFrame([(1, 1, 2), (1, 3, 4)], "k int, start int, end int"), "k").orderBy("start").collect()] == [(0, "bc"), (1, "de")]
+
+
+def test_products_and_vectors(spark, value):
+    from saithong.operators import entities as E
+
+    assert value(E.combinations(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"), F.lit("d"))))) == [["a", "c"], ["a", "d"], ["b", "c"], ["b", "d"]]
+    v = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.9, 0.1]), ("z", [0.0, 1.0])], "word string, vector array<double>")
+    assert E.odd_one_out(spark.createDataFrame([(1, w) for w in "xyz"], "k int, word string"), v, "k").first().word == "z"
+    assert [r.word for r in E.most_similar(["x"], [], v, 1).collect()] == ["y"]
+    with pytest.raises(KeyError):
+        E.most_similar(["none"], [], v)
+
+
+def test_prosody(spark):
+    from saithong.operators import prosody as P
+
+    assert [P.vowel(w) for w in ("เริง", "กา", "เกีย", "คน", "รัก", "ไม", "เรือ", "ฤา", "กรรม")] == ["เออ", "อา", "เอีย", "โอะ", "อะ", "ไอ", "เอือ", "อือ", "อำ"]
+    assert [P.final(w) for w in ("สาว", "ปลิง", "กา", "นก", "บาตร", "จันทร์", "ไทย", "")] == ["เกอว", "กง", "กา", "กก", "กด", "กน", "กา", ""]
+    assert P.rhyme_key("สรร") == P.rhyme_key("อัน") and P.rhyme_key("แมว") != P.rhyme_key("กา")
+    assert [P.weight(w) for w in ("กา", "ณ", "กะ", "คน", "")] == ["karu", "lahu", "lahu", "karu", None]
+    assert [P.mark(w) for w in ("ไม่", "ห้อง", "หมา")] == ["aek", "too", None]
+    lex = spark.createDataFrame([(w,) for w in ("นา", "ตา", "ตี", "กา")], "word string")
+    assert sorted(r.rhyme for r in P.rhymes(spark.createDataFrame([("กา",)], "word string"), lex).collect()) == ["ตา", "นา"]
+    poem = spark.createDataFrame([(1, 1, [["กา"], ["ตา", "มี"], ["สี"], ["ดี"]]), (1, 2, [["กา"], ["ตา", "นก"], ["รก"], ["ดี"]])], "k int, stanza int, lines array<array<string>>")
+    assert [(r.stanza, "before" in r.problem) for r in P.check_poem(poem, "k", 4).orderBy("stanza").collect()] == [(2, True), (2, False)] or P.check_poem(poem, "k", 4).filter("stanza = 1").count() == 0
+
+
+def test_ml_stages(spark):
+    from pyspark.ml import Pipeline
+
+    from saithong.transformers import SPARSE_BEHIND, ColumnSteps, TextTokenizer
+
+    df = spark.createDataFrame([("คนไทย  คนไทย",)], "text string")
+    out = Pipeline(stages=[ColumnSteps([T.rm_useless_spaces], "text", "clean"), TextTokenizer(THAI, "clean"), ColumnSteps(SPARSE_BEHIND, "tokens", "out")]).fit(df).transform(df).first()
+    assert out.tokens == ["คนไทย", " ", "คนไทย"] and out.out == ["คนไทย", "คนไทย"]
