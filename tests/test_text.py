@@ -330,3 +330,22 @@ def test_ml_stages(spark):
     df = spark.createDataFrame([("คนไทย  คนไทย",)], "text string")
     out = Pipeline(stages=[ColumnSteps([T.rm_useless_spaces], "text", "clean"), TextTokenizer(THAI, "clean"), ColumnSteps(SPARSE_BEHIND, "tokens", "out")]).fit(df).transform(df).first()
     assert out.tokens == ["คนไทย", " ", "คนไทย"] and out.out == ["คนไทย", "คนไทย"]
+
+
+def test_romanization_and_spelling(spark):
+    assert [X.royin_word(w) for w in ("แมว", "ภาพ", "กก", "นก", "คน", "สวัสดี", "ห")] == ["maeo", "phap", "kok", "nok", "khon", "swatdi", ""]
+    df = spark.createDataFrame([(["แมว", "กิน"], "เสือ")], "t array<string>, w string")
+    r = df.select(X.romanize("t").alias("r"), X.spell_out("w").alias("s"), X.royin_vowels(F.lit("แมว")).alias("v")).first()
+    assert r.r == "maeokin" and r.s == ["สอ", "เอือ", "เสือ"] and r.v == "มaeo"
+    assert X.spelling("เสื้อ") == ["สอ", "เอือ", "เสือ", "ไม้โท", "เสื้อ"] and X.spelling("") == []
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from saithong.__main__ import main
+
+    (tmp_path / "d.txt").write_text("คน\nไทย\n", encoding="utf-8")
+    assert main(["tokenize", "word", "คนไทย", "--dictionary", str(tmp_path / "d.txt")]) == 0 and capsys.readouterr().out.strip() == "คน|ไทย"
+    assert main(["soundex", "รถ"]) == 0 and capsys.readouterr().out.strip() == "ร3000"
+    (tmp_path / "a").write_text("ผม|ไม่|ชอบ\n", encoding="utf-8")
+    (tmp_path / "b").write_text("ผม|ไม่ชอบ\n", encoding="utf-8")
+    assert main(["evaluate", str(tmp_path / "a"), str(tmp_path / "b")]) == 0 and '"word_recall":0.333' in capsys.readouterr().out
