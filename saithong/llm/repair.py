@@ -85,12 +85,15 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, n_ids: int) -> tuple[np.n
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The slices of flat for each of which, one after another."""
-    n = length[which]
-    total = int(n.sum())
-    out = np.repeat(start[which] - (np.cumsum(n) - n), n)
-    out += np.arange(total)
-    return flat[out]
+    """The slices of flat for each of which, one after another; no slice may be empty."""
+    n, first = length[which], start[which]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return flat[:0]
+    place = np.ones(int(ends[-1]), np.int32 if len(flat) < 1 << 31 else np.int64)
+    place[0] = first[0]
+    place[ends[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+    return flat[np.cumsum(place, out=place)]
 
 
 _MARKS = b".,;:!?"
@@ -162,17 +165,18 @@ class Encoder:
             memo.update(zip(new, own, strict=True))
         # The distinct words' ids, one after another: stem, then mark (place 0 is empty, places 1 to 6 are the marks).
         at = np.stack([codes >> 3, codes & 7], 1).reshape(-1)
-        own = gather(self.flat, self.start, self.length, at[self.length[at] > 0])
-        length = self.length[at].reshape(-1, 2).sum(1)
-        n = length[numbers]
-        sizes = np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]) + 1
-        out = np.empty(int(sizes.sum()), np.uint32)
-        ends = np.cumsum(sizes) - 1
-        inside = np.ones(len(out), bool)
+        own = np.r_[gather(self.flat, self.start, self.length, at[self.length[at] > 0]), np.uint32(END)]
+        length = np.r_[self.length[at].reshape(-1, 2).sum(1), 1]
+        # The end follows each text like a word of its own; words without ids fall out.
+        ends = np.cumsum(counts + 1) - 1
+        seq = np.full(len(numbers) + len(counts), len(words), np.int64)
+        inside = np.ones(len(seq), bool)
         inside[ends] = False
-        out[ends] = END
-        out[inside] = gather(own, np.cumsum(length) - length, length, numbers)
-        return out, sizes
+        seq[inside] = numbers
+        sizes = np.diff(np.cumsum(length[seq])[ends], prepend=0)
+        if not length.all():
+            seq = seq[length[seq] > 0]
+        return gather(own, np.cumsum(length) - length, length, seq), sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -215,7 +219,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            for start, end in by_bytes(texts, 4 << 20):
+            for start, end in by_bytes(texts, 8 << 20):
                 out, n = encode(texts[start:end])
                 ids.append(out)
                 sizes.append(n)
