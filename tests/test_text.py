@@ -349,3 +349,10 @@ def test_command_line(tmp_path, capsys, spark):
     (tmp_path / "a").write_text("ผม|ไม่|ชอบ\n", encoding="utf-8")
     (tmp_path / "b").write_text("ผม|ไม่ชอบ\n", encoding="utf-8")
     assert main(["evaluate", str(tmp_path / "a"), str(tmp_path / "b")]) == 0 and '"word_recall":0.333' in capsys.readouterr().out
+
+
+def test_lunar_calendar():
+    cal = L.LunarCalendar({2021: -0.484674999991406}, [dt.date(2012, 11, 13), dt.date(2022, 11, 23)])
+    assert cal.lunar_date(dt.date(2024, 11, 15)) == "ขึ้น 15 ค่ำ เดือน 12"
+    assert cal.lunar_date(None) is None and cal.lunar_date(dt.date(1885, 1, 1)) is None
+    assert [L.days_in_year(y) for y in (1900, 2000, 2023, 2024)] == [365, 366, 365, 366]
