@@ -89,19 +89,27 @@ def tidied(run: Callable) -> Callable:
     return wrapped
 
 
-def word_numbers(texts: pa.Array, *, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words between ASCII white space, number of each word of all texts among them, words of each text); lower: A-Z become a-z. No Python object is made but for distinct words."""
+def coded_words(texts: pa.Array, *, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words between ASCII white space, number of each word of all texts among them, words of each text); lower: A-Z become a-z. No Python object is made for a word. If a text has none, the empty string may be among the distinct words."""
     t = texts.cast(pa.string())
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(t) if lower else t))
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
     numbers = coded.indices.to_numpy(zero_copy_only=False)
-    if b"" in words:  # a text without words is split into one empty string
-        empty = words.index(b"")
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # a text without words is split into one empty string
         gone = numbers == empty
         sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[gone], minlength=len(sizes))
         numbers = numbers[~gone]
+    return coded.dictionary, numbers, sizes
+
+
+def word_numbers(texts: pa.Array, *, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """coded_words() with the distinct words as bytes, none of them empty."""
+    coded, numbers, sizes = coded_words(texts, lower=lower)
+    words = coded.cast(pa.binary()).to_pylist()
+    if b"" in words:
+        empty = words.index(b"")
         numbers = numbers - (numbers > empty)
         del words[empty]
     return words, numbers, sizes

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -15,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut, tidied, word_numbers
+from saithong.llm.common import by_bytes, coded_words, cut, tidied
 
 END = 1
-_MEMO = 500_000
+_MEMO = 800_000
 _BLOCK = 1 << 20  # ids in a shard, about; a longer document makes a shard of its own
 #: One row of the file format. rules: pairs of symbols, uint32; a rule's own symbol is n_ids plus its place. lengths: ids that each rule expands to, uint32. symbols: the compressed sequence, uint32 or uint16. doc_sizes, doc_symbols: ids and symbols of each document, uint32.
 SHARD = "part int, shard int, n_ids int, width int, n_tokens bigint, rules binary, lengths binary, symbols binary, doc_sizes binary, doc_symbols binary"
@@ -96,27 +95,27 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nd
     return flat[np.cumsum(place, out=place)]
 
 
-_MARKS = b".,;:!?"
-
-
+_MARKS = ".,;:!?"
+#: A mark behind a letter or digit, which the tokenizer always splits off.
+_MARKED = f"[a-z0-9ß-öø-ÿ][{_MARKS}]$"
 #: Words of lower-case Latin letters alone: normalization leaves them as they are and the pre-tokenizer whole, so the library's model can be asked at once. _BYTE_CHARS: the characters that stand for bytes in its vocabulary: printable ones for themselves, the others from 256 on.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PLAIN = "^[a-zß-öø-ÿ]+$"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
-def _stem(word: bytes) -> tuple[bytes, int]:
-    """(what to encode, number of a mark to encode after it, or 0): A-Z in lower case, as the tokenizer makes them, and without a mark behind a letter or digit, which it always splits off. Words that could hold a special token stay whole."""
-    if b"<" in word:
-        return word, 0
-    word = word.lower()
-    if word[-1] in _MARKS and (word[-2:-1].isalnum() or word[-2:-1] > b"\x7f" and word[:-1].decode()[-1].isalpha()):
-        return word[:-1], _MARKS.index(word[-1]) + 1
-    return word, 0
+def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(what to encode for each word, number of a mark to encode after it, or 0): A-Z in lower case, as the tokenizer makes them, and without a mark at the end. Words that could hold a special token stay whole."""
+    special = pc.match_substring(words, "<")
+    low = pc.if_else(special, words, pc.ascii_lower(words))
+    marked = pc.and_not(pc.match_substring_regex(low, _MARKED), special)
+    mark = pc.index_in(pc.utf8_slice_codeunits(low, -1), value_set=pa.array(list(_MARKS)))
+    number = pc.fill_null(pc.if_else(marked, pc.add(mark, 1), 0), 0)
+    return pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low), number.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library. Words between ASCII white space are encoded apart (the tokenizer must drop white space) and remembered, up to a bound."""
+    """Whole texts to ids with the tokenizers library. Words between ASCII white space are encoded apart (the tokenizer must drop white space): their stems once, which are remembered up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,19 +130,20 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[bytes, int] = {}  # of a word: 8 * place of its stem + number of its mark
+        self.memo: dict[str, int] = {}  # places of stems
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._add([b"", *(bytes([c]) for c in _MARKS)])
+        self._add(pa.array(["", *_MARKS]))
 
-    def _add(self, stems: list[bytes]) -> None:
-        plain = _PLAIN.fullmatch
+    def _add(self, stems: pa.Array) -> None:
+        names, plain = stems.to_pylist(), pc.match_substring_regex(stems, _PLAIN).to_pylist()
         merge = self.model.model.tokenize
-        ids: list = [[t.id for t in merge(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))] if self.by_model and plain(w) else None for w in stems]
+        chars = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids: list = [[t.id for t in merge(chars(w))] if ok and self.by_model else None for w, ok in zip(names, plain, strict=True)]
         rest = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(rest, self.model.encode_batch_fast([stems[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        for k, x in zip(rest, self.model.encode_batch_fast([names[k] for k in rest], add_special_tokens=False), strict=True):
             ids[k] = x.ids
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.memo.update(zip(stems, range(8 * len(self.start), 8 * (len(self.start) + len(stems)), 8), strict=True))
+        self.memo.update(zip(names, range(len(self.start), len(self.start) + len(names)), strict=True))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(n) - n]
         self.length = np.r_[self.length, n]
         self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))]
@@ -152,19 +152,16 @@ class Encoder:
         """(ids of all texts, each with END after it; number of ids of each text)."""
         if len(self.memo) > _MEMO:
             self.reset()
-        memo = self.memo
-        words, numbers, counts = word_numbers(texts)
-        codes = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(codes < 0)
+        words, numbers, counts = coded_words(texts)
+        stems, mark = _stems(words)
+        coded = stems.dictionary_encode()
+        places = np.fromiter(map(self.memo.get, coded.dictionary.to_pylist(), repeat(-1)), np.int64, len(coded.dictionary))
+        missing = np.flatnonzero(places < 0)
         if len(missing):
-            new = [words[k] for k in missing.tolist()]
-            split = [_stem(w) for w in new]
-            self._add(list(dict.fromkeys(x for x, _ in split if x not in memo)))
-            own = [memo[x] + mark for x, mark in split]
-            codes[missing] = own
-            memo.update(zip(new, own, strict=True))
+            places[missing] = len(self.start) + np.arange(len(missing))
+            self._add(coded.dictionary.take(pa.array(missing)))
         # The distinct words' ids, one after another: stem, then mark (place 0 is empty, places 1 to 6 are the marks).
-        at = np.stack([codes >> 3, codes & 7], 1).reshape(-1)
+        at = np.stack([places[coded.indices.to_numpy(zero_copy_only=False)], mark], 1).reshape(-1)
         own = np.r_[gather(self.flat, self.start, self.length, at[self.length[at] > 0]), np.uint32(END)]
         length = np.r_[self.length[at].reshape(-1, 2).sum(1), 1]
         # The end follows each text like a word of its own; words without ids fall out.
