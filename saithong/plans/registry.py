@@ -496,6 +496,59 @@ def morse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_nationkey", T.morse_encode("n_name", "en").alias("morse"))
 
 
+# More native functions, held against SQL
+
+_C = T.C.CONSONANTS
+
+
+def _sql_chain(x: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+_UDOM_SQL = _sql_chain("said", [
+    ("รร([เ-ไ])", "ัน\\1"), (f"รร([{_C}][{_C}เ-ไ])", "ั\\1"), (f"รร([{_C}][ะ-ู่-์])", "ัน\\1"), ("รร", "ัน"), (f"ไ([{_C}]ย)", "\\1"), (f"[ไใ]([{_C}])", "\\1ย"), ("ำ(ม[ะ-ู])", "ม\\1"), ("ำม", "ม"), ("ำ", "ม"), (f"จน์|มณ์|ณฑ์|ทร์|ตร์|[{_C}]์|[{_C}][ะ-ู]์", ""), ("[ะ-์]", ""),
+])
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_sql_number('o_orderkey')} AS said FROM orders), x AS (SELECT o_orderkey, {_UDOM_SQL} AS x FROM s)
+SELECT o_orderkey, rpad(translate(substr(x, 1, 1), 'กขฃคฅฆงจฉชฌซศษสฎดฏตฐฑฒถทธณนบปผพภฝฟมญยรลฬฤฦวอหฮ', 'กขขขขขงจชชชสสสสดดตตททททททนนบปพพพฟฟมยยรรรรรวอฮฮ') || translate(substr(x, 2), 'มวำกขฃคฅฆงยญณนฎฏดตศษสบปพภผฝฟหอฮจฉชซฌฐฑฒถทธรฤลฦ', '0001111112233344444445555666666777778888889999'), 7, '0') AS code FROM x""")
+def udom83_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", L.udom83(N.num_to_thaiword("o_orderkey")).alias("code"))
+
+
+@query(f"SELECT p_partkey, translate(p_name, '{T.ENGLISH_KEYS.replace(chr(39), chr(39) * 2)}', '{T.THAI_KEYS}') AS typed FROM part")
+def wrong_keyboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", T.english_keys_to_thai("p_name").alias("typed"))
+
+
+@query("SELECT p_partkey, round(p_retailprice * 4, 6) AS salueng, round(p_retailprice / 80, 6) AS chang, CASE p_size % 4 WHEN 0 THEN p_size + 2015 WHEN 1 THEN p_size + 1945 WHEN 2 THEN p_size + 1928 ELSE p_size + 1924 END AS year FROM part")
+def old_money_and_reigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    money = N.convert_currency("p_retailprice", "บาท")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(money["สลึง"], 6).alias("salueng"), F.round(money["ชั่ง"], 6).alias("chang"), N.reign_year_to_ad("p_size", 10 - F.col("p_size") % 4).alias("year"))
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_sql_number('o_orderkey')} AS said FROM orders)
+SELECT o_orderkey, c AS name, count(*) AS n FROM (SELECT o_orderkey, unnest(string_split(said, '')) AS c FROM s WHERE o_orderkey < 500) WHERE c SIMILAR TO '[ก-ฮ]' GROUP BY ALL""")
+def consonants_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters by name, of which consonants are their own."""
+    said = _table(spark, sf_dir, "orders").filter("o_orderkey < 500").select("o_orderkey", N.num_to_thaiword("o_orderkey").alias("said"))
+    return R.char_analysis(said, "said", "o_orderkey").filter(F.col("name").rlike("^[ก-ฮ]$"))
+
+
+@query()
+def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number words with a letter dropped, corrected."""
+    checker = L.SpellChecker(dict.fromkeys(_NUMBER_WORDS, 5))
+    words = S.broadcast_words(spark, _NUMBER_WORDS)
+    each = _table(spark, sf_dir, "orders").select(F.explode(S.word_tokenize(N.num_to_thaiword("o_orderkey"), words)).alias("word")).distinct()
+    dropped = F.left("word", F.length("word") - 1)
+    return each.select("word", dropped.alias("typed"), L.arrow(checker.spell, "array<string>")(dropped).alias("suggestions"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_freq_top10(spark, sf_dir)
 
