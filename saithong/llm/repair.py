@@ -27,12 +27,13 @@ def grammar(ids: np.ndarray, sizes: np.ndarray, n_ids: int, *, rounds: int = 6,
     """(symbols, rules, lengths, symbols of each document) for the ids of documents of these sizes, none 0: in each round the most frequent pairs of neighbours, at most per_round and `least` times each, become new symbols; a pair never spans two documents."""
     seq, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
     ends = np.cumsum(sizes) - 1
-    top, never = n_ids, np.uint64(0xFFFFFFFFFFFFFFFF)
+    top = n_ids
     for _ in range(rounds):
-        codes = seq[:-1].astype(np.uint64)
-        codes <<= np.uint64(32)
+        half, code = (16, np.uint32) if top < 0xFFFF else (32, np.uint64)  # bits of a symbol
+        codes = seq[:-1].astype(code)
+        codes <<= code(half)
         codes |= seq[1:]
-        codes[ends[:-1]] = never
+        codes[ends[:-1]] = np.iinfo(code).max
         codes.sort()
         codes = codes[: len(codes) - len(ends) + 1]
         if not len(codes):
@@ -44,25 +45,31 @@ def grammar(ids: np.ndarray, sizes: np.ndarray, n_ids: int, *, rounds: int = 6,
             break
         found, counts = codes[starts[frequent]], counts[frequent]
         best = np.sort(found[np.lexsort((found, -counts))[:per_round]])
-        a, b = (best >> np.uint64(32)).astype(np.int64), (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        a, b = (best >> code(half)).astype(np.int64), (best & code((1 << half) - 1)).astype(np.int64)
         lefts, rights = np.unique(a), np.unique(b)
         left, right = np.zeros(top, np.int16), np.zeros(top, np.int16)
         left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
         table = np.zeros((len(lefts) + 1, len(rights) + 1), np.int16)
         table[left[a], right[b]] = np.arange(1, len(best) + 1)
-        is_end = np.zeros(len(seq), bool)
-        is_end[ends] = True
-        at = np.flatnonzero((left != 0)[seq[:-1]] & (right != 0)[seq[1:]] & ~is_end[:-1])
-        rule = table[left[seq[at]], right[seq[at + 1]]]
-        at, rule = at[rule > 0], rule[rule > 0]
-        run = np.r_[True, np.diff(at) != 1]  # of overlapping pairs every other one is taken, from the left
-        nth = np.arange(len(at))
-        taken = (nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0
-        at, rule = at[taken], rule[taken]
+        wide = seq.astype(np.intp)
+        l, r = left.take(wide[:-1], mode="clip"), right.take(wide[1:], mode="clip")
+        l[ends[:-1]] = 0
+        at = np.flatnonzero((l > 0) & (r > 0))
+        rule = table.reshape(-1)[l[at].astype(np.int32) * table.shape[1] + r[at]]
+        hit = np.flatnonzero(rule)
+        at, rule = at[hit], rule[hit]
+        near = np.flatnonzero(np.diff(at) == 1)  # of pairs that overlap every other one is taken, from the left
+        if len(near):
+            nth = np.arange(len(near))
+            first = np.r_[True, np.diff(near) != 1]
+            odd = (nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 0
+            taken = np.ones(len(at), bool)
+            taken[near[odd] + 1] = False
+            at, rule = np.compress(taken, at), np.compress(taken, rule)
         seq[at] = top - 1 + rule.astype(np.int64)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq = np.compress(keep, seq)
         ends = ends - np.searchsorted(at + 1, ends, "right")
         rules.append(np.stack([a, b], 1))
         lengths = np.r_[lengths, lengths[a] + lengths[b]]
@@ -137,8 +144,9 @@ class Encoder:
     def _add(self, stems: pa.Array) -> None:
         names, plain = stems.to_pylist(), pc.match_substring_regex(stems, _PLAIN).to_pylist()
         merge = self.model.model.tokenize
-        chars = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids: list = [[t.id for t in merge(chars(w))] if ok and self.by_model else None for w, ok in zip(names, plain, strict=True)]
+        if not self.by_model:
+            plain = [False] * len(names)
+        ids: list = [[t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))] if ok else None for w, ok in zip(names, plain, strict=True)]
         rest = [k for k, x in enumerate(ids) if x is None]
         for k, x in zip(rest, self.model.encode_batch_fast([names[k] for k in rest], add_special_tokens=False), strict=True):
             ids[k] = x.ids
@@ -216,15 +224,20 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            for start, end in by_bytes(texts, 8 << 20):
+            for start, end in by_bytes(texts, 16 << 20):
                 out, n = encode(texts[start:end])
-                ids.append(out)
-                sizes.append(n)
-                keys.append(b.column(0)[start:end])
-                held += len(out)
-                if held >= block:
-                    yield flush()
-                    ids, sizes, keys, held, shard = [], [], [], 0, shard + 1
+                at = np.r_[0, np.cumsum(n)]
+                cuts = [0, *np.unique(np.searchsorted(at, np.arange(block, at[-1], block))).tolist(), len(n)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    ids.append(out[at[lo] : at[hi]])
+                    sizes.append(n[lo:hi])
+                    keys.append(b.column(0)[start + lo : start + hi])
+                    held += int(at[hi] - at[lo])
+                    if held >= block:
+                        yield flush()
+                        ids, sizes, keys, held, shard = [], [], [], 0, shard + 1
         if ids:
             yield flush()
 

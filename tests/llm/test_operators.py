@@ -532,3 +532,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in (100, 101, 102))
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_grammar_of_many_ids():
+    import numpy as np
+
+    from saithong.llm.repair import Shard, _shard
+
+    rng = np.random.default_rng(8)
+    for n_ids in (65_530, 200_000):  # symbols that fit 16 bits at first, and that never do
+        ids = np.concatenate([np.tile(rng.integers(0, n_ids, 30), 40) for _ in range(20)]).astype(np.uint32)
+        row = _shard(0, 0, [ids], [np.full(200, len(ids) // 200)], n_ids)
+        shard = Shard(dict(zip("part shard n_ids width n_tokens rules lengths symbols doc_sizes doc_symbols".split(), row, strict=True)))
+        assert (shard.all() == ids).all() and len(shard.symbols) < len(ids)
