@@ -358,3 +358,12 @@ def test_lunar_calendar():
     assert cal.lunar_date(dt.date(2024, 11, 15)) == "ขึ้น 15 ค่ำ เดือน 12"
     assert cal.lunar_date(None) is None and cal.lunar_date(dt.date(1885, 1, 1)) is None
     assert [L.days_in_year(y) for y in (1900, 2000, 2023, 2024)] == [365, 366, 365, 366]
+
+
+def test_syllables_in_three_systems(spark):
+    assert [X.syllables_to("กา", s) for s in ("paiboon", "royin", "ipa", "other")] == ["gaa", "ka", "kaː˧", "กา"]
+    assert X.syllables_to("แมว", "royin") == "maeo" and X.syllables_to("แมว") == "mɛːw˧" and X.syllables_to("น้ำ", "paiboon") == "nám"
+    assert X.syllables_to("อา-อา", "royin") == "a-a" or X.syllables_to("อา-อา", "royin") == "a-" + "a"
+    assert X.syllables_to("กะ") == "kaʔ˨˩" and X.syllables_to("๑ x", "royin") == "1 x" and X.syllables_to(None) is None and X.syllables_to("ก่้า") == "ก่้า"
+    r = spark.createDataFrame([("คน",)], "t string").select(X.all_systems("t").alias("s"), X.transliterate_syllables("t", "royin").alias("r")).first()
+    assert tuple(r.s) == ("kon", "khon", "kʰon˧") and r.r == "khon"
