@@ -13,35 +13,11 @@ class ModelUnavailable(NotImplementedError):
         super().__init__(f"{name} needs a model that isn't part of this package; register() one")
 
 
-#: By task: names of engines.
+#: By task: kinds of engines that need a model. An engine of any other name can be registered too.
 KNOWN = {
-    "word_tokenize": "attacut budoux deepcut icu nercut oskut sefr_cut tltk",
-    "sent_tokenize": "crfcut thaisum tltk wtp wtp-mini wtp-tiny wtp-base wtp-large",
-    "paragraph_tokenize": "wtp wtp-mini wtp-tiny wtp-base wtp-large",
-    "subword_tokenize": "wangchanberta ssg tltk han_solo phayathai",
-    "syllable_tokenize": "han_solo ssg tltk",
-    "pos_tag": "tltk transformers phayathaibert",
-    "ner": "thainer wangchanberta tltk thai_nner phayathaibert",
-    "chunk": "crf",
-    "parse": "esupar spacy_thai transformers_ud ud_goeswith attaparse",
-    "coref": "fastcoref han_coref",
-    "entity_linking": "bela multiel",
-    "wsd": "sentence_transformers",
-    "romanize": "thai2rom thai2rom_onnx tltk",
-    "transliterate": "ipa icu thaig2p thaig2p_v2 umt5_thaig2p tltk_g2p tltk_ipa wunsen",
-    "pronunciate": "w2p",
-    "spell": "phunspell tltk wanchanberta_thai_grammarly words_spelling_correction",
-    "summarize": "mt5 mt5-small mt5-base mt5-large mt5-xl mt5-xxl mt5-cpe-kmutt-thai-sentence-sum",
-    "keywords": "keybert",
-    "generate": "thai2fit wangchanglm qwen3",
-    "chat": "wangchanglm",
-    "translate": "en-th th-en zh-th th-zh th-fr small100 word2word",
-    "augment": "fasttext bpemb ltw2v thai2fit phayathaibert wangchanberta wordnet",
-    "word_vector": "thai2fit_wv ltw2v",
-    "document_vector": "ulmfit",
-    "soundex": "word2audio audio_vector word_approximation",
-    "abbreviation": "khamyo",
-    "wordnet": "omw",
+    "word_tokenize": "cnn rnn ensemble icu", "sent_tokenize": "crf transformer", "paragraph_tokenize": "transformer", "subword_tokenize": "crf transformer", "syllable_tokenize": "crf", "pos_tag": "transformer", "ner": "crf transformer", "nested_ner": "transformer",
+    "chunk": "crf", "parse": "transformer", "coref": "transformer", "entity_linking": "transformer", "wsd": "embedding", "romanize": "seq2seq", "transliterate": "seq2seq icu", "pronunciate": "seq2seq", "spell": "hunspell transformer embedding", "summarize": "seq2seq",
+    "keywords": "embedding", "generate": "lm", "chat": "lm", "translate": "seq2seq lexicon", "augment": "embedding transformer wordnet", "word_vector": "embedding", "document_vector": "lm", "soundex": "ipa", "abbreviation": "embedding", "wordnet": "database",
 }
 _registered: dict[tuple[str, str], Callable[..., Any]] = {}
 

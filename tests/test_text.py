@@ -145,9 +145,13 @@ def test_columns_agree_with_functions(spark):
     from saithong.models import ModelUnavailable
 
     with pytest.raises(ModelUnavailable):
-        S.word_tokenize("t", d, engine="deepcut")
+        S.word_tokenize("t", d, engine="cnn")
     with pytest.raises(ValueError):
         S.word_tokenize("t", d, engine="none")
+    from saithong import models
+
+    models.register("word_tokenize", "blanks", lambda c: F.split(c, " "))
+    assert df.select(S.word_tokenize("t", d, engine="blanks").alias("x")).collect()[3].x[:2] == ["hello", "world"]
 
 
 def test_spans_and_detokenize(value):
