@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -77,14 +78,27 @@ def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: What Python workers keep from task to task, by module and name: it goes when another module's function runs, as workers outlive stages.
+held: dict[tuple[str, str], object] = {}
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidied(run: Callable) -> Callable:
-    """A function for mapInArrow that gives unused memory back when its task ends; Python workers outlive their tasks."""
+    """A function for mapInArrow that gives unused memory back when its task ends, and what other modules hold when it begins."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if foreign := [k for k in held if k[0] != run.__module__]:
+            for k in foreign:
+                del held[k]
+            gc.collect()
+            _trim()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _trim()
 
     return wrapped
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from saithong.llm.common import cut, tidied, word_numbers
 
 WINDOW = 13
-_BLOCK_BYTES = 8 << 20
+_BLOCK_BYTES = 4 << 20
 _QUERY_ROWS = 20_000  # test items looked up at a time
 #: Lower-cases A-Z and makes a blank of all that is no digit, letter or byte above ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, coded_words, cut, tidied
+from saithong.llm.common import by_bytes, coded_words, cut, held, tidied
 
 END = 1
-_MEMO = 800_000
+_MEMO = 500_000
 _BLOCK = 1 << 20  # ids in a shard, about; a longer document makes a shard of its own
 #: One row of the file format. rules: pairs of symbols, uint32; a rule's own symbol is n_ids plus its place. lengths: ids that each rule expands to, uint32. symbols: the compressed sequence, uint32 or uint16. doc_sizes, doc_symbols: ids and symbols of each document, uint32.
 SHARD = "part int, shard int, n_ids int, width int, n_tokens bigint, rules binary, lengths binary, symbols binary, doc_sizes binary, doc_symbols binary"
@@ -184,14 +184,11 @@ class Encoder:
         return gather(own, np.cumsum(length) - length, length, seq), sizes
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The Python worker's encoder for a file; what it remembers serves all of the worker's tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The Python worker's encoder for a file; what it remembers serves all of the stage's tasks."""
+    if (__name__, path) not in held:
+        held[__name__, path] = Encoder(path)
+    return held[__name__, path]
 
 
 def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray], n_ids: int) -> tuple:
@@ -224,7 +221,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            for start, end in by_bytes(texts, 16 << 20):
+            for start, end in by_bytes(texts, 12 << 20):
                 out, n = encode(texts[start:end])
                 at = np.r_[0, np.cumsum(n)]
                 cuts = [0, *np.unique(np.searchsorted(at, np.arange(block, at[-1], block))).tolist(), len(n)]

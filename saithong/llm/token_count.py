@@ -11,24 +11,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, tidied
+from saithong.llm.common import by_bytes, held, tidied
 
 #: A lone blank between two other characters: byte-level pre-tokenizers begin a new piece at it, whatever surrounds it. Python's white space contains all that Unicode calls so, hence no boundary is unsafe.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _BATCH_BYTES = 1 << 20
 _MEMO = 300_000
 _LONG = 64
-_loaded: dict[str, tuple] = {}
 
 
 def load(path: str) -> tuple:
     """(count of each of many strings, splits at blanks or not) for a tokenizer file; once per Python worker."""
-    if path not in _loaded:
+    if (__name__, path) not in held:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _loaded[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False)
+            held[__name__, path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -37,8 +36,8 @@ def load(path: str) -> tuple:
             model.no_truncation()
             model.no_padding()
             byte_level = '"use_regex":true' in model.to_str(pretty=False) and model.normalizer is None
-            _loaded[path] = (lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], byte_level)
-    return _loaded[path]
+            held[__name__, path] = (lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], byte_level)
+    return held[__name__, path]
 
 
 def _batched(count, texts: list[str]) -> list[int]:
