@@ -47,7 +47,6 @@ def repeated_words(words: Column, n: int = _REPEAT) -> Column:
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word) and n_chars of each row, in one pass without a shuffle; and the columns named in keep."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
     text = docs.select(F.col(id_col), F.col(text_col).alias("_t"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)))
     t = F.coalesce(F.col("_t"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
