@@ -25,6 +25,7 @@ _BACK = 50.0  # weight of a suffix's distribution in that of its context, in tok
 _GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
 END = b"\n"  # stands for the end in the tables of counts; no word has white space
 _OTHER, _START = 0, 1  # numbers of words beyond the vocabulary, and of a text's beginning
+_ANY = -1  # in counts: any next word
 _FLUSH = 6_000_000
 
 
@@ -118,7 +119,7 @@ def _with_ends(rare: pa.Array, bounds: np.ndarray) -> pa.Array:
 
 
 def _pair_counts(model, level: int):
-    """Counts of (context of `level` words, next word), of contexts whose suffix and whose words are in the model. The context is a pair (place of its suffix at the level before, its oldest word)."""
+    """Counts of (context of `level` words, next word), of contexts whose suffix and whose words are in the model, and under the next word _ANY how often each context has any next word, in the model or not. The context is a pair (place of its suffix at the level before, its oldest word)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -138,15 +139,17 @@ def _pair_counts(model, level: int):
             if len(flat) <= level:
                 continue
             state = m.contexts(flat)[level - 2] if level > 1 else np.zeros(len(flat), np.int64)
-            ok = np.flatnonzero((state[level:] >= 0) & (flat[:-level] > _OTHER) & (flat[:-level] != m.number.get(END)) & (flat[level:] > _START)) + level
+            inside = np.flatnonzero((state[level:] >= 0) & (flat[:-level] > _OTHER) & (flat[:-level] != m.number.get(END)) & (flat[level:] != _START)) + level
+            totals = np.stack([(state[inside] << 32) | flat[inside - level], np.full(len(inside), _ANY)], 1)
+            ok = inside[flat[inside] > _START]
             if level > 1:
                 # What is frequent has frequent parts: the shorter context with the word, and the longer context's other words.
                 keys = m.levels[level - 2][0]
                 ok = ok[m.find(keys, (state[ok] << 32) | flat[ok]) >= 0]
                 outer = m.contexts(flat)[level - 2][ok - 1]
                 ok = ok[(outer < 0) | (m.find(keys, (np.maximum(outer, 0) << 32) | flat[ok - 1]) >= 0)]
-            held.append(np.stack([(state[ok] << 32) | flat[ok - level], flat[ok]], 1))
-            size += len(held[-1])
+            held += [np.stack([(state[ok] << 32) | flat[ok - level], flat[ok]], 1), totals]
+            size += len(held[-2]) + len(held[-1])
             if size > _FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -157,12 +160,13 @@ def _pair_counts(model, level: int):
 
 
 def _grow(model: Model, ctx: np.ndarray, word: np.ndarray, n: np.ndarray, back: float, gain: float) -> None:
-    """Adds a level: of the counted contexts those whose next words diverge from their suffix's."""
+    """Adds a level: of the counted contexts those whose next words diverge from their suffix's. A context's total is its count with any next word; those that have no entry have the escape's probability, in the test as in the score."""
     order = np.lexsort((word, ctx))
     ctx, word, n = ctx[order], word[order], n[order]
-    names, start = np.unique(ctx, return_index=True)
-    of = np.repeat(np.arange(len(names)), np.diff(np.r_[start, len(ctx)]))
-    total = np.bincount(of, n, len(names)) if len(names) else np.zeros(0)
+    whole = word == _ANY
+    names, total = ctx[whole], n[whole].astype(np.float64)  # a context is as frequent as any of its entries, so it is there
+    ctx, word, n = ctx[~whole], word[~whole], n[~whole]
+    of = np.searchsorted(names, ctx)
     # log10 of the probability in the suffix's state
     lower = model.base[word]
     suffix = ctx >> 32
@@ -174,7 +178,11 @@ def _grow(model: Model, ctx: np.ndarray, word: np.ndarray, n: np.ndarray, back:
         at = model.find(keys, (state << 32) | word)
         lower = np.where(at >= 0, prob[np.maximum(at, 0)], lower)
     p = (n + back * 10**lower) / (total[of] + back)
-    diverge = np.bincount(of, n * (np.log(p) - lower * math.log(10)), len(names)) if len(names) else total
+    if len(names):
+        left = total - np.bincount(of, n, len(names))
+        diverge = np.bincount(of, n * (np.log(p) - lower * math.log(10)), len(names)) + left * np.log(back / (total + back))
+    else:
+        diverge = total
     keep = diverge > gain
     place = np.cumsum(keep) - 1
     on = keep[of]

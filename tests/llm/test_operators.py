@@ -314,6 +314,45 @@ def test_suffix_tree_sums_to_one_and_learns(spark):
         assert 0.95 < total <= 1 + 1e-9
 
 
+def _zipf_rows(seed=11, n=400):
+    """Texts in which one word stands before many rare ones, and pairs of words belong together."""
+    rng = random.Random(seed)
+    made = []
+    for i in range(n):
+        w = []
+        for _ in range(60):
+            k = rng.randint(0, 9)
+            if k < 4:
+                w += ["the", f"r{int(rng.paretovariate(0.6)) % 4000}"]
+            elif k < 8:
+                a = rng.randint(0, 30)
+                w += [f"a{a}", f"b{a}", f"c{(a + rng.randint(0, 1)) % 31}"]
+            else:
+                w.append(f"r{rng.randint(0, 4000)}")
+        made.append((i, " ".join(w)))
+    return made
+
+
+def test_suffix_tree_totals_count_all_followers(spark):
+    import numpy as np
+
+    from saithong.llm.suffix_tree import score, train
+
+    df = spark.createDataFrame(_zipf_rows(), "doc_id bigint, text string")
+    held = F.col("doc_id") % 5 == 0
+    trained = train(df.filter(~held), share=0.001)
+    model = trained[0]
+    count = Counter(w for i, t in _zipf_rows() if i % 5 for w in t.split())
+    contexts, escape = model.levels[0][2:]
+    assert model.find(contexts, np.array([model.number[b"the"]]))[0] >= 0
+    for w, k in model.number.items():  # a word has a next one, or the end, as often as it occurs
+        at = model.find(contexts, np.array([k]))[0]
+        if at >= 0:
+            assert 10 ** escape[at] == pytest.approx(50 / (count[w.decode()] + 50))
+    got = score(df.filter(held), trained).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def _last_term(model, text):
     """log10 probability of the end behind a text."""
     import numpy as np
