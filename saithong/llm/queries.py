@@ -27,10 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saithong.llm.common import hashed_mod
-    from saithong.llm.suffix_tree import score, train
+    from saithong.llm.suffix_tree import corpus_scores
 
     docs, held_out = _docs(spark, sf_dir), hashed_mod(F.col("doc_id"), 10) == 0
-    return score(docs, train(docs.filter(~held_out)), extra={"held_out": held_out})
+    return corpus_scores(docs, ~held_out, extra={"held_out": held_out})
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

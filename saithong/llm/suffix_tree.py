@@ -1,6 +1,6 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Contexts of up to DEPTH words are counted level by level over the whole corpus: a level only looks at what the level before found frequent, so its table is bounded whatever the corpus. A context stays if its next words diverge from those of its suffix; its distribution is smoothed with its suffix's. A word is scored in the state of the longest suffix that stayed.
+Contexts of up to DEPTH words are counted level by level over the whole corpus. A context stays if its next words diverge from those of its suffix; its distribution is smoothed with its suffix's. A word is scored in the state of the longest suffix that stayed.
 """
 
 from __future__ import annotations
@@ -12,15 +12,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
 DEPTH = 2
-#: A word, or a context with its next word, is kept in the model if at least this share of the training tokens is it. So each level has at most 1 / SHARE entries.
-SHARE = 2e-6
-_LEAST = 2  # and at least so many tokens
+_LEAST = 2  # occurrences of a word, or of a context with its next word, that the model has
 _BACK = 50.0  # weight of a suffix's distribution in that of its context, in tokens
 _GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
 END = b"\n"  # stands for the end in the tables of counts; no word has white space
@@ -189,8 +188,8 @@ def _grow(model: Model, ctx: np.ndarray, word: np.ndarray, n: np.ndarray, back:
     model.levels.append(((place[of[on]] << 32) | word[on], np.log10(p[on]), names[keep], np.log10(back / (total[keep] + back))))
 
 
-def train(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, share: float = SHARE, back: float = _BACK, gain: float = _GAIN) -> tuple[Model, DataFrame]:
-    """(the tree, a table of the counts of all words). The words' table is complete and stays in Spark; the tree's own levels are bounded by `share` and come to the driver."""
+def train(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, share: float = 0, back: float = _BACK, gain: float = _GAIN) -> tuple[Model, DataFrame]:
+    """(the tree, a table of the counts of all words). The words' table is complete and stays in Spark; the tree comes to the driver. It is for small corpora, or for a caller who bounds it: with `share` only what makes up that share of the tokens is in the tree. corpus_scores() has no tree in one place."""
     docs = docs.select(F.col(text_col).alias("text"))
     counts = cut(docs.mapInArrow(tidied(_word_counts), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -240,9 +239,215 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame], *, id_col: str = "d
     if n == 0:
         unknown = math.log10(0.1 / (0.1 * (v + 1)))
     term = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1))))
-    rare = scored.select("row", F.explode("rare").alias("w"))  # each of these words has less than `share` of the tokens: no key is hot
+    rare = scored.select("row", F.explode("rare").alias("w"))  # these words are not in the tree: with a share, none has more of the tokens
     rare = rare.join(counts.select(F.col("word"), "n"), F.col("w") == F.col("word"), "left")
     rare = rare.groupBy(F.col("row").alias("r")).agg(F.sum(term).alias("more"), F.count("n").alias("found"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = scored.drop("rare").join(rare, F.col("row") == F.col("r"), "left")
     return both.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", (F.col("n_common") + zero("found")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("more")).alias("base_score"), (F.col("full") + zero("more")).alias("score"))
+
+
+# Training and scoring of a whole corpus, without a tree in one place
+
+_SLICE = 500_000  # tokens whose keys share a bucket, about
+_BEGIN = b"\n\n"  # stands before a text, as a context
+_WORD, _PAIR, _KEEP1, _TRIPLE, _KEEP2 = range(5)  # what is asked for
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs; floats as they are."""
+    if a.dtype.kind != "f":
+        a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    return a.dtype.str.ljust(4).encode() + a.tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.dtype(bytes(b[:4]).decode().strip()), offset=4)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of 64-bit keys."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block of texts: its rows, its distinct words' hashes, and its words as numbers among these, by planes of bytes."""
+    from pyspark import TaskContext
+
+    block, zstd = TaskContext.get().partitionId() << 32, pa.Codec("zstd")
+    for b, texts in _texts(batches):
+        words, numbers, sizes = word_numbers(texts, lower=True)
+        train = pc.fill_null(b.column("train"), False).to_numpy(zero_copy_only=False)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, END, _BEGIN]), np.uint64, len(words) + 2)
+        planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.StructArray.from_arrays([b.column("id"), b.column("extra")], ["id", "extra"]))
+        tokens = sizes + 1
+        columns = [[block], [int(tokens.sum())], [int(tokens[train].sum())], [train.tobytes()], [sizes.astype("<u4").tobytes()], [zstd.compress(planes.tobytes(), asbytes=True)], [hashes.tobytes()]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows], ["block", "n", "n_train", "train", "sizes", "codes", "words", "rows"])
+        block += 1
+
+
+class _Block:
+    """The tokens of a block, each with its two words before, and what has been answered about them."""
+
+    def __init__(self, row: dict, answers: pa.Table, n: int, v: int, back: float):
+        self.n, self.v, self.back = n, v, back
+        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        size = int(sizes.sum())
+        planes = pa.Codec("zstd").decompress(row["codes"], 4 * size, asbytes=True) if size else b""
+        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        self.words, of_word = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
+        end, begin = of_word[-2:]
+        self.tokens = sizes + 1
+        self.first = np.cumsum(self.tokens) - self.tokens
+        self.flat = np.full(size + len(sizes), end)
+        inside = np.ones(len(self.flat), bool)
+        inside[self.first + sizes] = False
+        self.flat[inside] = of_word[codes]
+        self.train = np.repeat(np.frombuffer(row["train"], bool), self.tokens)
+        self.before = np.r_[begin, self.flat[:-1]]
+        self.before[self.first] = begin
+        behind = np.ones(len(self.flat), bool)
+        behind[self.first] = False
+        self.two = np.flatnonzero(behind)  # tokens with two before them, or one and the beginning
+        self.keys = self.words[self.flat]
+        self.pair = _mixed(self.words[self.before], self.keys)
+        self.counts = np.bincount(self.flat, self.train, len(self.words)).astype(np.int64)
+        self.counts[begin] = self.train[self.first].sum()
+        kinds, buckets, data = (answers.column(k).to_pylist() for k in ("kind", "bucket", "data"))
+        parts: dict[int, list] = {}
+        for k, _, d in sorted(zip(kinds, buckets, data, strict=True), key=lambda x: x[:2]):
+            parts.setdefault(k, []).append(_unpacked(d))
+        self.said = {k: np.concatenate(p) for k, p in parts.items()}
+
+    def level_one(self) -> None:
+        """Probabilities by word counts, and behind one word."""
+        self.pairs, self.of_pair = np.unique(self.pair, return_inverse=True)
+        if _WORD not in self.said:
+            return
+        self.count = self.said[_WORD].astype(np.float64)
+        self.base = ((self.count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
+        self.seen = self.said[_PAIR][self.of_pair].astype(np.int64)
+        n = np.where(self.seen >= _LEAST, self.seen, 0)
+        self.p1 = (n + self.back * self.base) / (self.count[self.before] + self.back)
+
+    def level_two(self) -> None:
+        """Of tokens behind two words: those whose pairs are frequent, and their triples."""
+        at = self.two[(self.seen[self.two] >= _LEAST) & (self.seen[self.two - 1] >= _LEAST)]
+        self.at = at
+        self.triples, self.of_triple = np.unique(_mixed(self.pair[at - 1], self.keys[at]), return_inverse=True)
+
+    def states(self) -> None:
+        """What level one keeps, and probabilities behind two words."""
+        keep = self.said[_KEEP1].astype(bool)
+        self.p = np.where(keep[self.before], self.p1, self.base)
+        n = np.zeros(len(self.flat))
+        if len(self.at):
+            n[self.at] = self.said[_TRIPLE][self.of_triple]
+        self.ctx = self.two[keep[self.flat[self.two - 1]] & (self.seen[self.two - 1] >= _LEAST)]
+        n = n[self.ctx]
+        self.p2 = (np.where(n >= _LEAST, n, 0) + self.back * self.p1[self.ctx]) / (self.seen[self.ctx - 1] + self.back)
+        self.contexts, self.of_context = np.unique(self.pair[self.ctx - 1], return_inverse=True)
+
+    def asks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, sorted keys, values to add up) of what is to be asked next: counts in training texts, then nats by which a context's next words are likelier than in its suffix's state."""
+        self.level_one()
+        count = lambda of, where, size: np.bincount(of, self.train[where], size).astype(np.int64)
+        if _WORD not in self.said:
+            yield _WORD, self.words, self.counts
+            yield _PAIR, self.pairs, count(self.of_pair, slice(None), len(self.pairs))
+            return
+        self.level_two()
+        if _KEEP1 not in self.said:
+            yield _KEEP1, self.words, np.bincount(self.before, self.train * np.log(self.p1 / self.base), len(self.words))
+            yield _TRIPLE, self.triples, count(self.of_triple, self.at, len(self.triples))
+            return
+        self.states()
+        yield _KEEP2, self.contexts, np.bincount(self.of_context, self.train[self.ctx] * np.log(self.p2 / self.p1[self.ctx]), len(self.contexts))
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: tokens, those with a count, log10 of its probability by word counts and by the tree."""
+        self.level_one()
+        self.level_two()
+        self.states()
+        if len(self.contexts):
+            on = self.said[_KEEP2].astype(bool)[self.of_context]
+            self.p[self.ctx[on]] = self.p2[on]
+        total = lambda x: np.add.reduceat(x, self.first)
+        return self.tokens, total((self.count > 0)[self.flat].astype(np.int64)), total(np.log10(self.base)), total(np.log10(self.p))
+
+
+def _answered(gain: float):
+    """Sums of the values of equal keys of a bucket, given back to each block in the order of its keys: counts, or whether a context stays. n counts the distinct keys that occur, on one row of each bucket."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
+        keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
+        values = np.concatenate([_unpacked(x) for x in asked.column("sums").to_pylist()])
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, values, len(distinct))
+        answer = (total > gain).astype(np.uint8) if kind in (_KEEP1, _KEEP2) else total.astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        data = [_packed(answer[of[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
+        n = [int((total > 0).sum())] + [0] * (len(keys) - 1)
+        return pa.table({"block": asked.column("block"), "kind": pa.array([kind] * len(keys), pa.int32()), "bucket": pa.array([bucket] * len(keys), pa.int32()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return run
+
+
+def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, back: float = _BACK, gain: float = _GAIN) -> DataFrame:
+    """score() of all rows by the tree of those where `training` holds, of contexts of up to two words: every word, pair and triple with at least _LEAST occurrences counts, however many there are, and nothing is collected or broadcast.
+
+    Blocks of texts ask for sums over the corpus, by 64-bit hashes of their distinct words, pairs and triples; each block sends a key once, so no key is hot. First the counts of words and pairs; then which words stay as contexts, and the counts of triples of frequent pairs; then which pairs stay.
+    """
+    extra = extra or {}
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in extra.items())).alias("extra"), training.alias("train"), F.col(text_col).alias("text"))
+    kind, more = (rows.schema[k].dataType.simpleString() for k in ("id", "extra"))
+    blocks = cut(rows.mapInArrow(tidied(_encoded), f"block bigint, n bigint, n_train bigint, train binary, sizes binary, codes binary, words binary, rows array<struct<id: {kind}, extra: {more}>>"), "blocks")
+    size, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    bits = max(1, math.ceil(math.log2(size / _SLICE))) if size else 1
+    answers, v = None, 0
+
+    def asked(row: dict, said: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in ("block", "kind", "bucket", "keys", "sums")}
+        for what, keys, sums in _Block(row, said, n, v, back).asks():
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, z in zip(starts, np.r_[starts[1:], len(keys)][: len(starts)], strict=True):
+                for k, x in zip(out, (row["block"], what, int(bucket[a]), keys[a:z].tobytes(), _packed(sums[a:z])), strict=True):
+                    out[k].append(x)
+        return pa.table(list(out.values()), schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())]))
+
+    nothing = pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield from asked(row, nothing).to_batches()
+
+    def later(block: pa.Table, said: pa.Table) -> pa.Table:
+        return asked(block.to_pylist()[0], said)
+
+    def final(block: pa.Table, said: pa.Table) -> pa.Table:
+        own = block.column("rows").combine_chunks().flatten()
+        row = block.drop_columns(["rows"]).to_pylist()[0]
+        columns = _Block(row, said, n, v, back).scores()
+        return pa.table([own.field("id"), own.field("extra"), *map(pa.array, columns)], names=["id", "extra", "n_tokens", "n_known", "base_score", "score"])
+
+    ask = "block bigint, kind int, bucket int, keys binary, sums binary"
+    texts = blocks.drop("rows")
+    for turn in range(3):
+        if turn == 0:
+            wanted = texts.mapInArrow(tidied(first), ask)
+        else:
+            wanted = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, ask)
+        got = cut(wanted.groupBy("bucket", "kind").applyInArrow(_answered(gain), "block bigint, kind int, bucket int, n bigint, data binary"), "answers")
+        if turn == 0:
+            v = got.filter(F.col("kind") == _WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - (n > 0)  # without the beginning
+        answers = got if answers is None else answers.unionByName(got)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, f"id {kind}, extra {more}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

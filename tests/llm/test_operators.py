@@ -353,6 +353,35 @@ def test_suffix_tree_totals_count_all_followers(spark):
     assert got[0] > got[1]
 
 
+def test_corpus_scores_as_the_whole_tree(spark, docs, empty, monkeypatch):
+    from saithong.llm import suffix_tree as T
+
+    monkeypatch.setattr(T, "_SLICE", 3000)
+    held = F.col("doc_id") % 5 == 0
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in _zipf_rows()], "doc_id bigint, text string")).repartition(3)
+    key = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+    got = sorted(T.corpus_scores(both, ~held, extra={"held_out": held}).collect(), key=key)
+    trained = T.train(both.filter(~held))
+    assert all(len(level[2]) > 5 for level in trained[0].levels) and len(trained[0].levels) == 2
+    expected = sorted(T.score(both, trained, extra={"held_out": held}).collect(), key=key)
+    assert list(map(key, got)) == list(map(key, expected))
+    for g, e in zip(got, expected, strict=True):
+        assert g.base_score == pytest.approx(e.base_score, rel=1e-9) and g.score == pytest.approx(e.score, rel=1e-9)
+    assert sum(g.score for g in got if g.held_out) > sum(g.base_score for g in got if g.held_out)
+    assert T.corpus_scores(empty, ~held).collect() == []
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in T.corpus_scores(docs, F.lit(False)).collect())
+
+
+def test_suffix_tree_query_learns_rare_pairs(spark, tmp_path):
+    from saithong.llm.queries import op3_suffix_tree_scores
+
+    # A pair that occurs at most 10 times among more than 5 million tokens is less than 2e-6 of them, and still is learned.
+    rows = [(i, "x y " * 32_000) for i in range(100)] + [(100 + i, "rare pair") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_suffix_tree_scores(spark, str(tmp_path)).filter("doc_id >= 100").collect()
+    assert all(r.score > r.base_score + 3 for r in got)
+
+
 def _last_term(model, text):
     """log10 probability of the end behind a text."""
     import numpy as np
