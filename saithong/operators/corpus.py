@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,13 +109,10 @@ def lcs_length(a: list, b: list) -> int:
 
 def longest_common_subsequence(a: str, b: str) -> str:
     """The longest common subsequence of two strings; of several that which keeps to the first string's later characters."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last = rows[-1]
-        row = [0]
-        for j, y in enumerate(b, 1):
-            row.append(last[j - 1] + 1 if x == y else max(last[j], row[-1]))
-        rows.append(row)
+    letters = np.array([ord(y) for y in b], np.int64)
+    rows = np.zeros((len(a) + 1, len(b) + 1), np.uint16 if min(len(a), len(b)) < 1 << 16 else np.int64)
+    for k, x in enumerate(a):
+        np.maximum.accumulate(np.maximum(rows[k, 1:], rows[k, :-1] + (letters == ord(x)).astype(rows.dtype)), out=rows[k + 1, 1:])
     i, j, out = len(a), len(b), []
     while i and j:
         if a[i - 1] == b[j - 1]:

@@ -153,6 +153,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, (F.col("k") == F.col("conv_id")) & (F.col("n") == F.col("turn"))).select("k", "r", "h")
 
 
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation and the one after, whole."""
+    t = _table(spark, sf_dir, "conversations")
+    a = t.select(F.struct(F.col("conv_id").alias("k"), "turn").alias("key"), F.col("text").alias("a"))
+    b = t.select(F.struct(F.col("conv_id").alias("k"), (F.col("turn") - 1).alias("turn")).alias("of"), F.col("text").alias("b"))
+    return a.join(b, (F.col("key.k") == F.col("of.k")) & (F.col("key.turn") == F.col("of.turn"))).select("key", "a", "b", F.split("a", " ").alias("r"), F.split("b", " ").alias("h"))
+
+
 def _rouge_sql(n: int) -> str:
     gram = f"list_transform(range(1, len({{}}) - {n} + 2), lambda i: array_to_string({{}}[i : i + {n - 1}], chr(31)))"
     return f"""
@@ -181,18 +189,17 @@ def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rouge_l(_pairs(spark, sf_dir), "r", "h", "k")
+    return R.rouge_l(_turn_pairs(spark, sf_dir), "r", "h", "key").select("key.*", "precision", "recall", "fmeasure")
 
 
 @query()
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("k", R.word_error_rate("r", "h").alias("wer"))
+    return _turn_pairs(spark, sf_dir).select("key.*", R.word_error_rate("r", "h").alias("wer"))
 
 
 @query()
 def longest_common_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).select("k", F.array_join(F.slice("r", 1, 5), " ").alias("a"), F.array_join(F.slice("h", 1, 5), " ").alias("b"))
-    return pairs.select("k", R.lcs("a", "b").alias("lcs"))
+    return _turn_pairs(spark, sf_dir).select("key.*", R.lcs("a", "b").alias("lcs"))
 
 
 @query("SELECT s_suppkey, p_partkey, round(levenshtein(p_name, s_name) / length(p_name), 9) AS cer FROM part JOIN supplier ON p_partkey = s_suppkey")

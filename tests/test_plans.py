@@ -48,3 +48,25 @@ def test_python_sees_only_its_columns(spark):
     d = S.broadcast_words(spark, ["คน"])
     p = plan(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", S.word_tokenize("text", d).alias("t")))
     assert p.count("ArrowEvalPython") == 1 and "lang" not in p
+
+
+def test_metrics_score_every_turn_whole(spark, tmp_path):
+    from saithong.plans import registry
+
+    said = {(1, 0): "a b c d e f g h", (1, 1): "x f g h", (1, 2): "x f g", (2, 4): "one two three four five six", (2, 5): "six", (3, 1): "alone", (4, 0): "", (4, 1): "ab ba"}
+    spark.createDataFrame([(*k, "user", t) for k, t in said.items()], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = {k: (t, said[k[0], k[1] + 1]) for k, t in said.items() if (k[0], k[1] + 1) in said}
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+
+    def brute(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            rows.append([0])
+            for j, y in enumerate(b):
+                rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][-1]))
+        return rows[-1][-1]
+
+    assert {(r.k, r.turn): len(r.lcs) for r in run("longest_common_subsequence")} == {k: brute(*p) for k, p in pairs.items()}
+    words = {k: (a.split(" "), b.split(" ")) for k, (a, b) in pairs.items()}
+    assert {(r.k, r.turn): r.recall for r in run("rouge_l")} == {k: pytest.approx(brute(a, b) / len(a)) for k, (a, b) in words.items()}
+    assert {(r.k, r.turn): r.wer for r in run("word_error_rate")} == {(1, 0): 5 / 8, (1, 1): 1 / 4, (2, 4): 5 / 6, (4, 0): 2.0}
