@@ -1,14 +1,15 @@
-"""Language-model scoring by a probabilistic suffix tree over words.
+"""Language-model scoring by a probabilistic suffix tree over words, grown and read without a tree in one place.
 
-Contexts of up to DEPTH words are counted level by level over the whole corpus. A context stays if its next words diverge from those of its suffix; its distribution is smoothed with its suffix's. A word is scored in the state of the longest suffix that stayed.
+A context is a word, or up to `depth` words (of which the first may be a text's beginning). All contexts that the training texts have at least twice are examined, whether their suffixes stay or not; one stays if its next words diverge from those of its suffix. Its distribution is smoothed with its suffix's, and a word is scored in the state of the longest suffix of what is before it that stayed.
+
+Blocks of texts ask for sums over the corpus by 64-bit hashes of their distinct words and phrases, turn by turn: a block sends a key once, so no key is hot, sums are made by ranges of hashes, and nothing is collected or broadcast. Different phrases with the same hash would be counted as one.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +20,13 @@ from pyspark.sql import functions as F
 
 from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
-DEPTH = 2
-_LEAST = 2  # occurrences of a word, or of a context with its next word, that the model has
-_BACK = 50.0  # weight of a suffix's distribution in that of its context, in tokens
-_GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
-END = b"\n"  # stands for the end in the tables of counts; no word has white space
-_OTHER, _START = 0, 1  # numbers of words beyond the vocabulary, and of a text's beginning
-_ANY = -1  # in counts: any next word
-_FLUSH = 6_000_000
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased words of a text, then one end."""
-    out = text.lower().split()
-    out.append(END)
-    return out
+DEPTH = 4  # words of the longest contexts
+BACK = 4.0  # weight of a suffix's distribution in that of its context, in tokens
+GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
+_LEAST = 2  # occurrences of a context, and of a next word that speaks for its divergence
+_SLICE = 1_000_000  # tokens whose keys share a bucket, about
+_END, _BEGIN = b"\n", b"\n\n"  # stand behind and before a text; no word has white space
+_RAW = 5  # bytes of a difference between keys that are stored as they are
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -43,227 +36,35 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield b.slice(start, end - start), column[start:end]
 
 
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in _texts(batches):
-        words, numbers, _ = word_numbers(texts, lower=True)
-        yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.r_[np.bincount(numbers, minlength=len(words)), len(texts)].astype(np.int64))], ["word", "n"])
-
-
-class Model:
-    """The tree: words (numbers from 2 on), and per level the contexts with their next words as sorted keys.
-
-    Level k has keys of k + 1 words (the context's, oldest first, then the next word), packed; a level's contexts are packed likewise. escape[c] is the weight that context c leaves to its suffix, and rise[key] log10 of the word's probability.
-    """
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int):
-        self.number = {w: i for i, w in enumerate(words, 2)}
-        self.n, self.v = n, v
-        self.base = np.r_[0.0, 0.0, np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))] if len(words) else np.zeros(2)
-        self.unknown = math.log10(0.1 / (n + 0.1 * (v + 1)))
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # keys, log10 of probabilities, contexts, log10 of escapes
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """(numbers of all tokens, with a start before each text and an end behind it; where each text starts; its words as word_numbers() has them, and their numbers here)."""
-        words, numbers, sizes = word_numbers(texts, lower=True)
-        own = np.fromiter(map(self.number.get, words, repeat(_OTHER)), np.int64, len(words))
-        first = np.cumsum(sizes + 2) - sizes - 2
-        flat = np.full(int((sizes + 2).sum()), _START, np.int64)
-        inside = np.ones(len(flat), bool)
-        inside[first] = inside[first + sizes + 1] = False
-        flat[inside] = own[numbers]
-        flat[first + sizes + 1] = self.number.get(END, _OTHER)
-        return flat, first, (words, numbers, sizes, own)
-
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Places of the wanted among sorted keys, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1, np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def contexts(self, flat: np.ndarray) -> list[np.ndarray]:
-        """For each level the place of each token's context among the level's, or -1. A context of level k + 1 is a context of level k, by its place, with one word more before it: so no key outgrows 64 bits."""
-        out, size = [], len(flat)
-        state = np.zeros(size, np.int64)  # the empty context
-        for k, (_, _, ctx, _) in enumerate(self.levels, 1):
-            before = np.r_[np.full(k, -1), flat[: size - k]] if size > k else np.full(size, -1)
-            before[before == self.number.get(END)] = -1  # a context doesn't reach into the text before
-            state = np.where((state >= 0) & (before > _OTHER), self.find(ctx, np.where(before > _OTHER, (state << 32) | np.maximum(before, 0), -1)), -1)
-            out.append(state)
-        return out
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Per text: its tokens; (base, model) log10 probabilities but for the base terms of words beyond the vocabulary; and those words."""
-        flat, first, (words, numbers, sizes, own) = self.ids(texts)
-        base = self.base[flat]
-        score = base.copy()
-        for (keys, prob, _, escape), state in zip(self.levels, self.contexts(flat), strict=True):
-            inside = np.flatnonzero(state >= 0)
-            score[inside] += escape[state[inside]]
-            at = self.find(keys, (state[inside] << 32) | flat[inside])
-            score[inside[at >= 0]] = prob[at[at >= 0]]
-        score[first] = 0
-        total = lambda x: np.add.reduceat(x, first) if len(first) else x
-        strange = np.r_[(own == _OTHER)[numbers], np.zeros(0, bool)]
-        bounds = np.r_[0, np.cumsum(strange)][np.r_[0, np.cumsum(sizes)]]
-        rare = pa.array(words, pa.binary()).take(pa.array(numbers[strange]))
-        if END not in self.number:  # without training texts
-            return sizes + 1, total(base), total(score), _with_ends(rare, bounds)
-        return sizes + 1, total(base), total(score), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)
-
-
-def _with_ends(rare: pa.Array, bounds: np.ndarray) -> pa.Array:
-    rows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare).to_pylist()
-    return pa.array([[*r, END] for r in rows], pa.list_(pa.binary()))
-
-
-def _pair_counts(model, level: int):
-    """Counts of (context of `level` words, next word), of contexts whose suffix and whose words are in the model, and under the next word _ANY how often each context has any next word, in the model or not. The context is a pair (place of its suffix at the level before, its oldest word)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys = keys[order]
-            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-            n = np.diff(np.r_[start, len(keys)])
-            return pa.RecordBatch.from_arrays([pa.array(keys[start, 0]), pa.array(keys[start, 1]), pa.array(n)], ["ctx", "word", "n"])
-
-        for _, texts in _texts(batches):
-            flat, _, _ = m.ids(texts)
-            if len(flat) <= level:
-                continue
-            state = m.contexts(flat)[level - 2] if level > 1 else np.zeros(len(flat), np.int64)
-            inside = np.flatnonzero((state[level:] >= 0) & (flat[:-level] > _OTHER) & (flat[:-level] != m.number.get(END)) & (flat[level:] != _START)) + level
-            totals = np.stack([(state[inside] << 32) | flat[inside - level], np.full(len(inside), _ANY)], 1)
-            ok = inside[flat[inside] > _START]
-            if level > 1:
-                # What is frequent has frequent parts: the shorter context with the word, and the longer context's other words.
-                keys = m.levels[level - 2][0]
-                ok = ok[m.find(keys, (state[ok] << 32) | flat[ok]) >= 0]
-                outer = m.contexts(flat)[level - 2][ok - 1]
-                ok = ok[(outer < 0) | (m.find(keys, (np.maximum(outer, 0) << 32) | flat[ok - 1]) >= 0)]
-            held += [np.stack([(state[ok] << 32) | flat[ok - level], flat[ok]], 1), totals]
-            size += len(held[-2]) + len(held[-1])
-            if size > _FLUSH:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    return run
-
-
-def _grow(model: Model, ctx: np.ndarray, word: np.ndarray, n: np.ndarray, back: float, gain: float) -> None:
-    """Adds a level: of the counted contexts those whose next words diverge from their suffix's. A context's total is its count with any next word; those that have no entry have the escape's probability, in the test as in the score."""
-    order = np.lexsort((word, ctx))
-    ctx, word, n = ctx[order], word[order], n[order]
-    whole = word == _ANY
-    names, total = ctx[whole], n[whole].astype(np.float64)  # a context is as frequent as any of its entries, so it is there
-    ctx, word, n = ctx[~whole], word[~whole], n[~whole]
-    of = np.searchsorted(names, ctx)
-    # log10 of the probability in the suffix's state
-    lower = model.base[word]
-    suffix = ctx >> 32
-    for k, (keys, prob, _, escape) in enumerate(model.levels, 1):
-        state = suffix
-        for above in model.levels[k:][::-1]:
-            state = above[2][state] >> 32
-        lower = lower + escape[state]
-        at = model.find(keys, (state << 32) | word)
-        lower = np.where(at >= 0, prob[np.maximum(at, 0)], lower)
-    p = (n + back * 10**lower) / (total[of] + back)
-    if len(names):
-        left = total - np.bincount(of, n, len(names))
-        diverge = np.bincount(of, n * (np.log(p) - lower * math.log(10)), len(names)) + left * np.log(back / (total + back))
-    else:
-        diverge = total
-    keep = diverge > gain
-    place = np.cumsum(keep) - 1
-    on = keep[of]
-    model.levels.append(((place[of[on]] << 32) | word[on], np.log10(p[on]), names[keep], np.log10(back / (total[keep] + back))))
-
-
-def train(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, share: float = 0, back: float = _BACK, gain: float = _GAIN) -> tuple[Model, DataFrame]:
-    """(the tree, a table of the counts of all words). The words' table is complete and stays in Spark; the tree comes to the driver. It is for small corpora, or for a caller who bounds it: with `share` only what makes up that share of the tokens is in the tree. corpus_scores() has no tree in one place."""
-    docs = docs.select(F.col(text_col).alias("text"))
-    counts = cut(docs.mapInArrow(tidied(_word_counts), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(_LEAST, math.ceil(share * n))
-    common = counts.filter(F.col("n") >= least).toArrow()
-    order = np.lexsort((np.arange(common.num_rows), -common.column("n").to_numpy())) if common.num_rows else np.zeros(0, np.int64)
-    common = common.take(pa.array(order))
-    model = Model(common.column("word").to_pylist(), common.column("n").to_numpy(), n, v)
-    for level in range(1, depth + 1):
-        if not model.number or level > 1 and not len(model.levels[-1][2]):
-            break
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-        pairs = docs.mapInArrow(tidied(_pair_counts(sent, level)), "ctx bigint, word bigint, n bigint").groupBy("ctx", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        sent.unpersist()
-        _grow(model, *(pairs.column(k).to_numpy() for k in ("ctx", "word", "n")), back, gain)
-    return model, counts
-
-
-def score(docs: DataFrame, trained: tuple[Model, DataFrame], *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """Per row: its id, the columns of extra, n_tokens, n_known (tokens with a count), train_tokens, base_score and score (log10 of the text's probability by word counts, and by the tree).
-
-    A null or empty text is one token, the end. Words beyond the tree's vocabulary get their base probability times what their contexts leave; their counts are joined, so that the broadcast tree stays bounded and no count is lost. With no training text every token has the same probability. Repeated rows and null ids give a row each; an empty table gives no rows; other columns are ignored.
-    """
-    model, counts = trained
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        made = 0
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for b, texts in _texts(batches):
-            n, base, full, rare = m.score(texts)
-            row = (part << 40) + made + np.arange(len(n))
-            made += len(n)
-            n_rare = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
-            columns = [pa.array(row), b.column("id"), b.column("extra"), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(full), rare]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "extra", "n_tokens", "n_common", "base", "full", "rare"])
-
-    extra = extra or {}
-    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in extra.items())).alias("extra"), F.col(text_col).alias("text"))
-    out = f"row bigint, id {kind}, extra {rows.schema['extra'].dataType.simpleString()}, n_tokens bigint, n_common bigint, base double, full double, rare array<binary>"
-    scored = cut(rows.mapInArrow(tidied(run), out), "scored")
-    n, v, unknown = model.n, model.v, model.unknown
-    if n == 0:
-        unknown = math.log10(0.1 / (0.1 * (v + 1)))
-    term = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1))))
-    rare = scored.select("row", F.explode("rare").alias("w"))  # these words are not in the tree: with a share, none has more of the tokens
-    rare = rare.join(counts.select(F.col("word"), "n"), F.col("w") == F.col("word"), "left")
-    rare = rare.groupBy(F.col("row").alias("r")).agg(F.sum(term).alias("more"), F.count("n").alias("found"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    both = scored.drop("rare").join(rare, F.col("row") == F.col("r"), "left")
-    return both.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", (F.col("n_common") + zero("found")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("more")).alias("base_score"), (F.col("full") + zero("more")).alias("score"))
-
-
-# Training and scoring of a whole corpus, without a tree in one place
-
-_SLICE = 500_000  # tokens whose keys share a bucket, about
-_BEGIN = b"\n\n"  # stands before a text, as a context
-_WORD, _PAIR, _KEEP1, _TRIPLE, _KEEP2 = range(5)  # what is asked for
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all lowest ones first, so that equal high ones lie together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Numbers in as few bytes each as the largest needs; floats as they are."""
+    """Counts or floats, compressed; counts in as few bytes each as the largest needs."""
     if a.dtype.kind != "f":
         a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-    return a.dtype.str.ljust(4).encode() + a.tobytes()
+    return a.dtype.str.ljust(4).encode() + len(a).to_bytes(8, "little") + pa.Codec("zstd").compress(_planes(a).tobytes(), asbytes=True)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.dtype(bytes(b[:4]).decode().strip()), offset=4)
+    kind, n = np.dtype(b[:4].decode().strip()), int.from_bytes(b[4:12], "little")
+    raw = pa.Codec("zstd").decompress(b[12:], n * kind.itemsize, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: their low bytes look random and stay, the others are mostly equal and are compressed."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return len(keys).to_bytes(8, "little") + planes[:_RAW].tobytes() + pa.Codec("zstd").compress(planes[_RAW:].tobytes(), asbytes=True)
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    low, high = b[8 : 8 + _RAW * n], pa.Codec("zstd").decompress(b[8 + _RAW * n :], (8 - _RAW) * n, asbytes=True) if n else b""
+    planes = np.concatenate([np.frombuffer(x, np.uint8) for x in (low, high)]).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,47 +77,48 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block of texts: its rows, its distinct words' hashes, and its words as numbers among these, by planes of bytes."""
+    """A row per block of texts: its rows, the hashes of its distinct words, and its words as numbers among these."""
     from pyspark import TaskContext
 
-    block, zstd = TaskContext.get().partitionId() << 32, pa.Codec("zstd")
+    block = TaskContext.get().partitionId() << 32
     for b, texts in _texts(batches):
         words, numbers, sizes = word_numbers(texts, lower=True)
         train = pc.fill_null(b.column("train"), False).to_numpy(zero_copy_only=False)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, END, _BEGIN]), np.uint64, len(words) + 2)
-        planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, _END, _BEGIN]), np.uint64, len(words) + 2)
         rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.StructArray.from_arrays([b.column("id"), b.column("extra")], ["id", "extra"]))
         tokens = sizes + 1
-        columns = [[block], [int(tokens.sum())], [int(tokens[train].sum())], [train.tobytes()], [sizes.astype("<u4").tobytes()], [zstd.compress(planes.tobytes(), asbytes=True)], [hashes.tobytes()]]
+        columns = [[block], [int(tokens.sum())], [int(tokens[train].sum())], [train.tobytes()], [sizes.astype("<u4").tobytes()], [_packed(numbers)], [hashes.tobytes()]]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows], ["block", "n", "n_train", "train", "sizes", "codes", "words", "rows"])
         block += 1
 
 
+def _counts_of(level: int) -> int:
+    """The kind of asking how often training texts have phrases of level + 1 words."""
+    return 2 * level
+
+
+def _stays(level: int) -> int:
+    """The kind of asking which contexts of so many words stay."""
+    return 2 * level + 1
+
+
 class _Block:
-    """The tokens of a block, each with its two words before, and what has been answered about them."""
+    """The tokens of a block, and what has been answered about them."""
 
     def __init__(self, row: dict, answers: pa.Table, n: int, v: int, back: float):
         self.n, self.v, self.back = n, v, back
         sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        size = int(sizes.sum())
-        planes = pa.Codec("zstd").decompress(row["codes"], 4 * size, asbytes=True) if size else b""
-        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
         self.words, of_word = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
         end, begin = of_word[-2:]
         self.tokens = sizes + 1
         self.first = np.cumsum(self.tokens) - self.tokens
-        self.flat = np.full(size + len(sizes), end)
+        self.flat = np.full(int(self.tokens.sum()), end)
         inside = np.ones(len(self.flat), bool)
         inside[self.first + sizes] = False
-        self.flat[inside] = of_word[codes]
+        self.flat[inside] = of_word[_unpacked(row["codes"])]
         self.train = np.repeat(np.frombuffer(row["train"], bool), self.tokens)
         self.before = np.r_[begin, self.flat[:-1]]
         self.before[self.first] = begin
-        behind = np.ones(len(self.flat), bool)
-        behind[self.first] = False
-        self.two = np.flatnonzero(behind)  # tokens with two before them, or one and the beginning
-        self.keys = self.words[self.flat]
-        self.pair = _mixed(self.words[self.before], self.keys)
         self.counts = np.bincount(self.flat, self.train, len(self.words)).astype(np.int64)
         self.counts[begin] = self.train[self.first].sum()
         kinds, buckets, data = (answers.column(k).to_pylist() for k in ("kind", "bucket", "data"))
@@ -325,73 +127,80 @@ class _Block:
             parts.setdefault(k, []).append(_unpacked(d))
         self.said = {k: np.concatenate(p) for k, p in parts.items()}
 
-    def level_one(self) -> None:
-        """Probabilities by word counts, and behind one word."""
-        self.pairs, self.of_pair = np.unique(self.pair, return_inverse=True)
-        if _WORD not in self.said:
-            return
-        self.count = self.said[_WORD].astype(np.float64)
-        self.base = ((self.count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
-        self.seen = self.said[_PAIR][self.of_pair].astype(np.int64)
-        n = np.where(self.seen >= _LEAST, self.seen, 0)
-        self.p1 = (n + self.back * self.base) / (self.count[self.before] + self.back)
-
-    def level_two(self) -> None:
-        """Of tokens behind two words: those whose pairs are frequent, and their triples."""
-        at = self.two[(self.seen[self.two] >= _LEAST) & (self.seen[self.two - 1] >= _LEAST)]
-        self.at = at
-        self.triples, self.of_triple = np.unique(_mixed(self.pair[at - 1], self.keys[at]), return_inverse=True)
-
-    def states(self) -> None:
-        """What level one keeps, and probabilities behind two words."""
-        keep = self.said[_KEEP1].astype(bool)
-        self.p = np.where(keep[self.before], self.p1, self.base)
-        n = np.zeros(len(self.flat))
-        if len(self.at):
-            n[self.at] = self.said[_TRIPLE][self.of_triple]
-        self.ctx = self.two[keep[self.flat[self.two - 1]] & (self.seen[self.two - 1] >= _LEAST)]
-        n = n[self.ctx]
-        self.p2 = (np.where(n >= _LEAST, n, 0) + self.back * self.p1[self.ctx]) / (self.seen[self.ctx - 1] + self.back)
-        self.contexts, self.of_context = np.unique(self.pair[self.ctx - 1], return_inverse=True)
-
-    def asks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, sorted keys, values to add up) of what is to be asked next: counts in training texts, then nats by which a context's next words are likelier than in its suffix's state."""
-        self.level_one()
-        count = lambda of, where, size: np.bincount(of, self.train[where], size).astype(np.int64)
-        if _WORD not in self.said:
-            yield _WORD, self.words, self.counts
-            yield _PAIR, self.pairs, count(self.of_pair, slice(None), len(self.pairs))
-            return
-        self.level_two()
-        if _KEEP1 not in self.said:
-            yield _KEEP1, self.words, np.bincount(self.before, self.train * np.log(self.p1 / self.base), len(self.words))
-            yield _TRIPLE, self.triples, count(self.of_triple, self.at, len(self.triples))
+    def levels(self, most: int) -> Iterator[tuple]:
+        """Level by level of contexts: (level, places of tokens behind contexts that are examined; the contexts' keys; probabilities there in the suffix's state and in the context's; the latter without next words that occur once; or else, of a level that isn't counted yet, the keys to ask for and whether they are in training texts)."""
+        if _counts_of(0) not in self.said:
+            yield 1, None, None, None, None, None, (_mixed(self.words[self.before], self.words[self.flat]), self.train)
             return
-        self.states()
-        yield _KEEP2, self.contexts, np.bincount(self.of_context, self.train[self.ctx] * np.log(self.p2 / self.p1[self.ctx]), len(self.contexts))
-
-    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        count = self.said[_counts_of(0)].astype(np.int64)
+        self.known = (count > 0)[self.flat]
+        p = self.base = ((count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
+        at = np.flatnonzero(count[self.before] >= _LEAST)
+        key = _mixed(self.words[self.before], self.words[self.flat])  # of the phrase that ends at each token
+        context, total = self.words[self.before[at]], count[self.before[at]]
+        asked, n = slice(None), np.zeros(len(self.flat), np.int64)  # n: how often training texts have the phrase
+        for level in range(1, most + 1):
+            if len(key[asked]):
+                if _counts_of(level) not in self.said:
+                    yield level, None, None, None, None, None, (key[asked], self.train[asked])
+                    return
+                n[asked] = self.said[_counts_of(level)][np.unique(key[asked], return_inverse=True)[1]]
+            lower = p[at]
+            mass = lambda c, x=lower, t=total: (c + self.back * x) / (t + self.back)
+            upper, sure = mass(n[at]), mass(np.where(n[at] >= _LEAST, n[at], 0))
+            yield level, at, context, lower, upper, sure, None
+            p = p.copy()
+            p[at] = upper
+            # One word more before: the context is the phrase that ended at the token before, if it doesn't reach into another text.
+            begins = np.zeros(len(n), bool)
+            begins[self.first] = True
+            at = at[~begins[at]]
+            at = at[n[at - 1] >= _LEAST]
+            context, total = key[at - 1], n[at - 1]
+            shorter, key_before = n, key
+            key = np.zeros_like(key_before)
+            key[at] = _mixed(key_before[at - 1], self.words[self.flat[at]])
+            # What occurs once, and here in a training text, does so with any word before it; what doesn't occur doesn't.
+            n = np.zeros_like(shorter)
+            n[at] = np.minimum(shorter[at], 1)
+            asked = at[(shorter[at] > 1) | ((shorter[at] == 1) & ~self.train[at])]
+
+    def asks(self, turn: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first); and nats by which the next words of contexts of turn - 1 words are likelier than in the suffix's state."""
+        if turn == 1:
+            yield _counts_of(0), self.words, self.counts
+        for level, at, context, lower, _, sure, asked in self.levels(min(turn, depth)):
+            if asked is not None:
+                keys, of = np.unique(asked[0], return_inverse=True)
+                yield _counts_of(level), keys, np.bincount(of, asked[1], len(keys)).astype(np.int64)
+            elif level == turn - 1:
+                keys, of = np.unique(context, return_inverse=True)
+                yield _stays(level), keys, np.bincount(of, self.train[at] * np.log(sure / lower), len(keys))
+
+    def scores(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, those with a count, log10 of its probability by word counts and by the tree."""
-        self.level_one()
-        self.level_two()
-        self.states()
-        if len(self.contexts):
-            on = self.said[_KEEP2].astype(bool)[self.of_context]
-            self.p[self.ctx[on]] = self.p2[on]
+        p = None
+        for level, at, context, _, upper, _, _ in self.levels(depth):
+            p = self.base.copy() if p is None else p
+            if len(at):
+                on = self.said[_stays(level)].astype(bool)[np.unique(context, return_inverse=True)[1]]
+                p[at[on]] = upper[on]
         total = lambda x: np.add.reduceat(x, self.first)
-        return self.tokens, total((self.count > 0)[self.flat].astype(np.int64)), total(np.log10(self.base)), total(np.log10(self.p))
+        return self.tokens, total(self.known.astype(np.int64)), total(np.log10(self.base)), total(np.log10(p))
 
 
-def _answered(gain: float):
+def _answered(gain: float) -> Callable[[pa.Table], pa.Table]:
     """Sums of the values of equal keys of a bucket, given back to each block in the order of its keys: counts, or whether a context stays. n counts the distinct keys that occur, on one row of each bucket."""
 
     def run(asked: pa.Table) -> pa.Table:
         kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
-        keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
+        order = np.argsort(asked.column("block").to_numpy(), kind="stable")  # sums of floats in the same order in every run
+        asked = asked.take(pa.array(order))
+        keys = [_unpacked_keys(k) for k in asked.column("keys").to_pylist()]
         values = np.concatenate([_unpacked(x) for x in asked.column("sums").to_pylist()])
         distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, values, len(distinct))
-        answer = (total > gain).astype(np.uint8) if kind in (_KEEP1, _KEEP2) else total.astype(np.int64)
+        answer = (total > gain).astype(np.uint8) if kind % 2 else total.astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         data = [_packed(answer[of[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
         n = [int((total > 0).sum())] + [0] * (len(keys) - 1)
@@ -400,10 +209,15 @@ def _answered(gain: float):
     return run
 
 
-def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, back: float = _BACK, gain: float = _GAIN) -> DataFrame:
-    """score() of all rows by the tree of those where `training` holds, of contexts of up to two words: every word, pair and triple with at least _LEAST occurrences counts, however many there are, and nothing is collected or broadcast.
+_ASK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())])
+_NOTHING = pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+
 
-    Blocks of texts ask for sums over the corpus, by 64-bit hashes of their distinct words, pairs and triples; each block sends a key once, so no key is hot. First the counts of words and pairs; then which words stay as contexts, and the counts of triples of frequent pairs; then which pairs stay.
+def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, depth: int = DEPTH, back: float = BACK, gain: float = GAIN) -> DataFrame:
+    """Per row: its id, the columns of extra, n_tokens, n_known (tokens with a count), train_tokens, base_score and score (log10 of the text's probability by word counts, and by the tree of the rows where `training` holds), and gain_per_token, the mean of what the tree adds.
+
+    In a context with `total` occurrences a word with n of them has the probability (n + back * p) / (total + back), with p its probability in the suffix's state, and for the empty context by word counts; so the probabilities of all words add up to what those by word counts do. A context stays if, over its occurrences, the logarithms of these probabilities (without n where it is 1: what is seen once is no evidence) exceed those in the suffix's state by more than `gain`.
+    Lower-case A-Z; a null or empty text is one token, the end; where `training` is null it doesn't hold. With no training text every token has the same probability. Ties at the bounds: a context with 2 occurrences is examined, one with exactly `gain` goes. Repeated rows and null ids give a row each; an empty table gives no rows; other columns are ignored.
     """
     extra = extra or {}
     rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in extra.items())).alias("extra"), training.alias("train"), F.col(text_col).alias("text"))
@@ -413,45 +227,43 @@ def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id",
     bits = max(1, math.ceil(math.log2(size / _SLICE))) if size else 1
     answers, v = None, 0
 
-    def asked(row: dict, said: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("block", "kind", "bucket", "keys", "sums")}
-        for what, keys, sums in _Block(row, said, n, v, back).asks():
+    def asked(row: dict, said: pa.Table, turn: int) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in _ASK.names}
+        for what, keys, sums in _Block(row, said, n, v, back).asks(turn, depth):
             bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, z in zip(starts, np.r_[starts[1:], len(keys)][: len(starts)], strict=True):
-                for k, x in zip(out, (row["block"], what, int(bucket[a]), keys[a:z].tobytes(), _packed(sums[a:z])), strict=True):
+                for k, x in zip(out, (row["block"], what, int(bucket[a]), _packed_keys(keys[a:z]), _packed(sums[a:z])), strict=True):
                     out[k].append(x)
-        return pa.table(list(out.values()), schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())]))
-
-    nothing = pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        return pa.table(list(out.values()), schema=_ASK)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from asked(row, nothing).to_batches()
+                yield from asked(row, _NOTHING, 1).to_batches()
 
-    def later(block: pa.Table, said: pa.Table) -> pa.Table:
-        return asked(block.to_pylist()[0], said)
+    def later(turn: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda block, said: asked(block.to_pylist()[0], said, turn)
 
     def final(block: pa.Table, said: pa.Table) -> pa.Table:
         own = block.column("rows").combine_chunks().flatten()
         row = block.drop_columns(["rows"]).to_pylist()[0]
-        columns = _Block(row, said, n, v, back).scores()
+        columns = _Block(row, said, n, v, back).scores(depth)
         return pa.table([own.field("id"), own.field("extra"), *map(pa.array, columns)], names=["id", "extra", "n_tokens", "n_known", "base_score", "score"])
 
     ask = "block bigint, kind int, bucket int, keys binary, sums binary"
     texts = blocks.drop("rows")
-    for turn in range(3):
-        if turn == 0:
+    for turn in range(1, depth + 2):
+        if turn == 1:
             wanted = texts.mapInArrow(tidied(first), ask)
         else:
-            wanted = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, ask)
+            wanted = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(turn), ask)
         got = cut(wanted.groupBy("bucket", "kind").applyInArrow(_answered(gain), "block bigint, kind int, bucket int, n bigint, data binary"), "answers")
-        if turn == 0:
-            v = got.filter(F.col("kind") == _WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - (n > 0)  # without the beginning
+        if turn == 1:
+            v = got.filter(F.col("kind") == _counts_of(0)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - (n > 0)  # without the beginning
         answers = got if answers is None else answers.unionByName(got)
         del wanted
         gc.collect()
         docs.sparkSession._jvm.System.gc()  # what was shuffled leaves the disks
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, f"id {kind}, extra {more}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))

@@ -272,46 +272,73 @@ def test_registers_survive_edges():
     assert (band_keys(filled(registers(a[:3]))[None]) == band_keys(filled(registers(a[:3]))[None])).all()
 
 
-def test_suffix_tree(spark, docs, empty):
-    from saithong.llm.suffix_tree import score, train
+class BruteTree:
+    """The suffix tree in dictionaries, from its definition."""
+
+    def __init__(self, texts, depth, back, gain):
+        self.depth, self.back, self.count, self.total = depth, back, Counter(), Counter()
+        for t in texts:
+            seq = ["<>", *self.tokens(t)]
+            for i in range(1, len(seq)):
+                for k in range(min(i, depth) + 1):
+                    self.count[tuple(seq[i - k : i + 1])] += 1
+                    self.total[tuple(seq[i - k : i])] += 1
+        self.n, self.vocabulary = self.total[()], {g[0] for g in self.count if len(g) == 1}
+        following = {}
+        for g, n in self.count.items():
+            following.setdefault(g[:-1], []).append((g[-1], n))
+        self.kept = set()
+        for ctx, n in self.total.items():
+            if ctx and n >= 2:
+                nats = sum(k * math.log(((k if k > 1 else 0) + back * self.p(ctx[1:], w)) / (n + back) / self.p(ctx[1:], w)) for w, k in following[ctx])
+                if nats > gain:
+                    self.kept.add(ctx)
+
+    @staticmethod
+    def tokens(t):
+        return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] + ["\n"]
+
+    def p(self, ctx, w):
+        if not ctx:
+            return (self.count[(w,)] + 0.1) / (self.n + 0.1 * (len(self.vocabulary) + 1))
+        return (self.count[(*ctx, w)] + self.back * self.p(ctx[1:], w)) / (self.total[ctx] + self.back)
+
+    def state(self, seq):
+        return next((c for k in range(self.depth, 0, -1) if len(c := tuple(seq[-k:])) == k and c in self.kept), ())
+
+    def score(self, t):
+        seq = ["<>", *self.tokens(t)]
+        return sum(math.log10(self.p(self.state(seq[:i]), seq[i])) for i in range(1, len(seq)))
+
+
+def test_suffix_tree_is_the_brute_force_one(spark, docs, empty, monkeypatch):
+    from saithong.llm import suffix_tree as T
 
+    monkeypatch.setattr(T, "_SLICE", 3000)  # several buckets
     held = F.col("doc_id") % 5 == 0
-    rows = docs.collect()
-    trained = train(docs.filter(~held), share=0.002)  # a small vocabulary, so that words are joined
-    got = score(docs, trained, extra={"held_out": held}).collect()
-    toks = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] + ["\n"]
-    c = Counter(w for r in rows if r.doc_id % 5 for w in toks(r.text))
-    n, v = sum(c.values()), len(c)
-    expected = sorted((r.doc_id, r.doc_id % 5 == 0, len(toks(r.text)), sum(c[w] > 0 for w in toks(r.text)), n) for r in rows)
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == expected
-    base = {r.doc_id: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(r.text)) for r in rows}
-    assert all(r.base_score == pytest.approx(base[r.doc_id], rel=1e-9) for r in got)
-    assert all(r.score < 0 for r in got)
-    assert score(empty, trained).collect() == []
-    blank = score(docs.limit(3), train(empty)).collect()
-    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(r.base_score) for r in blank)
-
-
-def test_suffix_tree_sums_to_one_and_learns(spark):
-    import pyarrow as pa
-
-    from saithong.llm.suffix_tree import train
-
-    df = spark.createDataFrame([("a b a b a c",)] * 30 + [("c c",)] * 5, "text string")
-    model, _ = train(df)
-    assert model.levels and len(model.levels[0][2])
-    vocabulary = ["a", "b", "c", "\n"]
-    for ctx in ("a", "a b", "c", "b a"):
-        # The probability of each next word, as a difference of scores; the unknown slot has the rest.
-        total = 0.0
-        n0 = model.score(pa.array([ctx]))
-        for w in vocabulary[:3]:
-            flat, first, _ = model.ids(pa.array([f"{ctx} {w}"]))
-            full = model.score(pa.array([f"{ctx} {w}"]))[2][0]
-            end = _last_term(model, f"{ctx} {w}")
-            total += 10 ** (full - end - (n0[2][0] - _last_term(model, ctx)))
-        total += 10 ** _last_term(model, ctx)
-        assert 0.95 < total <= 1 + 1e-9
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in _zipf_rows()], "doc_id bigint, text string")).repartition(3).cache()
+    rows = both.collect()
+    for depth, back in ((4, 4.0), (2, 30.0)):
+        tree = BruteTree([r.text for r in rows if r.doc_id % 5], depth, back, 6.0)
+        got = T.corpus_scores(both, ~held, extra={"held_out": held}, depth=depth, back=back, gain=6.0).collect()
+        assert {len(c) for c in tree.kept} == set(range(1, depth + 1))
+        toks = BruteTree.tokens
+        expected = sorted((r.doc_id, r.doc_id % 5 == 0, len(toks(r.text)), sum(w in tree.vocabulary for w in toks(r.text)), tree.n) for r in rows)
+        assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == expected
+        texts = {r.doc_id: r.text for r in rows}
+        for r in got:
+            assert r.base_score == pytest.approx(sum(math.log10(tree.p((), w)) for w in toks(texts[r.doc_id])), rel=1e-9)
+            assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-9)
+            assert r.gain_per_token == pytest.approx((r.score - r.base_score) / r.n_tokens)
+        assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+        unknown = 0.1 / (tree.n + 0.1 * (len(tree.vocabulary) + 1))
+        for ctx in list(tree.kept)[:50]:  # a distribution: with the place of the words that training lacks it sums to one
+            rest = unknown
+            for k in range(len(ctx), 0, -1):
+                rest *= back / (tree.total[ctx[len(ctx) - k :]] + back)
+            assert sum(tree.p(ctx, w) for w in tree.vocabulary) + rest == pytest.approx(1)
+    assert T.corpus_scores(empty, ~held).collect() == []
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in T.corpus_scores(docs, F.lit(False)).collect())
 
 
 def _zipf_rows(seed=11, n=400):
@@ -333,45 +360,6 @@ def _zipf_rows(seed=11, n=400):
     return made
 
 
-def test_suffix_tree_totals_count_all_followers(spark):
-    import numpy as np
-
-    from saithong.llm.suffix_tree import score, train
-
-    df = spark.createDataFrame(_zipf_rows(), "doc_id bigint, text string")
-    held = F.col("doc_id") % 5 == 0
-    trained = train(df.filter(~held), share=0.001)
-    model = trained[0]
-    count = Counter(w for i, t in _zipf_rows() if i % 5 for w in t.split())
-    contexts, escape = model.levels[0][2:]
-    assert model.find(contexts, np.array([model.number[b"the"]]))[0] >= 0
-    for w, k in model.number.items():  # a word has a next one, or the end, as often as it occurs
-        at = model.find(contexts, np.array([k]))[0]
-        if at >= 0:
-            assert 10 ** escape[at] == pytest.approx(50 / (count[w.decode()] + 50))
-    got = score(df.filter(held), trained).agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-
-
-def test_corpus_scores_as_the_whole_tree(spark, docs, empty, monkeypatch):
-    from saithong.llm import suffix_tree as T
-
-    monkeypatch.setattr(T, "_SLICE", 3000)
-    held = F.col("doc_id") % 5 == 0
-    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in _zipf_rows()], "doc_id bigint, text string")).repartition(3)
-    key = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens)
-    got = sorted(T.corpus_scores(both, ~held, extra={"held_out": held}).collect(), key=key)
-    trained = T.train(both.filter(~held))
-    assert all(len(level[2]) > 5 for level in trained[0].levels) and len(trained[0].levels) == 2
-    expected = sorted(T.score(both, trained, extra={"held_out": held}).collect(), key=key)
-    assert list(map(key, got)) == list(map(key, expected))
-    for g, e in zip(got, expected, strict=True):
-        assert g.base_score == pytest.approx(e.base_score, rel=1e-9) and g.score == pytest.approx(e.score, rel=1e-9)
-    assert sum(g.score for g in got if g.held_out) > sum(g.base_score for g in got if g.held_out)
-    assert T.corpus_scores(empty, ~held).collect() == []
-    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in T.corpus_scores(docs, F.lit(False)).collect())
-
-
 def test_suffix_tree_query_learns_rare_pairs(spark, tmp_path):
     from saithong.llm.queries import op3_suffix_tree_scores
 
@@ -382,21 +370,6 @@ def test_suffix_tree_query_learns_rare_pairs(spark, tmp_path):
     assert all(r.score > r.base_score + 3 for r in got)
 
 
-def _last_term(model, text):
-    """log10 probability of the end behind a text."""
-    import numpy as np
-    import pyarrow as pa
-
-    flat, _, _ = model.ids(pa.array([text]))
-    out = model.base[flat[-1]]
-    for (keys, prob, _, escape), state in zip(model.levels, model.contexts(flat), strict=True):
-        s = state[-1]
-        if s >= 0:
-            at = model.find(keys, np.array([(s << 32) | flat[-1]]))[0]
-            out = prob[at] if at >= 0 else out + escape[s]
-    return out
-
-
 def test_language_id(spark, empty):
     from saithong.llm.langid import identify
 
