@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
 DEPTH = 4  # words of the longest contexts
-BACK = 4.0  # weight of a suffix's distribution in that of its context, in tokens
+BACK = 12.0  # weight of a suffix's distribution in that of its context, in tokens
 GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
-_LEAST = 2  # occurrences of a context, and of a next word that speaks for its divergence
+_LEAST = 2  # occurrences of a context
 _SLICE = 1_000_000  # tokens whose keys share a bucket, about
 _END, _BEGIN = b"\n", b"\n\n"  # stand behind and before a text; no word has white space
 _RAW = 5  # bytes of a difference between keys that are stored as they are
@@ -128,7 +128,7 @@ class _Block:
         self.said = {k: np.concatenate(p) for k, p in parts.items()}
 
     def levels(self, most: int) -> Iterator[tuple]:
-        """Level by level of contexts: (level, places of tokens behind contexts that are examined; the contexts' keys; probabilities there in the suffix's state and in the context's; the latter without next words that occur once; or else, of a level that isn't counted yet, the keys to ask for and whether they are in training texts)."""
+        """Level by level of contexts: (level, places of tokens behind contexts that are examined; the contexts' keys; probabilities there in the suffix's state and in the context's; the latter with one occurrence left out; or else, of a level that isn't counted yet, the keys to ask for and whether they are in training texts)."""
         if _counts_of(0) not in self.said:
             yield 1, None, None, None, None, None, (_mixed(self.words[self.before], self.words[self.flat]), self.train)
             return
@@ -146,8 +146,8 @@ class _Block:
                     return
                 n[asked] = self.said[_counts_of(level)][np.unique(key[asked], return_inverse=True)[1]]
             lower = p[at]
-            mass = lambda c, x=lower, t=total: (c + self.back * x) / (t + self.back)
-            upper, sure = mass(n[at]), mass(np.where(n[at] >= _LEAST, n[at], 0))
+            upper = (n[at] + self.back * lower) / (total + self.back)
+            sure = (np.maximum(n[at] - 1, 0) + self.back * lower) / (total - 1 + self.back)
             yield level, at, context, lower, upper, sure, None
             p = p.copy()
             p[at] = upper
@@ -216,7 +216,7 @@ _NOTHING = pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa
 def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, depth: int = DEPTH, back: float = BACK, gain: float = GAIN) -> DataFrame:
     """Per row: its id, the columns of extra, n_tokens, n_known (tokens with a count), train_tokens, base_score and score (log10 of the text's probability by word counts, and by the tree of the rows where `training` holds), and gain_per_token, the mean of what the tree adds.
 
-    In a context with `total` occurrences a word with n of them has the probability (n + back * p) / (total + back), with p its probability in the suffix's state, and for the empty context by word counts; so the probabilities of all words add up to what those by word counts do. A context stays if, over its occurrences, the logarithms of these probabilities (without n where it is 1: what is seen once is no evidence) exceed those in the suffix's state by more than `gain`.
+    In a context with `total` occurrences a word with n of them has the probability (n + back * p) / (total + back), with p its probability in the suffix's state, and for the empty context by word counts; so the probabilities of all words add up to what those by word counts do. A context stays if, over its occurrences, the logarithms of these probabilities, each with the occurrence itself left out of n and total, exceed those in the suffix's state by more than `gain`: what is seen once is no evidence.
     Lower-case A-Z; a null or empty text is one token, the end; where `training` is null it doesn't hold. With no training text every token has the same probability. Ties at the bounds: a context with 2 occurrences is examined, one with exactly `gain` goes. Repeated rows and null ids give a row each; an empty table gives no rows; other columns are ignored.
     """
     extra = extra or {}

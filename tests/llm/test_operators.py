@@ -290,7 +290,7 @@ class BruteTree:
         self.kept = set()
         for ctx, n in self.total.items():
             if ctx and n >= 2:
-                nats = sum(k * math.log(((k if k > 1 else 0) + back * self.p(ctx[1:], w)) / (n + back) / self.p(ctx[1:], w)) for w, k in following[ctx])
+                nats = sum(k * math.log((k - 1 + back * self.p(ctx[1:], w)) / (n - 1 + back) / self.p(ctx[1:], w)) for w, k in following[ctx])
                 if nats > gain:
                     self.kept.add(ctx)
 
