@@ -132,19 +132,21 @@ class _Block:
         if _counts_of(0) not in self.said:
             yield 1, None, None, None, None, None, (_mixed(self.words[self.before], self.words[self.flat]), self.train)
             return
-        count = self.said[_counts_of(0)].astype(np.int64)
+        count = (self.said[_counts_of(0)] >> 1).astype(np.int64)
         self.known = (count > 0)[self.flat]
         p = self.base = ((count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
         at = np.flatnonzero(count[self.before] >= _LEAST)
         key = _mixed(self.words[self.before], self.words[self.flat])  # of the phrase that ends at each token
         context, total = self.words[self.before[at]], count[self.before[at]]
         asked, n = slice(None), np.zeros(len(self.flat), np.int64)  # n: how often training texts have the phrase
+        elsewhere = np.zeros(len(n), bool)  # whether other texts have it too
         for level in range(1, most + 1):
             if len(key[asked]):
                 if _counts_of(level) not in self.said:
                     yield level, None, None, None, None, None, (key[asked], self.train[asked])
                     return
-                n[asked] = self.said[_counts_of(level)][np.unique(key[asked], return_inverse=True)[1]]
+                said = self.said[_counts_of(level)][np.unique(key[asked], return_inverse=True)[1]]
+                n[asked], elsewhere[asked] = said >> 1, said & 1
             lower = p[at]
             upper = (n[at] + self.back * lower) / (total + self.back)
             sure = (np.maximum(n[at] - 1, 0) + self.back * lower) / (total - 1 + self.back)
@@ -160,19 +162,20 @@ class _Block:
             shorter, key_before = n, key
             key = np.zeros_like(key_before)
             key[at] = _mixed(key_before[at - 1], self.words[self.flat[at]])
-            # What occurs once, and here in a training text, does so with any word before it; what doesn't occur doesn't.
+            # What occurs once, and here in a training text, does so with any word before it, which need not be told if no other text has it; what doesn't occur doesn't.
             n = np.zeros_like(shorter)
             n[at] = np.minimum(shorter[at], 1)
-            asked = at[(shorter[at] > 1) | ((shorter[at] == 1) & ~self.train[at])]
+            asked = at[(shorter[at] > 1) | ((shorter[at] == 1) & (elsewhere[at] | ~self.train[at]))]
+            elsewhere = np.zeros_like(elsewhere)
 
     def asks(self, turn: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first); and nats by which the next words of contexts of turn - 1 words are likelier than in the suffix's state."""
+        """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first), twice that and one more if other texts have them; and nats by which the next words of contexts of turn - 1 words are likelier than in the suffix's state."""
         if turn == 1:
-            yield _counts_of(0), self.words, self.counts
+            yield _counts_of(0), self.words, 2 * self.counts
         for level, at, context, lower, _, sure, asked in self.levels(min(turn, depth)):
             if asked is not None:
                 keys, of = np.unique(asked[0], return_inverse=True)
-                yield _counts_of(level), keys, np.bincount(of, asked[1], len(keys)).astype(np.int64)
+                yield _counts_of(level), keys, 2 * np.bincount(of, asked[1], len(keys)).astype(np.int64) + (np.bincount(of, ~asked[1], len(keys)) > 0)
             elif level == turn - 1:
                 keys, of = np.unique(context, return_inverse=True)
                 yield _stays(level), keys, np.bincount(of, self.train[at] * np.log(sure / lower), len(keys))
@@ -190,7 +193,7 @@ class _Block:
 
 
 def _answered(gain: float) -> Callable[[pa.Table], pa.Table]:
-    """Sums of the values of equal keys of a bucket, given back to each block in the order of its keys: counts, or whether a context stays. n counts the distinct keys that occur, on one row of each bucket."""
+    """Sums of the values of equal keys of a bucket, given back to each block in the order of its keys: counts (twice, and one more for texts that are not for training), or whether a context stays. n counts the distinct keys that occur, on one row of each bucket."""
 
     def run(asked: pa.Table) -> pa.Table:
         kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
@@ -199,8 +202,12 @@ def _answered(gain: float) -> Callable[[pa.Table], pa.Table]:
         keys = [_unpacked_keys(k) for k in asked.column("keys").to_pylist()]
         values = np.concatenate([_unpacked(x) for x in asked.column("sums").to_pylist()])
         distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of, values, len(distinct))
-        answer = (total > gain).astype(np.uint8) if kind % 2 else total.astype(np.int64)
+        if kind % 2:
+            total = np.bincount(of, values, len(distinct))
+            answer = (total > gain).astype(np.uint8)
+        else:
+            total = np.bincount(of, values >> 1, len(distinct)).astype(np.int64)
+            answer = 2 * total + (np.bincount(of, values & 1, len(distinct)) > 0)
         ends = np.cumsum([len(k) for k in keys])
         data = [_packed(answer[of[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
         n = [int((total > 0).sum())] + [0] * (len(keys) - 1)

@@ -319,8 +319,8 @@ def test_suffix_tree_is_the_brute_force_one(spark, docs, empty, monkeypatch):
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in _zipf_rows()], "doc_id bigint, text string")).repartition(3).cache()
     rows = both.collect()
     for depth, back in ((4, 4.0), (2, 30.0)):
-        tree = BruteTree([r.text for r in rows if r.doc_id % 5], depth, back, 6.0)
-        got = T.corpus_scores(both, ~held, extra={"held_out": held}, depth=depth, back=back, gain=6.0).collect()
+        tree = BruteTree([r.text for r in rows if r.doc_id % 5], depth, back, 1.0)
+        got = T.corpus_scores(both, ~held, extra={"held_out": held}, depth=depth, back=back, gain=1.0).collect()
         assert {len(c) for c in tree.kept} == set(range(1, depth + 1))
         toks = BruteTree.tokens
         expected = sorted((r.doc_id, r.doc_id % 5 == 0, len(toks(r.text)), sum(w in tree.vocabulary for w in toks(r.text)), tree.n) for r in rows)
