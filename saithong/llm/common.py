@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) an own temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run in one process, an own temporary one. On a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="saithong-")
@@ -36,14 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a table in the shared folder and read from there; survives lost executors. The table goes when the application ends."""
+    """df, written to a table in the shared folder and read from there; survives lost executors. What was shuffled for it leaves the disks once it is written. The table goes when drop() is called or the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/saithong/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    _folder(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_at = path
+    return table
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made and that no plan will read again."""
+    for t in tables:
+        spark, path = t.sparkSession, t._cut_at
+        _folder(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

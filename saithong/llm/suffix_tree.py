@@ -7,7 +7,6 @@ Blocks of texts ask for sums over the corpus by 64-bit hashes of their distinct
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -269,8 +268,5 @@ def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id",
         if turn == 1:
             v = got.filter(F.col("kind") == _counts_of(0)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - (n > 0)  # without the beginning
         answers = got if answers is None else answers.unionByName(got)
-        del wanted
-        gc.collect()
-        docs.sparkSession._jvm.System.gc()  # what was shuffled leaves the disks
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, f"id {kind}, extra {more}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), *(F.col(f"extra.{k}").alias(k) for k in extra), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))
