@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saithong.functions.text import let as let
+
 #: ASCII white space that separates words; the complement is a word character.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -69,11 +71,6 @@ def drop(*tables: DataFrame) -> None:
         _folder(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once per row."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """The words (runs without ASCII white space) of a text; null has none."""
     return let(

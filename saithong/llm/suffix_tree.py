@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ GAIN = 6.0  # nats by which a context's next words must be likelier than in its
 _LEAST = 2  # occurrences of a context
 _SLICE = 1_000_000  # tokens whose keys share a bucket, about
 _END, _BEGIN = b"\n", b"\n\n"  # stand behind and before a text; no word has white space
+_PIECE = 128 << 10  # bytes of a block in a row
 _RAW = 5  # bytes of a difference between keys that are stored as they are
 
 
@@ -76,7 +78,7 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block of texts: its rows, the hashes of its distinct words, and its words as numbers among these."""
+    """The rows of each block of texts, the hashes of its distinct words, and its words as numbers among these: bytes in pieces, as large values burden the JVM. The first piece's row has the ids."""
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
@@ -84,10 +86,13 @@ def _encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, numbers, sizes = word_numbers(texts, lower=True)
         train = pc.fill_null(b.column("train"), False).to_numpy(zero_copy_only=False)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, _END, _BEGIN]), np.uint64, len(words) + 2)
-        rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.StructArray.from_arrays([b.column("id"), b.column("extra")], ["id", "extra"]))
-        tokens = sizes + 1
-        columns = [[block], [int(tokens.sum())], [int(tokens[train].sum())], [train.tobytes()], [sizes.astype("<u4").tobytes()], [_packed(numbers)], [hashes.tobytes()]]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows], ["block", "n", "n_train", "train", "sizes", "codes", "words", "rows"])
+        parts = [train.tobytes(), sizes.astype("<u4").tobytes(), hashes.tobytes(), _packed(numbers)]
+        data = np.array([len(texts), len(hashes)], "<u8").tobytes() + b"".join(parts)
+        pieces = [data[i : i + _PIECE] for i in range(0, len(data), _PIECE)]
+        k, tokens = len(pieces), sizes + 1
+        rows = pa.ListArray.from_arrays(pa.array([0] + [len(texts)] * k, pa.int32()), pa.StructArray.from_arrays([b.column("id"), b.column("extra")], ["id", "extra"]))
+        once = lambda n, k=k: pa.array([int(n)] + [0] * (k - 1), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(range(k), pa.int32()), once(tokens.sum()), once(tokens[train].sum()), pa.array(pieces, pa.binary()), rows], ["block", "piece", "n", "n_train", "data", "rows"])
         block += 1
 
 
@@ -101,21 +106,60 @@ def _stays(level: int) -> int:
     return 2 * level + 1
 
 
+class _Level(NamedTuple):
+    """Tokens behind contexts of so many words that are examined."""
+
+    level: int
+    at: np.ndarray  # their places
+    context: np.ndarray  # the contexts' keys
+    total: np.ndarray  # the contexts' occurrences
+    n: np.ndarray  # those with this token behind them
+    lower: np.ndarray  # the token's probability in the suffix's state
+    upper: np.ndarray  # in the context's
+    sure: np.ndarray  # the latter with one occurrence left out
+    shared: np.ndarray  # whether texts that are not for training have the context too
+
+    def told(self) -> np.ndarray:
+        """Whether the divergence of the token's context is told and asked for. It need not be where training texts alone have the context and each of them knows: always the same next word, or two occurrences with different ones, which are no evidence."""
+        return self.shared | ((self.n != self.total) & (self.total > 2))
+
+    def stays(self, said: np.ndarray | None, gain: float) -> np.ndarray:
+        """Whether the token's context stays; said: what was answered about those told."""
+        out = (self.n == self.total) & (self.total * np.log(self.sure / self.lower) > gain)
+        told = self.told()
+        if told.any():
+            out[told] = said.astype(bool)[np.unique(self.context[told], return_inverse=True)[1]]
+        return out
+
+
+class _Unknown(NamedTuple):
+    """A level whose counts are still to be asked for: keys of phrases, and whether they are in training texts."""
+
+    level: int
+    keys: np.ndarray
+    train: np.ndarray
+
+
 class _Block:
     """The tokens of a block, and what has been answered about them."""
 
-    def __init__(self, row: dict, answers: pa.Table, n: int, v: int, back: float):
+    def __init__(self, block: pa.Table, answers: pa.Table, n: int, v: int, back: float):
         self.n, self.v, self.back = n, v, back
-        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        self.words, of_word = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
+        pieces = sorted(zip(block.column("piece").to_pylist(), block.column("data").to_pylist(), strict=True))
+        data = b"".join(p for _, p in pieces)
+        texts, words = np.frombuffer(data, "<u8", 2).tolist()
+        at = 16 + np.cumsum([0, texts, 4 * texts, 8 * words])
+        train, sizes, hashes = (np.frombuffer(data[x:y], kind) for x, y, kind in zip(at[:-1], at[1:], (bool, "<u4", np.uint64), strict=True))
+        sizes = sizes.astype(np.int64)
+        self.words, of_word = np.unique(hashes, return_inverse=True)
         end, begin = of_word[-2:]
         self.tokens = sizes + 1
         self.first = np.cumsum(self.tokens) - self.tokens
         self.flat = np.full(int(self.tokens.sum()), end)
         inside = np.ones(len(self.flat), bool)
         inside[self.first + sizes] = False
-        self.flat[inside] = of_word[_unpacked(row["codes"])]
-        self.train = np.repeat(np.frombuffer(row["train"], bool), self.tokens)
+        self.flat[inside] = of_word[_unpacked(data[at[-1] :])]
+        self.train = np.repeat(train, self.tokens)
         self.before = np.r_[begin, self.flat[:-1]]
         self.before[self.first] = begin
         self.counts = np.bincount(self.flat, self.train, len(self.words)).astype(np.int64)
@@ -126,38 +170,37 @@ class _Block:
             parts.setdefault(k, []).append(_unpacked(d))
         self.said = {k: np.concatenate(p) for k, p in parts.items()}
 
-    def levels(self, most: int) -> Iterator[tuple]:
-        """Level by level of contexts: (level, places of tokens behind contexts that are examined; the contexts' keys; probabilities there in the suffix's state and in the context's; the latter with one occurrence left out; or else, of a level that isn't counted yet, the keys to ask for and whether they are in training texts)."""
+    def levels(self, most: int) -> Iterator[_Level | _Unknown]:
+        """Level by level of contexts, up to the first that is unknown."""
+        key = _mixed(self.words[self.before], self.words[self.flat])  # of the phrase that ends at each token
         if _counts_of(0) not in self.said:
-            yield 1, None, None, None, None, None, (_mixed(self.words[self.before], self.words[self.flat]), self.train)
+            yield _Unknown(1, key, self.train)
             return
         count = (self.said[_counts_of(0)] >> 1).astype(np.int64)
         self.known = (count > 0)[self.flat]
         p = self.base = ((count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
         at = np.flatnonzero(count[self.before] >= _LEAST)
-        key = _mixed(self.words[self.before], self.words[self.flat])  # of the phrase that ends at each token
-        context, total = self.words[self.before[at]], count[self.before[at]]
-        asked, n = slice(None), np.zeros(len(self.flat), np.int64)  # n: how often training texts have the phrase
+        context, total, shared = self.words[self.before[at]], count[self.before[at]], np.ones(len(at), bool)
+        asked, n = np.arange(len(key)), np.zeros(len(key), np.int64)  # n: how often training texts have the phrase
         elsewhere = np.zeros(len(n), bool)  # whether other texts have it too
+        begins = np.zeros(len(n), bool)
+        begins[self.first] = True
         for level in range(1, most + 1):
-            if len(key[asked]):
+            if len(asked):
                 if _counts_of(level) not in self.said:
-                    yield level, None, None, None, None, None, (key[asked], self.train[asked])
+                    yield _Unknown(level, key[asked], self.train[asked])
                     return
                 said = self.said[_counts_of(level)][np.unique(key[asked], return_inverse=True)[1]]
                 n[asked], elsewhere[asked] = said >> 1, said & 1
             lower = p[at]
             upper = (n[at] + self.back * lower) / (total + self.back)
-            sure = (np.maximum(n[at] - 1, 0) + self.back * lower) / (total - 1 + self.back)
-            yield level, at, context, lower, upper, sure, None
+            yield _Level(level, at, context, total, n[at], lower, upper, (np.maximum(n[at] - 1, 0) + self.back * lower) / (total - 1 + self.back), shared)
             p = p.copy()
             p[at] = upper
             # One word more before: the context is the phrase that ended at the token before, if it doesn't reach into another text.
-            begins = np.zeros(len(n), bool)
-            begins[self.first] = True
             at = at[~begins[at]]
             at = at[n[at - 1] >= _LEAST]
-            context, total = key[at - 1], n[at - 1]
+            context, total, shared = key[at - 1], n[at - 1], elsewhere[at - 1]
             shorter, key_before = n, key
             key = np.zeros_like(key_before)
             key[at] = _mixed(key_before[at - 1], self.words[self.flat[at]])
@@ -171,22 +214,22 @@ class _Block:
         """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first), twice that and one more if other texts have them; and nats by which the next words of contexts of turn - 1 words are likelier than in the suffix's state."""
         if turn == 1:
             yield _counts_of(0), self.words, 2 * self.counts
-        for level, at, context, lower, _, sure, asked in self.levels(min(turn, depth)):
-            if asked is not None:
-                keys, of = np.unique(asked[0], return_inverse=True)
-                yield _counts_of(level), keys, 2 * np.bincount(of, asked[1], len(keys)).astype(np.int64) + (np.bincount(of, ~asked[1], len(keys)) > 0)
-            elif level == turn - 1:
-                keys, of = np.unique(context, return_inverse=True)
-                yield _stays(level), keys, np.bincount(of, self.train[at] * np.log(sure / lower), len(keys))
-
-    def scores(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        for x in self.levels(min(turn, depth)):
+            if isinstance(x, _Unknown):
+                keys, of = np.unique(x.keys, return_inverse=True)
+                yield _counts_of(x.level), keys, 2 * np.bincount(of, x.train, len(keys)).astype(np.int64) + (np.bincount(of, ~x.train, len(keys)) > 0)
+            elif x.level == turn - 1 and (told := x.told()).any():
+                keys, of = np.unique(x.context[told], return_inverse=True)
+                nats = self.train[x.at[told]] * np.log(x.sure[told] / x.lower[told])
+                yield _stays(x.level), keys, np.bincount(of, nats, len(keys))
+
+    def scores(self, depth: int, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, those with a count, log10 of its probability by word counts and by the tree."""
         p = None
-        for level, at, context, _, upper, _, _ in self.levels(depth):
+        for x in self.levels(depth):
             p = self.base.copy() if p is None else p
-            if len(at):
-                on = self.said[_stays(level)].astype(bool)[np.unique(context, return_inverse=True)[1]]
-                p[at[on]] = upper[on]
+            on = x.stays(self.said.get(_stays(x.level)), gain)
+            p[x.at[on]] = x.upper[on]
         total = lambda x: np.add.reduceat(x, self.first)
         return self.tokens, total(self.known.astype(np.int64)), total(np.log10(self.base)), total(np.log10(p))
 
@@ -228,42 +271,37 @@ def corpus_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id",
     extra = extra or {}
     rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in extra.items())).alias("extra"), training.alias("train"), F.col(text_col).alias("text"))
     kind, more = (rows.schema[k].dataType.simpleString() for k in ("id", "extra"))
-    blocks = cut(rows.mapInArrow(tidied(_encoded), f"block bigint, n bigint, n_train bigint, train binary, sizes binary, codes binary, words binary, rows array<struct<id: {kind}, extra: {more}>>"), "blocks")
+    blocks = cut(rows.mapInArrow(tidied(_encoded), f"block bigint, piece int, n bigint, n_train bigint, data binary, rows array<struct<id: {kind}, extra: {more}>>"), "blocks")
     size, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     bits = max(1, math.ceil(math.log2(size / _SLICE))) if size else 1
     answers, v = None, 0
 
-    def asked(row: dict, said: pa.Table, turn: int) -> pa.Table:
+    def asked(block: pa.Table, said: pa.Table, turn: int) -> pa.Table:
         out: dict[str, list] = {k: [] for k in _ASK.names}
-        for what, keys, sums in _Block(row, said, n, v, back).asks(turn, depth):
+        name = block.column("block")[0].as_py()
+        for what, keys, sums in _Block(block, said, n, v, back).asks(turn, depth):
             bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, z in zip(starts, np.r_[starts[1:], len(keys)][: len(starts)], strict=True):
-                for k, x in zip(out, (row["block"], what, int(bucket[a]), _packed_keys(keys[a:z]), _packed(sums[a:z])), strict=True):
+                for k, x in zip(out, (name, what, int(bucket[a]), _packed_keys(keys[a:z]), _packed(sums[a:z])), strict=True):
                     out[k].append(x)
         return pa.table(list(out.values()), schema=_ASK)
 
-    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield from asked(row, _NOTHING, 1).to_batches()
-
-    def later(turn: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        return lambda block, said: asked(block.to_pylist()[0], said, turn)
+    def in_turn(turn: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda block, said: asked(block, said, turn)
 
     def final(block: pa.Table, said: pa.Table) -> pa.Table:
         own = block.column("rows").combine_chunks().flatten()
-        row = block.drop_columns(["rows"]).to_pylist()[0]
-        columns = _Block(row, said, n, v, back).scores(depth)
+        columns = _Block(block, said, n, v, back).scores(depth, gain)
         return pa.table([own.field("id"), own.field("extra"), *map(pa.array, columns)], names=["id", "extra", "n_tokens", "n_known", "base_score", "score"])
 
     ask = "block bigint, kind int, bucket int, keys binary, sums binary"
-    texts = blocks.drop("rows")
+    texts = blocks.select("block", "piece", "data")
     for turn in range(1, depth + 2):
         if turn == 1:
-            wanted = texts.mapInArrow(tidied(first), ask)
+            wanted = texts.groupBy("block").applyInArrow(lambda block: asked(block, _NOTHING, 1), ask)
         else:
-            wanted = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(turn), ask)
+            wanted = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(in_turn(turn), ask)
         got = cut(wanted.groupBy("bucket", "kind").applyInArrow(_answered(gain), "block bigint, kind int, bucket int, n bigint, data binary"), "answers")
         if turn == 1:
             v = got.filter(F.col("kind") == _counts_of(0)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - (n > 0)  # without the beginning
