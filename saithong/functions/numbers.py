@@ -5,54 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from saithong.functions.text import DIGIT_WORDS, as_column
+from saithong.functions.text import DIGIT_WORDS, as_column, let
 
 #: The names of the places of a group of six digits, from the units on.
 PLACES = ["", "สิบ", "ร้อย", "พัน", "หมื่น", "แสน"]
 MILLION, MINUS, POINT = "ล้าน", "ลบ", "จุด"
 
 
-def _digit(group: Column, place: int) -> Column:
-    return F.substring(group, 6 - place, 1).cast("int")
-
-
-def _group(group: Column, alone: Column) -> Column:
-    """Words of six digits; alone: whether a sole 1 is the whole number (or group), and so no เอ็ด."""
-    names = F.array(F.lit(""), *(F.lit(w) for w in DIGIT_WORDS[1:]))
+def _spelled(group: Column, sole: Column) -> Column:
+    """Words of six digits; sole: whether no other group stands before or behind them without a million, so that a 1 alone is no เอ็ด."""
     parts = []
-    for place in range(5, 0, -1):
-        d = _digit(group, place)
-        name = F.get(names, d)
-        if place == 1:
-            name = F.when(d == 1, "").when(d == 2, "ยี่").otherwise(name)
-        parts.append(F.when(d == 0, "").otherwise(F.concat(name, F.lit(PLACES[place]))))
-    ones = _digit(group, 0)
-    parts.append(F.when((ones == 1) & ~alone, "เอ็ด").otherwise(F.get(names, ones)))
+    for place in range(5, -1, -1):
+        names = [f"{w}{PLACES[place]}" for w in DIGIT_WORDS]
+        names = ["", "สิบ", "ยี่สิบ", *names[3:]] if place == 1 else ["", *names[1:]]
+        digit = F.substring(group, 6 - place, 1)
+        named = F.get(F.array(*(F.lit(w) for w in names)), digit.cast("int"))
+        parts.append(named if place else F.when((digit == "1") & ~(sole & (group == "000001")), "เอ็ด").otherwise(named))
     return F.concat(*parts)
 
 
+def _digits_to_words(digits: Column) -> Column:
+    """Words of a whole number above zero, given by its digits, however many: groups of six, with a million behind each but the last."""
+    n = F.ceil(F.length(digits) / 6).cast("int")
+    groups = let(F.struct(n.alias("n"), F.lpad(digits, 6 * n, F.lit("0")).alias("all")), lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda i: _spelled(F.substring(p["all"], 6 * i + 1, F.lit(6)), (i < p["n"] - 1) | (p["n"] == 1))))
+    return F.array_join(groups, MILLION)
+
+
 def num_to_thaiword(x: Column | str) -> Column:
-    """A whole number of up to 24 digits in words; null is empty."""
-    x = as_column(x).cast("decimal(24,0)")
-    digits = F.abs(x).cast("string")
-    n = F.length(digits)
-    padded = F.lpad(digits, 24, "0")
-    groups = [F.substring(padded, 19 - 6 * k, 6) for k in range(4)]
-    out = F.lit("")
-    for k in range(3, -1, -1):
-        alone = (groups[k] == "000001") & (n <= 6 if k == 0 else F.lit(True))
-        said = F.concat(_group(groups[k], alone), F.lit(MILLION if k else ""))
-        out = F.concat(out, F.when(n > 6 * k, said).otherwise(""))
-    return F.when(x.isNull(), "").when(x == 0, DIGIT_WORDS[0]).otherwise(F.concat(F.when(x < 0, MINUS).otherwise(""), out))
+    """A whole number in words; null is empty. A text of digits may have any number of them; other numbers are rounded and may have 38."""
+    text = F.trim(as_column(x).cast("string"))
+    plain = F.when(text.rlike(r"^[+-]?[0-9]+$"), text).otherwise(as_column(x).cast("decimal(38,0)").cast("string"))
+
+    def said(t: Column) -> Column:
+        digits = F.regexp_replace(t, "^[+-]?0*", "")
+        return F.when(digits == "", DIGIT_WORDS[0]).otherwise(F.concat(F.when(t.startswith("-"), MINUS).otherwise(""), _digits_to_words(digits)))
+
+    return F.when(as_column(x).isNull(), "").otherwise(let(plain, said))
 
 
 def bahttext(x: Column | str) -> Column:
-    """An amount of money in words, rounded to satang. A fraction below zero loses its sign."""
-    x = as_column(x).cast("double")
-    shown = F.regexp_replace(F.format_number(x, 2), ",", "")
-    baht, satang = F.regexp_extract(shown, r"^(-?\d+)\.", 1), F.regexp_extract(shown, r"\.(\d+)$", 1)
-    fraction = F.when(satang == "00", "ถ้วน").otherwise(F.concat(num_to_thaiword(satang), F.lit("สตางค์")))
-    return F.when(x == 0, "ศูนย์บาทถ้วน").otherwise(F.concat(num_to_thaiword(baht), F.lit("บาท"), fraction))
+    """An amount of money in words, rounded to satang: exactly for decimals and whole numbers of any size. A fraction below zero loses its sign."""
+    x = as_column(x)
+
+    def said(shown: Column) -> Column:
+        baht, satang = F.substring_index(shown, ".", 1), F.substring_index(shown, ".", -1)
+        amounts = F.transform(F.array(baht, satang), num_to_thaiword)  # one expression for both
+        return let(amounts, lambda a: F.concat(a[0], F.lit("บาท"), F.when(satang == "00", "ถ้วน").otherwise(F.concat(a[1], F.lit("สตางค์")))))
+
+    return F.when(x == 0, "ศูนย์บาทถ้วน").otherwise(let(F.replace(F.format_number(x, 2), F.lit(","), F.lit("")), said))
 
 
 def num_to_thaiword_float(x: Column | str) -> Column:
