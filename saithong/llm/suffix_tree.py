@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from saithong.llm.common import by_bytes, cut, tidied, word_numbers
 
-DEPTH = 4  # words of the longest contexts
+DEPTH = 3  # words of the longest contexts
 BACK = 12.0  # weight of a suffix's distribution in that of its context, in tokens
 GAIN = 6.0  # nats by which a context's next words must be likelier than in its suffix's distribution
 _LEAST = 2  # occurrences of a context
@@ -33,7 +33,7 @@ _RAW = 5  # bytes of a difference between keys that are stored as they are
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
         column = pc.fill_null(b.column("text"), "")
-        for start, end in by_bytes(column, 8 << 20):
+        for start, end in by_bytes(column, 6 << 20):
             yield b.slice(start, end - start), column[start:end]
 
 
@@ -221,7 +221,7 @@ class _Block:
             elif x.level == turn - 1 and (told := x.told()).any():
                 keys, of = np.unique(x.context[told], return_inverse=True)
                 nats = self.train[x.at[told]] * np.log(x.sure[told] / x.lower[told])
-                yield _stays(x.level), keys, np.bincount(of, nats, len(keys))
+                yield _stays(x.level), keys, np.bincount(of, nats, len(keys)).astype(np.float32)
 
     def scores(self, depth: int, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, those with a count, log10 of its probability by word counts and by the tree."""
