@@ -71,6 +71,17 @@ def drop(*tables: DataFrame) -> None:
         _folder(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words (runs without ASCII white space) of a text; null has none."""
     return let(

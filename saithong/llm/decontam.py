@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut, tidied, word_numbers
+from saithong.llm.common import cut, tidied, unused, word_numbers
 
 WINDOW = 13
 _BLOCK_BYTES = 4 << 20
@@ -194,20 +194,20 @@ def _lookup(index: DataFrame, items: list[tuple], window: int, id_col: str) -> D
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, rows: int) -> Iterator[list[tuple]]:
     """The test items in blocks of about `rows` items or 32 MB, each small enough for the driver and a broadcast."""
-    items = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    items = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()  # equal ones would meet in one block
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     parts = max(1, -(-n // rows), -(-size // (32 << 20)))
     for k in range(parts):
         yield [tuple(r) for r in (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else items).collect()]
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, query_rows: int = _QUERY_ROWS) -> DataFrame:
+def phrase_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", items_text_col: str | None = None, window: int = WINDOW, query_rows: int = _QUERY_ROWS) -> DataFrame:
     """Per document: its id, n_words, n_hit (words inside an occurrence of a window), items (ids of items with occurring windows, sorted as strings) and runs (the runs of words hit: start, end exclusive).
 
     A window is `window` consecutive words of an item; a shorter item, but not an empty one, is one window. Null texts have no words. Items with a null id count for n_hit but aren't listed; repeated items count once. Repeated documents get a row each; empty tables give no rows or no hits. Items are looked up in blocks, so their table may be of any size.
     """
     index = build_index(docs, id_col=id_col, text_col=text_col)
-    found = [_lookup(index, x, window, id_col) for x in _blocks(items, item_col, text_col, query_rows)]
+    found = [_lookup(index, x, window, id_col) for x in _blocks(items, item_col, items_text_col or text_col, query_rows)]
     if len(found) == 1:
         return found[0].drop("block", "place")
     every = found[0]
@@ -247,7 +247,12 @@ def proximity_hits(docs: DataFrame, phrases: list[str], slop: int, *, id_col: st
     return index.mapInArrow(tidied(run), f"`{id_col}` {kind}, phrase string, at bigint")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", broadcast_ids: int = 1_000_000, **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns. Rows with one id go together; rows with a null id stay."""
-    bad = cut(decontaminate(docs, items, id_col=id_col, **options).filter("contaminated").groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).select("_id"), "contaminated")
-    return docs.join(F.broadcast(bad) if bad.count() <= broadcast_ids else bad, F.col(id_col) == F.col("_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000, **options) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns. Rows are told apart by id and text (its 64-bit hash): a row with a null id goes if its text is contaminated, and a clean one stays whatever other rows have its id."""
+    own, digest = F.col(id_col), F.xxhash64(F.col(text_col))
+    key = F.struct(own.alias("id"), digest.alias("h"))
+    found = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, id_col="key", text_col="text", items_text_col=text_col, **options)
+    bad_id, bad_hash = unused(docs, "bad_id", "bad_hash")
+    bad = cut(found.filter("contaminated").select(F.col("key.id").alias(bad_id), F.col("key.h").alias(bad_hash)).distinct(), "contaminated")
+    few = bad.count() <= broadcast_ids  # counted
+    return docs.join(F.broadcast(bad) if few else bad, own.eqNullSafe(F.col(bad_id)) & (digest == F.col(bad_hash)), "left_anti")

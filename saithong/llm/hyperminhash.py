@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut, tidied, word_numbers
+from saithong.llm.common import by_bytes, cut, tidied, unused, word_numbers
 from saithong.llm.components import components
 
 P, R = 8, 10  # 2**P registers; bits of mantissa beside a leading-zero count of 6 bits
@@ -276,17 +276,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns; of rows with one id, one. The ids to drop are sent to the texts if they are few (counted), else joined."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).select(F.col(id_col).alias("_id"), "kept"), "kept")
-    dropped = found.filter(~F.col("kept")).groupBy("_id").agg(F.count("*").alias("n")).select("_id")
-    few = dropped.count() <= _BROADCAST_IDS
-    out = docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("_id"), "left_anti")
-    again = cut(found.filter("kept and _id is not null").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "again")
-    n = again.count()
-    if n == 0:
+    """One row of each group of near duplicates, with all its columns: that with the smallest id (null last); all rows without words, which are linked with nothing. Rows are told apart by a 64-bit hash of id and text, so rows with a null id, or with one id and different texts, are documents of their own; of rows alike in both one stays. What is to be dropped is sent to the texts if it is little (counted), else joined."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", shingle=shingle, percent=percent)
+    found = cut(found.select("key", F.col("component_id").alias("component")), "components")
+    several = found.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n")).filter("n > 1").select("c")
+    members = cut(found.join(several, F.col("component") == F.col("c")).groupBy("key", "component").agg(F.count("*").alias("n")), "members")
+    ids = docs.select(key.alias("k"), F.col(id_col).alias("id"))
+    few = members.count() <= _BROADCAST_IDS
+    ids = ids.join(F.broadcast(members.select("key", "component")) if few else members.select("key", "component"), F.col("k") == F.col("key")).select("key", "component", "id")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("stays"))
+    bad, again = unused(docs, "dropped_key", "repeated_key")
+    marked = cut(members.join(first, F.col("key") == F.col("stays"), "left").select("key", "n", F.col("stays").isNotNull().alias("stays")), "marked")
+    small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
+    out = docs.join(small(marked.filter("not stays").select(F.col("key").alias(bad))), key == F.col(bad), "left_anti")
+    repeated = marked.filter("stays and n > 1").select(F.col("key").alias(again))
+    if repeated.isEmpty():
         return out
-    again = F.broadcast(again) if n <= _BROADCAST_IDS else again
-    once = out.join(again, F.col(id_col) == F.col("_id"), "left_anti")
-    return once.unionByName(out.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    repeated = small(repeated)
+    (name,) = unused(docs, "own_key")
+    once = out.join(repeated, key == F.col(again), "left_semi").withColumn(name, key).dropDuplicates([name]).drop(name)
+    return out.join(repeated, key == F.col(again), "left_anti").unionByName(once)

@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut, let
+from saithong.llm.common import cut, let, unused
 from saithong.llm.components import components
 
 EDITS = 2
-MIN_CHARS = 24  # shorter lines only equal themselves
+PER_EDIT = 8  # characters that the shorter of two lines has for each edit, at least: lines below that only equal themselves
 _WORD = 60  # bits of a column of the edit matrix
 _LOOK = 24  # characters behind the common prefix that are looked at first
-_BROADCAST_IDS = 1_000_000
+_BLOCK = 512  # indexed lines of a key that meet in one task
+_BROADCAST_IDS = 200_000
 
 
 def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -106,25 +107,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode_outer(full).alias("l")).select("doc", "l.pos", "l.line")
 
 
-def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """Per line with a word (and per document without such lines, with nulls): doc, pos (its place among all lines of the text), line_id, class_id, links and status.
 
-    Equal lines are one; two different ones of at least min_chars characters are linked if at most `edits` insertions, deletions and substitutions of characters turn one into the other; links make classes. status is first (of its class, in order of document and place), equal (to an earlier line) or near (no equal line is earlier, but one of its class is). links counts the different lines linked to this one. Blank lines aren't lines here; null texts have none. Repeated rows repeat their lines. Lines are told apart by 64-bit hashes.
+    Equal lines are one; two different ones are linked if at most `edits` insertions, deletions and substitutions of characters turn one into the other, and no more than one for each per_edit characters of the shorter one (short lines with as many edits are mostly other words); links make classes. status is first (of its class, in order of document and place), equal (to an earlier line) or near (no equal line is earlier, but one of its class is). links counts the different lines linked to this one. Blank lines aren't lines here; null texts have none. Repeated rows repeat their lines. Lines are told apart by 64-bit hashes.
     """
     lines = _lines(docs, id_col, text_col).withColumns({"id": F.when(F.col("line").isNotNull(), F.xxhash64("line")), "n": F.length("line")})
     places = cut(lines.select("doc", "pos", "id"), "lines")
     own, probes = keys_of(F.col("line"), F.col("n"), edits)
-    long = lines.filter(F.col("n") >= max(min_chars, edits + 1)).select("id", own.alias("own"), probes.alias("probes"))
+    long = lines.filter(F.col("n") >= max(per_edit, edits + 1)).select("id", own.alias("own"), probes.alias("probes"))
     distinct = cut(long.dropDuplicates(["id"]), "segments")
     indexed = distinct.select(F.col("id").alias("a"), F.explode("own").alias("key"))
     probing = distinct.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.concat("own", "probes"))).alias("k"))
     # Keys under which different lines meet. A line meets others under few keys, so only those keys' rows get texts.
     met = probing.join(indexed, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")), "left_semi")
-    met = cut(met.groupBy("k").agg(F.count("*").alias("n")).select(F.col("k").alias("m")), "met")
+    met = cut(met.groupBy("k").agg(F.count("*").alias("n")).select(F.col("k").alias("m"), F.ceil(F.col("n") / _BLOCK).cast("int").alias("parts")), "met")
     small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df  # noqa: E731  counted
     few = small(met)
-    here = cut(indexed.join(few, F.col("key") == F.col("m"), "left_semi"), "here")
-    there = cut(probing.join(few, F.col("k") == F.col("m"), "left_semi"), "there")
+    # A key with many lines is dealt in blocks of indexed lines, each of which meets all that probe, so that no task has them all.
+    here = cut(indexed.join(few, F.col("key") == F.col("m")).select("a", "key", F.pmod(F.col("a"), "parts").cast("int").alias("part")), "here")
+    there = cut(probing.join(few, F.col("k") == F.col("m")).select("b", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of")), "there")
 
     ids = cut(here.select(F.col("a").alias("i")).union(there.select("b")).distinct(), "ids")
     texts = lines.select("id", "line").join(small(ids), F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
@@ -134,7 +136,9 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Each pair is verified once, under its smallest common key, and within the join, so that no pairs but links leave it.
     once = (F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))
     first_key = F.array_min(F.array_intersect("own", "all")) == F.col("key")
-    near = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & F.when(~(once & first_key), False).otherwise(within(F.col("l_a"), F.col("l_b"), edits))
+    shorter = F.least("n_a", "n_b")
+    alike = F.when(shorter >= edits * per_edit, within(F.col("l_a"), F.col("l_b"), edits)).otherwise(F.levenshtein("l_a", "l_b") <= F.floor(shorter / per_edit))
+    near = (F.col("key") == F.col("k")) & (F.col("part") == F.col("of")) & (F.col("a") != F.col("b")) & F.when(~(once & first_key), False).otherwise(alike)
     links = cut(here.join(there, near).select(F.col("a"), F.col("b")), "links")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("links"))
@@ -150,18 +154,20 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc", "pos", F.col("id").alias("line_id"), "class_id", "links", status.alias("status"))
 
 
-def line_summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """Per document id: n_lines, n_equal and n_near (lines that line_classes() would drop), n_links (of its lines) and class_id (the smallest of its lines' classes; null without lines)."""
-    c = line_classes(docs, id_col=id_col, text_col=text_col, edits=edits, min_chars=min_chars)
+    c = line_classes(docs, id_col=id_col, text_col=text_col, edits=edits, per_edit=per_edit)
     is_ = lambda s: F.count(F.when(F.col("status") == s, 1))
     return c.groupBy(F.col("doc").alias(id_col)).agg(F.count("line_id").alias("n_lines"), is_("equal").alias("n_equal"), is_("near").alias("n_near"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"), F.min("class_id").alias("class_id"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with each text's lines that are first in their class, and its blank lines; all other columns as they are. Rows with a null id keep their texts."""
-    c = line_classes(docs, id_col=id_col, text_col=text_col, edits=edits, min_chars=min_chars)
-    dropped = cut(c.filter("status <> 'first'").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_dropped")), "dropped")
-    gone = F.map_from_arrays("_dropped", "_dropped")
+def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """docs with each text's lines that are first in their class, and its blank lines; all other columns as they are. Rows are told apart by id (null first) and the 64-bit hash of their text; rows alike in both lose the same lines."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
+    c = line_classes(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", edits=edits, per_edit=per_edit)
+    doc, positions, own = unused(docs, "line_doc", "line_positions", "own_doc")
+    dropped = cut(c.filter("status <> 'first'").groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(positions)), "dropped")
+    gone = F.map_from_arrays(positions, positions)
     kept = let(gone, lambda m: F.filter(F.split(F.col(text_col), "\n"), lambda x, i: F.get(F.array(m[i]), F.lit(0)).isNull()))
-    joined = docs.join(dropped, F.col(id_col) == F.col("_doc"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_dropped")
+    joined = docs.withColumn(own, key).join(dropped, F.col(own) == F.col(doc), "left")
+    return joined.withColumn(text_col, F.when(F.col(positions).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop(own, doc, positions)
