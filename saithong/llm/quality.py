@@ -1,28 +1,31 @@
-"""Quality rules in a short-circuit cascade: cost and selectivity are estimated on a sample, then rules run in order of rejection per cost.
+"""Quality rules in a short-circuit cascade: cost and selectivity are measured on a sample, then rules run in order of rejection per cost.
 
 Native: a rule is a Column, and the cascade is a CASE expression, of which Spark evaluates no branch behind the first that holds.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import SPACE, let, words_of
+from saithong.llm.common import SPACE, cut, drop, let, words_of
 
 _SYMBOLS = "[^#*$%&|<>]+"
 _REPEAT = 5  # words in a window
+SAMPLE = 1000  # rows on which costs and selectivities are estimated, about
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: true for a bad row. work: an expression for the steps that evaluating it takes (characters looked at, say); its mean over the sample is the rule's cost."""
+    """reject: true for a bad row; null counts as false. cost: seconds for a row, if known; else it is measured."""
 
     name: str
     reject: Column
-    work: Column
+    cost: float | None = None
 
 
 def repeated_words(words: Column, n: int = _REPEAT) -> Column:
@@ -59,42 +62,70 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select(id_col, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_chars", *(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)))
 
 
-def default_rules() -> list[Rule]:
-    """Rules on the columns of features(). The first two make base_failed; the others are the method's own, wide enough to leave prose alone."""
-    c, n, one = F.col, F.col("n_words"), F.lit(1.0)
+def few_letters(text: Column, word_chars: Column) -> Column:
+    """Whether less than half of a text's characters other than white space are letters."""
+    return 2 * F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", "")) < word_chars
+
+
+def shouting(text: Column) -> Column:
+    """Whether more than half of a text's letters A-Z and a-z are capitals."""
+    t = F.coalesce(text, F.lit(""))
+    return 2 * F.length(F.regexp_replace(t, "[^A-Z]+", "")) > F.length(F.regexp_replace(t, "[^A-Za-z]+", ""))
+
+
+def default_rules(text: Column) -> list[Rule]:
+    """Rules on the columns of features() and on the text. The first two make base_failed; the others are the method's own, wide enough to leave prose alone."""
+    c, n = F.col, F.col("n_words")
     return [
-        Rule("few_words", n < 10, one),
-        Rule("repeated_words", 100 * c("n_repeat_words") > 20 * n, 2 * one),
-        Rule("symbols", 10 * c("n_symbols") > n, 2 * one),
-        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines"), 2 * one),
-        Rule("word_length", (c("word_chars") < 2 * n) | (c("word_chars") > 20 * n), 3 * one),
+        Rule("few_words", n < 10),
+        Rule("repeated_words", 100 * c("n_repeat_words") > 20 * n),
+        Rule("symbols", 10 * c("n_symbols") > n),
+        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+        Rule("word_length", (c("word_chars") < 2 * n) | (c("word_chars") > 20 * n)),
+        Rule("few_letters", few_letters(text, c("word_chars"))),
+        Rule("shouting", shouting(text)),
     ]
 
 
 def text_rules(text: Column) -> list[Rule]:
     """The same rules on texts, for filtering without features: each looks at the text itself, so that short-circuiting saves work."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.length(t).cast("double")
     n = F.size(words_of(t))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     length = F.length(F.regexp_replace(t, SPACE, ""))
     return [
-        Rule("few_words", n < 10, chars),
-        Rule("repeated_words", let(words_of(t), lambda w: 100 * repeated_words(w) > 20 * F.size(w)), 12 * chars),
-        Rule("symbols", 10 * F.length(F.regexp_replace(t, _SYMBOLS, "")) > n, 2 * chars),
-        Rule("repeated_lines", let(lines, lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 3 * F.size(x)), chars),
-        Rule("word_length", (length < 2 * n) | (length > 20 * n), 3 * chars),
+        Rule("few_words", n < 10),
+        Rule("repeated_words", let(words_of(t), lambda w: 100 * repeated_words(w) > 20 * F.size(w))),
+        Rule("symbols", 10 * F.length(F.regexp_replace(t, _SYMBOLS, "")) > n),
+        Rule("repeated_lines", let(lines, lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 3 * F.size(x))),
+        Rule("word_length", (length < 2 * n) | (length > 20 * n)),
+        Rule("few_letters", few_letters(text, length)),
+        Rule("shouting", shouting(text)),
     ]
 
 
-def ordered_rules(rows: DataFrame, rules: list[Rule], *, sample: int = 2000) -> list[tuple[Rule, float, float]]:
-    """(rule, cost, share of rows that it rejects) in order of rejection per cost, estimated on at most `sample` rows of the first partitions; ties by name. The order changes what a cascade costs, never what it keeps."""
-    seen = rows.limit(sample).agg(
-        F.count("*").alias("n"),
-        *(F.coalesce(F.avg(F.coalesce(r.reject, F.lit(False)).cast("double")), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(rules)),
-        *(F.coalesce(F.avg(r.work.cast("double")), F.lit(1.0)).alias(f"c{i}") for i, r in enumerate(rules)),
-    ).first()
-    found = [(r, max(seen[f"c{i}"], 1e-9), seen[f"r{i}"]) for i, r in enumerate(rules)]
+def hashed_sample(docs: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About `rows` rows of docs, by a hash of these columns: from the whole table, and the same in each run. Equal rows are in it together or not at all."""
+    parts = max(1, docs.count() // rows)
+    return docs.filter(F.pmod(F.xxhash64(*columns), F.lit(parts)) == 0)
+
+
+def _seconds(df: DataFrame, *columns: Column, runs: int = 3) -> float:
+    """The least time in which columns of all rows are computed."""
+    took = []
+    for _ in range(runs):
+        start = time.perf_counter()
+        df.select(*columns).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - start)
+    return min(took)
+
+
+def ordered_rules(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, cost, share of rows that it rejects) in order of rejection per cost, on a sample that is small enough to be gone through several times: a rule's cost is the time that the sample's rows take with it, less that without. Ties by name. The order changes what a cascade costs, never what it keeps."""
+    rows, *shares = sample.agg(F.count("*"), *(F.coalesce(F.avg(F.coalesce(r.reject, F.lit(False)).cast("double")), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(rules))).first()
+    bare = _seconds(sample, F.lit(True)) if rows and any(r.cost is None for r in rules) else 0.0
+    cost = lambda r: r.cost if r.cost is not None else (_seconds(sample, r.reject.alias("x")) - bare) / rows if rows else 1.0
+    found = [(r, max(cost(r), 1e-9), share) for r, share in zip(rules, shares, strict=True)]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
@@ -106,20 +137,26 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, sample: int = 2000) -> DataFrame:
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Callable[[Column], list[Rule]] = default_rules, sample: int = SAMPLE) -> DataFrame:
     """features() of each row with base_failed, kept (no rule rejects it) and rejected_by.
 
-    A null or empty text has no words and fails few_words. Repeated rows and null ids give a row each; an empty table gives no rows; other columns of docs are ignored. Several rules can hold: rejected_by names one of them.
+    All features are wanted, so they come first; of the rules on texts a row sees only those before the first that rejects it. A null or empty text has no words and fails few_words. Repeated rows and null ids give a row each; an empty table gives no rows; other columns of docs are ignored. Several rules can hold: rejected_by names one of them.
     """
-    rows = features(docs, id_col=id_col, text_col=text_col)
-    rules = default_rules() if rules is None else rules
-    order = [r for r, _, _ in ordered_rules(features(docs.limit(sample), id_col=id_col, text_col=text_col), rules, sample=sample)]
+    narrow = docs.select(F.col(id_col), F.col(text_col))
+    with_text = lambda df: features(df, id_col=id_col, text_col=text_col, keep=(text_col,)).withColumnRenamed(text_col, "own_text")
+    every = rules(F.col("own_text"))
+    seen = cut(with_text(hashed_sample(narrow, sample, id_col, text_col)), "sample")
+    order = [r for r, _, _ in ordered_rules(seen, every)]
+    drop(seen)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = rows.withColumn("rejected_by", cascade(order)).withColumn("base_failed", base)
+    out = with_text(narrow).withColumn("rejected_by", cascade(order)).withColumn("base_failed", base).drop("own_text")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", sample: int = 2000) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns. The cascade runs on the texts."""
-    order = [r for r, _, _ in ordered_rules(docs, text_rules(F.col(text_col)), sample=sample)]
-    return docs.filter(cascade(order).isNull())
+    seen = cut(hashed_sample(docs.select(F.col(text_col).alias("text")), sample, "text"), "sample")
+    order = [r.name for r, _, _ in ordered_rules(seen, text_rules(F.col("text")))]
+    drop(seen)
+    rules = {r.name: r for r in text_rules(F.col(text_col))}
+    return docs.filter(cascade([rules[name] for name in order]).isNull())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -23,12 +25,12 @@ _BLOCK = 1 << 20  # ids in a shard, about; a longer document makes a shard of it
 SHARD = "part int, shard int, n_ids int, width int, n_tokens bigint, rules binary, lengths binary, symbols binary, doc_sizes binary, doc_symbols binary"
 
 
-def grammar(ids: np.ndarray, sizes: np.ndarray, n_ids: int, *, rounds: int = 6, per_round: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths, symbols of each document) for the ids of documents of these sizes, none 0: in each round the most frequent pairs of neighbours, at most per_round and `least` times each, become new symbols; a pair never spans two documents."""
+def grammar(ids: np.ndarray, sizes: np.ndarray, n_ids: int, *, per_round: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths, symbols of each document) for the ids of documents of these sizes, none 0: round by round the most frequent pairs of neighbours, at most per_round at once, become new symbols, until no pair occurs `least` times; a pair never spans two documents."""
     seq, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
     ends = np.cumsum(sizes) - 1
     top = n_ids
-    for _ in range(rounds):
+    while True:
         half, code = (16, np.uint32) if top < 0xFFFF else (32, np.uint64)  # bits of a symbol
         codes = seq[:-1].astype(code)
         codes <<= code(half)
@@ -102,8 +104,17 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nd
     return flat[np.cumsum(place, out=place)]
 
 
+# The normalizer and pre-tokenizer of files whose words can be encoded apart: lower case, white space dropped, letters, digits and other characters split from each other.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _MARKS = ".,;:!?"
-#: A mark behind a letter or digit, which the tokenizer always splits off.
+#: A mark behind a letter or digit, which this pre-tokenizer always splits off.
 _MARKED = f"[a-z0-9ß-öø-ÿ][{_MARKS}]$"
 #: Words of lower-case Latin letters alone: normalization leaves them as they are and the pre-tokenizer whole, so the library's model can be asked at once. _BYTE_CHARS: the characters that stand for bytes in its vocabulary: printable ones for themselves, the others from 256 on.
 _PLAIN = "^[a-zß-öø-ÿ]+$"
@@ -111,6 +122,12 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer file encodes a text as its words between ASCII white space, in lower case, marks at their ends apart: it has the normalizer and pre-tokenizer above, and added tokens that only words with a < can hold."""
+    special = all("<" in t["content"] and not re.search(r"\s", t["content"]) and not any(t[k] for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in config.get("added_tokens") or [])
+    return config.get("normalizer") == _NORMALIZER and config.get("pre_tokenizer") == _PRE_TOKENIZER and special
+
+
 def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(what to encode for each word, number of a mark to encode after it, or 0): A-Z in lower case, as the tokenizer makes them, and without a mark at the end. Words that could hold a special token stay whole."""
     special = pc.match_substring(words, "<")
@@ -122,7 +139,7 @@ def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library. Words between ASCII white space are encoded apart (the tokenizer must drop white space): their stems once, which are remembered up to a bound."""
+    """Whole texts to ids with the tokenizers library. If the file allows it (by_words) words are encoded apart: their stems once, which are remembered up to a bound; else each text is encoded as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,10 +148,12 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        probe = ["straße", "señal", "the", "àÿ", "q"]
-        self.by_model = all([t.id for t in self.model.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))] == self.model.encode(w, add_special_tokens=False).ids for w in probe)
+        config = json.loads(self.model.to_str())
+        self.apart = by_words(config)
+        self.plain = self.apart and config["model"]["type"] == "BPE"
         self.n_ids = max(self.model.get_vocab_size(with_added_tokens=True), END + 1)
-        self.reset()
+        if self.apart:
+            self.reset()
 
     def reset(self) -> None:
         self.memo: dict[str, int] = {}  # places of stems
@@ -144,7 +163,7 @@ class Encoder:
     def _add(self, stems: pa.Array) -> None:
         names, plain = stems.to_pylist(), pc.match_substring_regex(stems, _PLAIN).to_pylist()
         merge = self.model.model.tokenize
-        if not self.by_model:
+        if not self.plain:
             plain = [False] * len(names)
         ids: list = [[t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))] if ok else None for w, ok in zip(names, plain, strict=True)]
         rest = [k for k, x in enumerate(ids) if x is None]
@@ -158,6 +177,10 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END after it; number of ids of each text)."""
+        if not self.apart:
+            rows = [[*x.ids, END] for x in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            return np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())), n
         if len(self.memo) > _MEMO:
             self.reset()
         words, numbers, counts = coded_words(texts)

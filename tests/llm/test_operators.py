@@ -110,10 +110,23 @@ def test_cascade_orders_by_rejection_per_cost(spark):
     from saithong.llm.quality import Rule, cascade, ordered_rules
 
     df = spark.range(100)
-    rules = [Rule("dear", F.col("id") < 50, F.lit(100)), Rule("cheap", F.col("id") < 10, F.lit(1)), Rule("never", F.lit(False), F.lit(0.1))]
+    rules = [Rule("dear", F.col("id") < 50, 100.0), Rule("cheap", F.col("id") < 10, 1.0), Rule("never", F.lit(False), 0.1)]
     assert [r.name for r, _, _ in ordered_rules(df, rules)] == ["cheap", "dear", "never"]
-    boom = Rule("boom", F.raise_error(F.lit("evaluated")).isNotNull(), F.lit(1))
-    assert df.select(cascade([Rule("all", F.lit(True), F.lit(1)), boom]).alias("c")).distinct().first().c == "all"
+    boom = Rule("boom", F.raise_error(F.lit("evaluated")).isNotNull())
+    assert df.select(cascade([Rule("all", F.lit(True)), boom]).alias("c")).distinct().first().c == "all"
+    # Measured: as many rows go, but one rule counts to 200,000 for each.
+    long = F.aggregate(F.sequence(F.lit(0), F.lit(200_000)), F.col("id"), lambda a, x: a + x % 7) < 0
+    found = ordered_rules(df, [Rule("slow", (F.col("id") < 50) | long), Rule("fast", F.col("id") < 50)])
+    assert [r.name for r, _, _ in found] == ["fast", "slow"] and found[1][1] > 1e-4 and [s for _, _, s in found] == [0.5, 0.5]
+    assert [s for _, _, s in ordered_rules(df.limit(0), rules)] == [0.0] * 3
+
+
+def test_sample_is_from_the_whole_table(spark):
+    from saithong.llm.quality import hashed_sample
+
+    df = spark.range(0, 20_000, 1, 8)
+    got = hashed_sample(df, 1000, "id")
+    assert 800 < got.count() < 1200 and got.select(F.spark_partition_id()).distinct().count() == 8
 
 
 def tokenizer(name):
