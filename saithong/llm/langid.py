@@ -19,8 +19,8 @@ from saithong.llm.common import by_bytes, tidied
 UNKNOWN = "und"
 HIDDEN = 8
 WINDOW = 128  # bytes that the network reads at a time
-#: Training: labelled rows of each language (the first in order of a hash), windows of their whole texts for each language, passes over them.
-ROWS_PER_LANGUAGE, WINDOWS_PER_LANGUAGE, EPOCHS = 200, 600, 8
+#: Training: labelled rows of each language (the first in order of a hash), their bytes in all (whole texts only), languages, and passes over all windows.
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE, LANGUAGES, EPOCHS = 64, 2 << 20, 1000, 5
 _BATCH = 64
 _LANES = 1024  # windows read side by side when predicting
 
@@ -55,8 +55,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _read(net: Network, d: int, bytes_: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States [T, B, H] of direction d over bytes [T, B]. keep gets what backpropagation needs."""
+def _read(net: Network, d: int, bytes_: np.ndarray, inside: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+    """States [T, B, H] of direction d over bytes [T, B]; outside of the texts (where inside [T, B] is 0) they stay zero. keep gets what backpropagation needs."""
     steps, lanes = bytes_.shape
     h = np.zeros((lanes, net.c[d].shape[0]), np.float32)
     n = h.shape[1]
@@ -77,6 +77,8 @@ def _read(net: Network, d: int, bytes_: np.ndarray, keep: list | None = None) ->
         new = a - h
         new *= z
         new += h
+        if inside is not None:
+            new *= inside[t][:, None]
         h = new
         states[t] = h
     return states
@@ -89,23 +91,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def probabilities(net: Network, bytes_: np.ndarray) -> np.ndarray:
+def probabilities(net: Network, bytes_: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
     """[T, B, L]: the label of every position."""
     n = net.c[0].shape[0]
-    logits = _read(net, 0, bytes_) @ net.out[:n]
-    logits += _read(net, 1, bytes_) @ net.out[n:]
+    logits = _read(net, 0, bytes_) @ net.out[:n]  # it comes to the end last
+    logits += _read(net, 1, bytes_, inside) @ net.out[n:]
     logits += net.bias
     return _softmax(logits)
 
 
-def gradients(net: Network, bytes_: np.ndarray, labels: np.ndarray, inside: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross-entropy of the labels [B] at the positions inside [T, B], and its gradients by backpropagation through time."""
+def gradients(net: Network, bytes_: np.ndarray, labels: np.ndarray, inside: np.ndarray, share: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of the labels [B] at the positions inside [T, B] (each weighed by the share of its lane), and its gradients by backpropagation through time."""
     steps, lanes = bytes_.shape
     n = net.c[0].shape[0]
     kept: list[list] = [[], []]
-    states = [_read(net, d, bytes_, kept[d]) for d in (0, 1)]
+    states = [_read(net, d, bytes_, inside, kept[d]) for d in (0, 1)]
     p = _softmax(states[0] @ net.out[:n] + states[1] @ net.out[n:] + net.bias)
-    weight = inside / inside.sum()
+    weight = inside if share is None else inside * share
+    weight = weight / weight.sum()
     each = np.arange(lanes)
     loss = -float((np.log(p[:, each, labels] + 1e-12) * weight).sum())
     p[:, each, labels] -= 1
@@ -117,7 +120,7 @@ def gradients(net: Network, bytes_: np.ndarray, labels: np.ndarray, inside: np.n
         table, u, c = np.zeros_like(net.tables[d]), np.zeros_like(net.u[d]), np.zeros_like(net.c[d])
         dh = np.zeros((lanes, n), np.float32)
         for t, h, z, r, rh, a in reversed(kept[d]):
-            dh = dh + above[t]
+            dh = (dh + above[t]) * inside[t][:, None]
             da = dh * z * (1 - a * a)
             drh = da @ net.c[d].T
             gates = np.concatenate([dh * (a - h) * z * (1 - z), drh * h * r * (1 - r)], 1)
@@ -142,8 +145,8 @@ def _lanes(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.T), np.arange(window)[:, None] < sizes
 
 
-def fit(rows: list[tuple[str, str]], *, hidden: int = HIDDEN, window: int = WINDOW, windows_per_language: int = WINDOWS_PER_LANGUAGE, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 7) -> Network | None:
-    """Trains on (text, language) rows by Adam. Each language gets equally many windows, drawn from its whole texts. Without usable rows there is no network."""
+def fit(rows: list[tuple[str, str]], *, hidden: int = HIDDEN, window: int = WINDOW, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 7) -> Network | None:
+    """Trains on (text, language) rows by Adam: on all windows of all texts, each language with the same weight. Without usable rows there is no network."""
     rng = np.random.default_rng(seed)
     by: dict[str, list[bytes]] = {}
     for text, language in sorted(rows):
@@ -151,11 +154,9 @@ def fit(rows: list[tuple[str, str]], *, hidden: int = HIDDEN, window: int = WIND
     languages = sorted(k for k, v in by.items() if v)
     if not languages:
         return None
-    pieces, labels = [], []
-    for i, k in enumerate(languages):
-        chosen = rng.choice(len(by[k]), windows_per_language, replace=len(by[k]) < windows_per_language)
-        pieces += [by[k][j] for j in chosen]
-        labels += [i] * windows_per_language
+    pieces = [w for k in languages for w in by[k]]
+    labels = [i for i, k in enumerate(languages) for _ in by[k]]
+    weights = np.array([len(pieces) / (len(languages) * len(by[k])) for k in languages], np.float32)
     all_labels = np.array(labels)
     net = start(languages, hidden, seed)
     params = net.params()
@@ -169,7 +170,7 @@ def fit(rows: list[tuple[str, str]], *, hidden: int = HIDDEN, window: int = WIND
             # A window may stand for a short text: some lose their end.
             inside = inside & (np.arange(window)[:, None] < np.where(rng.random(len(own)) < 0.3, rng.integers(8, window + 1, len(own)), window))
             data = np.where(inside, data, 32).astype(np.uint8)
-            _, grads = gradients(net, data, all_labels[own], inside.astype(np.float32))
+            _, grads = gradients(net, data, all_labels[own], inside.astype(np.float32), weights[all_labels[own]])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1
             now = rate * min(1.0, 2 * (1 - step / total) + 0.02)
@@ -193,26 +194,35 @@ def label(net: Network, texts: list[bytes], window: int = WINDOW) -> np.ndarray:
     owner = np.array(of, np.int64)
     for at in range(0, len(pieces), _LANES):
         data, inside = _lanes(pieces[at : at + _LANES], window)
-        p = probabilities(net, data)
+        p = probabilities(net, data, inside)
         p *= inside[:, :, None]
         np.add.at(out, owner[at : at + _LANES], p.sum(0))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """At most per_language labelled rows of each language, the first in order of a hash of the id: whole texts. Ids and hashes alone are ranked; only the chosen rows' texts are fetched."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    chosen = ranked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("k") <= per_language).select("i", "l").distinct()
-    texts = labelled.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("i")) & (F.col(lang_col) == F.col("l")), "left_semi")  # at most per_language ids a language
-    return [(r[0], r[1]) for r in texts.select(text_col, F.col(lang_col).cast("string")).toLocalIterator()]
+def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int = ROWS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> list[tuple[str, str]]:
+    """At most per_language labelled rows of each language, the first in order of a hash of id and text, as long as their whole texts make up at most most_bytes; longer texts aren't learned from. Hashes and sizes alone are ranked; then the rows up to the last hash are fetched, ranked again, as rows alike have the same hash. More than LANGUAGES languages are an error."""
+    size = F.octet_length(text_col)
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size <= most_bytes))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), size.alias("size"), F.col(text_col).alias("t"))
+    by_hash = Window.partitionBy("l").orderBy("h", "t")
+
+    def first(df: DataFrame, order) -> DataFrame:
+        ranked = df.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+        return ranked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= most_bytes)
+
+    last = first(rows.select("l", "h", "size"), Window.partitionBy("l").orderBy("h", "size")).groupBy("l").agg(F.max("h").alias("last")).withColumnRenamed("l", "of")
+    if (n := last.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages; at most {LANGUAGES} can be learned")
+    chosen = first(rows.join(F.broadcast(last), (F.col("l") == F.col("of")) & (F.col("h") <= F.col("last"))).select("l", "h", "size", "t"), by_hash)  # a row a language, at most LANGUAGES
+    return [(r[0], r[1]) for r in chosen.select("t", "l").collect()]
 
 
 def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), per_language: int = ROWS_PER_LANGUAGE, hidden: int = HIDDEN) -> DataFrame:
     """Per row of docs: its id, the columns in keep, lang_pred (a language of the training rows) and score (its pooled probability, 0 to 1).
 
-    training: labelled rows, of which at most per_language a language are learned from. Prediction sees texts alone, every byte of them. A null text or one without a letter is `und` with score 0, as is every text if nothing could be learned. Ties go to the first language in order. Repeated rows and null ids give a row each; an empty table gives no rows.
+    training: labelled rows, of which at most per_language a language, and BYTES_PER_LANGUAGE bytes of them, are learned from. Prediction sees texts alone, every byte of them. A null text or one without a letter is `und` with score 0, as is every text if nothing could be learned. Ties go to the first language in order. Repeated rows and null ids give a row each; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     net = fit(training_rows(training, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language), hidden=hidden)

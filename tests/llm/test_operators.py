@@ -408,6 +408,7 @@ def test_gradients_by_differences():
     net.tables, net.u, net.c = ([x.astype(np.float64) for x in p] for p in (net.tables, net.u, net.c))
     net.out = net.out.astype(np.float64)
     data, labels, inside = rng.integers(0, 256, (7, 5)).astype(np.uint8), rng.integers(0, 3, 5), np.ones((7, 5), np.float32)
+    inside[4:, 1] = inside[6:, 3] = 0  # shorter texts: what is behind their ends has no part in anything
     _, grads = L.gradients(net, data, labels, inside)
     for p, g in zip(net.params(), grads, strict=True):
         i = (int(data[3, 2]), 1) if p.shape[0] == 256 else tuple(int(rng.integers(0, k)) for k in p.shape)
@@ -420,6 +421,49 @@ def test_gradients_by_differences():
         assert (up - down) / 2e-3 == pytest.approx(float(g[i]), abs=2e-5)
 
 
+def test_padding_changes_nothing():
+    import numpy as np
+
+    from saithong.llm import langid as L
+
+    net = L.start(["a", "b"], 4, 1)
+    text = b"short text"
+    assert np.allclose(L.label(net, [text], 128), L.label(net, [text], len(text)), atol=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    from saithong.llm.langid import training_rows
+
+    rows = [(None, f"text number {i}", "aa") for i in range(300)] + [(7, "the same", "bb")] * 300 + [(i, "x" * 5000, "cc") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(4)
+    got = Counter(lang for _, lang in training_rows(df, id_col="doc_id", text_col="text", lang_col="lang", per_language=20, most_bytes=21_000))
+    assert got == {"aa": 20, "bb": 20, "cc": 4}
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    from saithong.llm.decontam import drop_contaminated
+    from saithong.llm.hyperminhash import keep_one
+    from saithong.llm.linededup import drop_repeated_lines
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    passage, clean, other, third = text(20), text(60), text(60), text(60)
+    rows = [(None, passage, "n1"), (None, clean, "n2"), (5, passage + " x", "p"), (5, other, "q"), (6, third, "r"), (6, third, "r"), (7, other + " y", "s"), (8, None, "t"), (None, None, "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own_key string").withColumn("bad_id", F.lit("x")).withColumn("Line_Doc", F.lit(1)).repartition(3)
+    items = spark.createDataFrame([("i", passage), ("i", passage), ("j", None)], "item_id string, text string")
+    marks = lambda d: sorted(r.own_key for r in d.collect())
+    kept = drop_contaminated(df, items)
+    assert kept.columns == df.columns and marks(kept) == ["n2", "q", "r", "r", "s", "t", "u"]
+    kept = drop_contaminated(df, items, broadcast_ids=0)
+    assert marks(kept) == ["n2", "q", "r", "r", "s", "t", "u"]
+    kept = keep_one(df)
+    # n1 and p are near, and p has an id; q (5) and s (7) are; of r one stays.
+    assert kept.columns == df.columns and marks(kept) == ["n2", "p", "q", "r", "t", "u"]
+    lines = spark.createDataFrame([(None, "line of a text\nthe other one", "a"), (1, "line of a text\nnew line here", "b"), (1, "the other one\nyet another line", "c")], "doc_id bigint, text string, own_doc string")
+    got = {r.own_doc: r.text for r in drop_repeated_lines(lines).collect()}
+    assert got == {"a": "line of a text\nthe other one", "b": "new line here", "c": "yet another line"}
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
