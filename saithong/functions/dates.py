@@ -19,8 +19,8 @@ MONTHS = ["มกราคม", "กุมภาพันธ์", "มีนา
 MONTHS_SPOKEN = ["มกรา", "กุมภา", "มีนา", "เมษา", "พฤษภา", "มิถุนา", None, "สิงหา", "กันยา", "ตุลา", "พฤศจิกา", "ธันวา"]
 #: Days from today that words for days mean.
 DAY_WORDS = {
-    0: "วันนี้ คืนนี้", 1: "พรุ่งนี้ วันพรุ่งนี้ คืนถัดจากนี้ คืนหน้า", 2: "มะรืน มะรืนนี้ วันมะรืนนี้ ถัดจากพรุ่งนี้ ถัดจากวันพรุ่งนี้",
-    -1: "เมื่อวาน เมื่อวานนี้ วานนี้ เมื่อคืน เมื่อคืนนี้", -2: "วานซืน เมื่อวานซืน เมื่อวานของเมื่อวาน",
+    0: ["วันนี้", "คืนนี้"], 1: ["พรุ่งนี้", "วันพรุ่งนี้", "คืนถัดจากนี้", "คืนหน้า"], 2: ["มะรืน", "มะรืนนี้", "วันมะรืนนี้", "ถัดจากพรุ่งนี้", "ถัดจากวันพรุ่งนี้"],
+    -1: ["เมื่อวาน", "เมื่อวานนี้", "วานนี้", "เมื่อคืน", "เมื่อคืนนี้"], -2: ["วานซืน", "เมื่อวานซืน", "เมื่อวานของเมื่อวาน"],
 }
 
 
@@ -118,7 +118,7 @@ def thai_strptime(text: Column | str, fmt: str, year: str = "be", add_year: int
 
 def thaiword_to_date(word: Column | str, today: Column | None = None) -> Column:
     """The date of a word for a day, counted from `today` (a date or timestamp; the current date by default); null for other words."""
-    days = F.create_map(*(F.lit(v) for n, words in DAY_WORDS.items() for w in words.split() for v in (w, n)))
+    days = F.create_map(*(F.lit(v) for n, words in DAY_WORDS.items() for w in words for v in (w, n)))
     start = F.current_date() if today is None else today
     return start + F.make_dt_interval(days=F.try_element_at(days, as_column(word)))
 

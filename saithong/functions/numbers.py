@@ -5,54 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from saithong.functions.text import DIGIT_WORDS, as_column, let
+from saithong.functions.text import DIGIT_WORDS, as_column
 
 #: The names of the places of a group of six digits, from the units on.
 PLACES = ["", "สิบ", "ร้อย", "พัน", "หมื่น", "แสน"]
+PLACES_ONE = "เอ็ด"  # one behind another place
 MILLION, MINUS, POINT = "ล้าน", "ลบ", "จุด"
 
 
-def _spelled(group: Column, sole: Column) -> Column:
-    """Words of six digits; sole: whether no other group stands before or behind them without a million, so that a 1 alone is no เอ็ด."""
-    parts = []
-    for place in range(5, -1, -1):
-        names = [f"{w}{PLACES[place]}" for w in DIGIT_WORDS]
-        names = ["", "สิบ", "ยี่สิบ", *names[3:]] if place == 1 else ["", *names[1:]]
-        digit = F.substring(group, 6 - place, 1)
-        named = F.get(F.array(*(F.lit(w) for w in names)), digit.cast("int"))
-        parts.append(named if place else F.when((digit == "1") & ~(sole & (group == "000001")), "เอ็ด").otherwise(named))
-    return F.concat(*parts)
-
-
 def _digits_to_words(digits: Column) -> Column:
-    """Words of a whole number above zero, given by its digits, however many: groups of six, with a million behind each but the last."""
-    n = F.ceil(F.length(digits) / 6).cast("int")
-    groups = let(F.struct(n.alias("n"), F.lpad(digits, 6 * n, F.lit("0")).alias("all")), lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda i: _spelled(F.substring(p["all"], 6 * i + 1, F.lit(6)), (i < p["n"] - 1) | (p["n"] == 1))))
-    return F.array_join(groups, MILLION)
+    """Words of a whole number given by its digits, with or without a sign, however many.
+
+    A chain of replacements, each used once, so that neither code nor work multiplies: digits are marked with their places in groups of six (a for ones to f, and ; behind a group), zeros go, and what is left is spelled.
+    """
+    steps = [
+        (r"^\+?(-?)0*(\d+)$", "$100000$2"), (r"^(-?)\d*?(?=(?:\d{6})+$)", "$1"),  # whole groups
+        (r"(\d)(\d)(\d)(\d)(\d)(\d)", "$1f$2e$3d$4c$5b$6a;"), ("0[a-f]", ""),
+        ("(?<=[b-f])1a|(?<=;)1a(?=;$)", PLACES_ONE), ("1b", "b"), ("2b", "ยี่b"), (";$|a", ""), ("^-?$", DIGIT_WORDS[0]),
+    ]
+    for pattern, to in steps:
+        digits = F.regexp_replace(digits, pattern, to)
+    names = {str(i): w for i, w in enumerate(DIGIT_WORDS) if i} | dict(zip("bcdef", PLACES[1:], strict=True)) | {";": MILLION, "-": MINUS}
+    for mark, name in names.items():
+        digits = F.replace(digits, F.lit(mark), F.lit(name))
+    return digits
 
 
 def num_to_thaiword(x: Column | str) -> Column:
     """A whole number in words; null is empty. A text of digits may have any number of them; other numbers are rounded and may have 38."""
-    text = F.trim(as_column(x).cast("string"))
-    plain = F.when(text.rlike(r"^[+-]?[0-9]+$"), text).otherwise(as_column(x).cast("decimal(38,0)").cast("string"))
-
-    def said(t: Column) -> Column:
-        digits = F.regexp_replace(t, "^[+-]?0*", "")
-        return F.when(digits == "", DIGIT_WORDS[0]).otherwise(F.concat(F.when(t.startswith("-"), MINUS).otherwise(""), _digits_to_words(digits)))
-
-    return F.when(as_column(x).isNull(), "").otherwise(let(plain, said))
+    x = as_column(x)
+    text = F.trim(x.cast("string"))
+    return F.coalesce(_digits_to_words(F.when(text.rlike(r"^[+-]?[0-9]+$"), text).otherwise(x.cast("decimal(38,0)").cast("string"))), F.lit(""))
 
 
 def bahttext(x: Column | str) -> Column:
     """An amount of money in words, rounded to satang: exactly for decimals and whole numbers of any size. A fraction below zero loses its sign."""
     x = as_column(x)
-
-    def said(shown: Column) -> Column:
-        baht, satang = F.substring_index(shown, ".", 1), F.substring_index(shown, ".", -1)
-        amounts = F.transform(F.array(baht, satang), num_to_thaiword)  # one expression for both
-        return let(amounts, lambda a: F.concat(a[0], F.lit("บาท"), F.when(satang == "00", "ถ้วน").otherwise(F.concat(a[1], F.lit("สตางค์")))))
-
-    return F.when(x == 0, "ศูนย์บาทถ้วน").otherwise(let(F.replace(F.format_number(x, 2), F.lit(","), F.lit("")), said))
+    shown = F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
+    satang = F.substring_index(shown, ".", -1)
+    said = F.concat(F.regexp_replace(_digits_to_words(F.substring_index(shown, ".", 1)), f"^{MINUS}{DIGIT_WORDS[0]}$", DIGIT_WORDS[0]), F.lit("บาท"))
+    return F.when(x == 0, "ศูนย์บาทถ้วน").when(satang == "00", F.concat(said, F.lit("ถ้วน"))).otherwise(F.concat(said, _digits_to_words(satang), F.lit("สตางค์")))
 
 
 def num_to_thaiword_float(x: Column | str) -> Column:
@@ -106,7 +98,10 @@ def convert_currency(value: Column | str, unit: str) -> Column:
 
 
 #: The animals of the twelve years.
-ZODIAC = {1: "ชวด ฉลู ขาล เถาะ มะโรง มะเส็ง มะเมีย มะแม วอก ระกา จอ กุน".split(), 2: "RAT OX TIGER RABBIT DRAGON SNAKE HORSE GOAT MONKEY ROOSTER DOG PIG".split()}
+ZODIAC = {
+    1: ["ชวด", "ฉลู", "ขาล", "เถาะ", "มะโรง", "มะเส็ง", "มะเมีย", "มะแม", "วอก", "ระกา", "จอ", "กุน"],
+    2: ["RAT", "OX", "TIGER", "RABBIT", "DRAGON", "SNAKE", "HORSE", "GOAT", "MONKEY", "ROOSTER", "DOG", "PIG"],
+}
 
 
 def th_zodiac(year: Column | str, output: int = 1) -> Column:

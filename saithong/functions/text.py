@@ -152,8 +152,20 @@ def key_distance(a: Column | str, b: Column | str, shift: float = 0.0) -> Column
 # Morse
 
 #: Morse codes of letters.
-MORSE_ENGLISH = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ0,1.2?3;4:5'6-7/8(", ".- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. ----- --..-- .---- .-.-.- ..--- ..--.. ...-- -.-.-. ....- ---... ..... .----. -.... -....- --... -..-. ---.. -.--.-".split(), strict=True))
-MORSE_THAI = dict(zip("กขคฆงจฉชฌซญดถฐฑฒทธณนบปผฝพภฟมยรลฬวศษสหฮฎตฏฤ่้๊๋ั็์", "--. -.-. -.- -.- -.--. -..-. ---- -..- -..- --.. .--- -.. -.-.. -.-.. -..-- -..-- -..-- -..-- -. -. -... .--. --.- -.-.- .--.. .--.. ..-. -- -.-- .-. .-.. .-.. .-- ... ... ... .... --.-- -.. - - .-.-- ..- ...- --... .-.-. .--.- ---.. --..-".split(), strict=True)) | {"ั้": ".---."} | dict(zip("ฯ", ["--.-."], strict=True)) | {"ฯลฯ": "---.-"} | dict(zip("ๆะาิีึืุูเแโไใำอ", "---.- .-... .- ..-.. .. ..--. ..-- ..-.- ---. . .-.- --- .-..- .-..- ...-. -...-".split(), strict=True))
+MORSE_ENGLISH = {
+    "A": ".-", "B": "-...", "C": "-.-.", "D": "-..", "E": ".", "F": "..-.", "G": "--.", "H": "....", "I": "..", "J": ".---", "K": "-.-", "L": ".-..", "M": "--",
+    "N": "-.", "O": "---", "P": ".--.", "Q": "--.-", "R": ".-.", "S": "...", "T": "-", "U": "..-", "V": "...-", "W": ".--", "X": "-..-", "Y": "-.--", "Z": "--..",
+    "0": "-----", ",": "--..--", "1": ".----", ".": ".-.-.-", "2": "..---", "?": "..--..", "3": "...--", ";": "-.-.-.", "4": "....-", ":": "---...", "5": ".....",
+    "'": ".----.", "6": "-....", "-": "-....-", "7": "--...", "/": "-..-.", "8": "---..", "(": "-.--.-",
+}
+MORSE_THAI = {
+    "ก": "--.", "ข": "-.-.", "ค": "-.-", "ฆ": "-.-", "ง": "-.--.", "จ": "-..-.", "ฉ": "----", "ช": "-..-", "ฌ": "-..-", "ซ": "--..", "ญ": ".---", "ด": "-..",
+    "ถ": "-.-..", "ฐ": "-.-..", "ฑ": "-..--", "ฒ": "-..--", "ท": "-..--", "ธ": "-..--", "ณ": "-.", "น": "-.", "บ": "-...", "ป": ".--.", "ผ": "--.-", "ฝ": "-.-.-",
+    "พ": ".--..", "ภ": ".--..", "ฟ": "..-.", "ม": "--", "ย": "-.--", "ร": ".-.", "ล": ".-..", "ฬ": ".-..", "ว": ".--", "ศ": "...", "ษ": "...", "ส": "...", "ห": "....",
+    "ฮ": "--.--", "ฎ": "-..", "ต": "-", "ฏ": "-", "ฤ": ".-.--", "่": "..-", "้": "...-", "๊": "--...", "๋": ".-.-.", "ั": ".--.-", "็": "---..", "์": "--..-",
+    "ั้": ".---.", "ฯ": "--.-.", "ฯลฯ": "---.-", "ๆ": "---.-", "ะ": ".-...", "า": ".-", "ิ": "..-..", "ี": "..", "ึ": "..--.", "ื": "..--", "ุ": "..-.-", "ู": "---.",
+    "เ": ".", "แ": ".-.-", "โ": "---", "ไ": ".-..-", "ใ": ".-..-", "ำ": "...-.", "อ": "-...-",
+}
 
 
 def _table(pairs: dict[str, str]) -> Column:

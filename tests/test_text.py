@@ -164,7 +164,8 @@ def test_spans_and_detokenize(value):
 def test_phonetic_codes(value):
     check(value, L.udom83, [("รถ", "ร800000"), ("", "")])
     check(value, L.metasound, [("บูรณะ", "บ550"), ("คน", "ค500"), ("ดา", "ด000"), ("", "")])
-    assert L.lk82("รถ") == "ร3000" and L.lk82(None) == "" and L.prayut_and_somchaip("vp") == L.prayut_and_somchaip("วีพี") == "11"
+    check(value, L.lk82, [("รถ", "ร3000"), (None, ""), ("เรือ", "รBA00")])
+    check(value, L.prayut_and_somchaip, [("vp", "11"), ("วีพี", "11"), (None, "")])
     assert value(L.code_similarity(F.lit("ร800"), F.lit("ร810")), L.code_similarity(F.lit(""), F.lit("")), L.code_similarity(F.lit("a"), F.lit(""))) == (0.75, 1.0, 0.0)
     assert [L.complete_soundex(w) for w in ("ก้าน", "นา", "ญา", "", None)] == ["กก1Bน2-", "นน1B0--", "ยย1B0--*", "", ""]
     assert [L.complete_soundex(w) for w in ("เรือ", "ใคร", "กรรม", "บาตร", "ทราย")] == ["รรBV-0-", "คค1Aย0ร", "กก1Aม0-", "บบ1Bด0-", "ซซ1Bย0-"]
