@@ -33,7 +33,7 @@ _RAW = 5  # bytes of a difference between keys that are stored as they are
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
         column = pc.fill_null(b.column("text"), "")
-        for start, end in by_bytes(column, 4 << 20):
+        for start, end in by_bytes(column, 6 << 20):
             yield b.slice(start, end - start), column[start:end]
 
 
@@ -85,8 +85,12 @@ def _encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, texts in _texts(batches):
         words, numbers, sizes = word_numbers(texts, lower=True)
         train = pc.fill_null(b.column("train"), False).to_numpy(zero_copy_only=False)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, _END, _BEGIN]), np.uint64, len(words) + 2)
-        parts = [train.tobytes(), sizes.astype("<u4").tobytes(), hashes.tobytes(), _packed(numbers)]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.lexsort((hashes, -np.bincount(numbers, minlength=len(words))))  # frequent words get small numbers; equally frequent ones, most of all, small differences
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        hashes = _packed_keys(hashes[order])
+        parts = [train.tobytes(), sizes.astype("<u4").tobytes(), hashes, _packed(place[numbers])]
         data = np.array([len(texts), len(hashes)], "<u8").tobytes() + b"".join(parts)
         pieces = [data[i : i + _PIECE] for i in range(0, len(data), _PIECE)]
         k, tokens = len(pieces), sizes + 1
@@ -148,9 +152,9 @@ class _Block:
         pieces = sorted(zip(block.column("piece").to_pylist(), block.column("data").to_pylist(), strict=True))
         data = b"".join(p for _, p in pieces)
         texts, words = np.frombuffer(data, "<u8", 2).tolist()
-        at = 16 + np.cumsum([0, texts, 4 * texts, 8 * words])
-        train, sizes, hashes = (np.frombuffer(data[x:y], kind) for x, y, kind in zip(at[:-1], at[1:], (bool, "<u4", np.uint64), strict=True))
-        sizes = sizes.astype(np.int64)
+        at = 16 + np.cumsum([0, texts, 4 * texts, words])
+        train, sizes = np.frombuffer(data[at[0] : at[1]], bool), np.frombuffer(data[at[1] : at[2]], "<u4").astype(np.int64)
+        hashes = np.r_[_unpacked_keys(data[at[2] : at[3]]), np.array([xxhash.xxh3_64_intdigest(x) for x in (_END, _BEGIN)], np.uint64)]
         self.words, of_word = np.unique(hashes, return_inverse=True)
         end, begin = of_word[-2:]
         self.tokens = sizes + 1
@@ -162,8 +166,8 @@ class _Block:
         self.train = np.repeat(train, self.tokens)
         self.before = np.r_[begin, self.flat[:-1]]
         self.before[self.first] = begin
-        self.counts = np.bincount(self.flat, self.train, len(self.words)).astype(np.int64)
-        self.counts[begin] = self.train[self.first].sum()
+        self.counts = 2 * np.bincount(self.flat, self.train, len(self.words)).astype(np.int64) + (np.bincount(self.flat, ~self.train, len(self.words)) > 0)
+        self.counts[begin] = 2 * self.train[self.first].sum() + (not self.train[self.first].all())
         kinds, buckets, data = (answers.column(k).to_pylist() for k in ("kind", "bucket", "data"))
         parts: dict[int, list] = {}
         for k, _, d in sorted(zip(kinds, buckets, data, strict=True), key=lambda x: x[:2]):
@@ -176,11 +180,11 @@ class _Block:
         if _counts_of(0) not in self.said:
             yield _Unknown(1, key, self.train)
             return
-        count = (self.said[_counts_of(0)] >> 1).astype(np.int64)
+        count, others = (self.said[_counts_of(0)] >> 1).astype(np.int64), (self.said[_counts_of(0)] & 1).astype(bool)
         self.known = (count > 0)[self.flat]
         p = self.base = ((count + 0.1) / (self.n + 0.1 * (self.v + 1)))[self.flat]
         at = np.flatnonzero(count[self.before] >= _LEAST)
-        context, total, shared = self.words[self.before[at]], count[self.before[at]], np.ones(len(at), bool)
+        context, total, shared = self.words[self.before[at]], count[self.before[at]], others[self.before[at]]
         asked, n = np.arange(len(key)), np.zeros(len(key), np.int64)  # n: how often training texts have the phrase
         elsewhere = np.zeros(len(n), bool)  # whether other texts have it too
         begins = np.zeros(len(n), bool)
@@ -213,7 +217,7 @@ class _Block:
     def asks(self, turn: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first), twice that and one more if other texts have them; and nats by which the next words of contexts, of turn - 2 words or in the last turn of as many as there are, are likelier than in the suffix's state."""
         if turn == 1:
-            yield _counts_of(0), self.words, 2 * self.counts
+            yield _counts_of(0), self.words, self.counts
         for x in self.levels(min(turn, depth)):
             if isinstance(x, _Unknown):
                 keys, of = np.unique(x.keys, return_inverse=True)
