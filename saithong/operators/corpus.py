@@ -39,10 +39,21 @@ def ngrams(tokens: Column | str, n: int) -> Column:
 
 
 def ngram_counts(df: DataFrame, tokens: str, *keys: str, least: int = 2, most: int = 4) -> DataFrame:
-    """(keys, n, ngram, count) for runs of `least` to `most` tokens, joined by blanks."""
-    of = lambda k: F.transform(ngrams(tokens, k), lambda g: F.struct(F.lit(k).alias("n"), F.array_join(g, " ").alias("ngram")))
-    every = F.flatten(F.array(*(of(k) for k in range(least, most + 1))))
-    return df.select(*keys, F.explode(every).alias("g")).groupBy(*keys, F.col("g.n").alias("n"), F.col("g.ngram").alias("ngram")).agg(F.count("*").alias("count"))
+    """(keys, n, ngram, count) for runs of `least` to `most` tokens, joined by blanks. Counted as arrays' slices, joined once in the counts."""
+    t = F.col(tokens)
+    starts = F.sequence(F.lit(1), F.size(t) - least + 1)
+    gram = lambda i, k: F.array_join(F.slice(t, i, F.lit(k)), " ")
+    every = F.flatten(F.transform(starts, lambda i: F.array(*(F.struct(F.lit(k).alias("n"), F.when(i + k - 1 <= F.size(t), gram(i, k)).alias("ngram")) for k in range(least, most + 1)))))
+    rows = df.filter(F.size(t) >= least).select(*keys, F.explode(every).alias("g")).select(*keys, "g.n", "g.ngram").filter(F.col("ngram").isNotNull())
+    return rows.groupBy(*keys, "n", "ngram").agg(F.count("*").alias("count"))
+
+
+def bigram_probabilities(df: DataFrame, tokens: str) -> DataFrame:
+    """(w1, w2, n, prob): pairs of neighbours, and the share of all w1 that w2 follows. One pass over the tokens: the last one of a row counts with no w2."""
+    rows = df.select(F.explode(F.arrays_zip(F.col(tokens).alias("w1"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("w2"))).alias("x")).select("x.w1", "x.w2")
+    counts = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"))
+    all_of = counts.groupBy("w1").agg(F.sum("n").alias("m"))
+    return counts.filter(F.col("w2").isNotNull()).join(all_of, "w1").select("w1", "w2", "n", (F.col("n") / F.col("m")).alias("prob"))
 
 
 def extract_keywords(df: DataFrame, tokens: str, key: str, *, most: int = 5, least: int = 1, stop_words: DataFrame | None = None) -> DataFrame:

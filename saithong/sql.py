@@ -23,12 +23,12 @@ def _udf(f, returns: str, *, several: bool = False):
 
 
 def register_all(spark: SparkSession, words: Iterable[str] = ()) -> list[str]:
-    """Registers functions of one text (and two for code similarity), and the table function thai_segmentations(text); returns their names. words: the dictionary of the tokenizers."""
+    """Registers functions of one text (and two for code similarity), and the table function thai_segmentations(text[, most]), whose rows are the first `most` (1000) ways to cut a text; returns their names. words: the dictionary of the tokenizers."""
     given = S.broadcast_words(spark, words)
     text = {
         "thai_tokens": (lambda t: S.tokenize(t, S.dictionary_of(given)), "array<string>"),
         "thai_tokens_longest": (lambda t: S.tokenize(t, S.dictionary_of(given), "longest"), "array<string>"),
-        "thai_clusters": (S.tcc, "array<string>"), "thai_lk82": (L.lk82, "string"), "thai_prayut": (L.prayut_and_somchaip, "string"), "thai_numeral": (lambda t: None if t is None else L.thaiword_to_num(t), "bigint"),
+        "thai_clusters": (S.tcc, "array<string>"), "thai_numeral": (lambda t: None if t is None else L.thaiword_to_num(t), "bigint"),
         "thai_syllable_sound": (L.sound_syllable, "string"), "thai_tone": (L.tone, "string"), "thai_rtgs": (X.rtgs, "string"), "thai_braille": (lambda w: "".join(" " if c == "-1" else X.cell(c) for c in X.braille_cells(w)), "string"),
     }
     for name, (f, returns) in text.items():
@@ -37,8 +37,11 @@ def register_all(spark: SparkSession, words: Iterable[str] = ()) -> list[str]:
 
     @F.udtf(returnType=T.StructType([T.StructField("segmentation", T.StringType())]))
     class Segmentations:
-        def eval(self, text: str):
-            for s in S.all_segmentations(text, S.Dictionary(listed)):
+        def __init__(self):
+            self.words = S.Dictionary(listed)
+
+        def eval(self, text: str, most: int = 1000):
+            for s in S.all_segmentations(text, self.words, most):
                 yield (s,)
 
     spark.udtf.register("thai_segmentations", Segmentations)
