@@ -477,3 +477,126 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part").withColumn("tokens", F.split("p_name", " "))
     vectors = p.select(F.explode("tokens").alias("word")).distinct().select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double")).alias("vector"))
     return R.sentence_vectors(p, "tokens", vectors, "p_partkey").withColumn("value", F.round("value", 9))
+
+
+# Calendars, sentences, tags, spelling, word nets
+
+_LUNAR = """
+WITH RECURSIVE a AS (SELECT y, ((y - 78 - 0.45222) - 2.7118886 * floor((y - 78 - 0.45222) / 2.7118886)) < 1 AS long FROM range(1901, 2030) AS r(y)),
+n AS (SELECT a.y, a.long, b.long AS next_long FROM a JOIN a b ON b.y = a.y + 1),
+d(y, dev, days, last) AS (
+  SELECT CAST(1901 AS BIGINT), CAST(0.122733000004352 AS DOUBLE), 0, DATE '1902-11-30'
+  UNION ALL
+  SELECT n.y, v, k, CASE WHEN n.y > 1902 THEN last + CAST(k AS INT) ELSE last END FROM (
+    SELECT n.y, last, v, CASE WHEN n.long THEN 384 WHEN v > CASE WHEN n.next_long THEN 0.0169501433191599 ELSE -0.0142223099315486 END THEN 355 ELSE 354 END AS k
+    FROM (SELECT d.y + 1 AS y, last, dev + CASE WHEN p.long THEN -0.102356 WHEN dev > CASE WHEN p.next_long THEN 0.0169501433191599 ELSE -0.0142223099315486 END THEN -0.632944 ELSE 0.367056 END AS v FROM d JOIN n p ON p.y = d.y WHERE d.y < 2028) x JOIN n ON n.y = x.y) n),
+o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders),
+m AS (SELECT o_orderkey, date_diff('day', e.last, day) AS n, t.days FROM o JOIN d e ON e.y = year(day) - 1 JOIN d t ON t.y = year(day)),
+l AS (SELECT o_orderkey, n, days, CASE days WHEN 384 THEN [29, 30, 29, 30, 29, 30, 29, 30, 30, 29, 30, 29, 30, 29, 30] WHEN 355 THEN [29, 30, 29, 30, 29, 30, 30, 30, 29, 30, 29, 30, 29, 30] ELSE [29, 30, 29, 30, 29, 30, 29, 30, 29, 30, 29, 30, 29, 30] END AS l FROM m),
+k AS (SELECT o_orderkey, n, days, l, list_filter(range(1, len(l) + 1), lambda i: n <= list_sum(l[1 : i]))[1] AS k FROM l),
+f AS (SELECT o_orderkey, days, k, n - coalesce(list_sum(l[1 : k - 1]), 0) AS n FROM k)
+SELECT o_orderkey, CASE WHEN n > 15 THEN 'แรม ' || CAST(CAST(n - 15 AS INT) AS VARCHAR) ELSE 'ขึ้น ' || CAST(CAST(n AS INT) AS VARCHAR) END || ' ค่ำ เดือน ' || CAST(CASE WHEN days < 384 THEN (k - 1) % 12 + 1 WHEN k > 13 THEN k - 13 WHEN k >= 9 THEN k - 1 ELSE k END AS VARCHAR) AS lunar FROM f"""
+
+
+@query(_LUNAR)
+def lunar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lunar dates by a dimension of the days that orders have."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    days = o.select(F.col("d").alias("day")).distinct().select("day", L.lunar_date("day").alias("lunar"))
+    return o.join(days, F.col("d") == F.col("day")).select("o_orderkey", "lunar")
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_sql_number('o_orderkey')} AS x FROM orders)
+SELECT o_orderkey, [x, 'เมื่อ' || x || 'ค่ะ', x || '!', 'เพราะ' || x || 'ทำเพื่อเพื่อน', '12.นาย' || x] AS sentences FROM s""")
+def sentences_by_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with cue words, signs, numbered items, and cues that are part of other words, cut into sentences."""
+    from saithong.operators import sentences as Z
+
+    given = S.broadcast_words(spark, _NUMBER_WORDS)
+    x = N.num_to_thaiword("o_orderkey")
+    s = _table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"))
+    text = F.concat("x", F.lit(" เมื่อ"), "x", F.lit("ค่ะ"), "x", F.lit("!เพราะ"), "x", F.lit("ทำเพื่อเพื่อน 12.นาย"), "x")
+    return s.select("o_orderkey", Z.thai_sentences(text, given).alias("sentences"))
+
+
+_TAG_SAMPLES = ["NCMN", "VACT", "JSBR", "", "NLBL", "RPRE", "ZZZ"]
+_SQL_UD = "map(['NCMN', 'VACT', 'JSBR', '', 'NLBL', 'RPRE'], ['NOUN', 'VERB', 'SCONJ', '', 'NUM', 'ADP'])"
+_TAGGED_WORDS = ["คน", "การ", "<space>", "+", "<comma>"]
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, {_sql_pick(_TAGGED_WORDS, 'p_partkey')} AS w, {_sql_pick(_TAG_SAMPLES, '(p_partkey // 2)')} AS t FROM part)
+SELECT p_partkey, CASE w WHEN '+' THEN '<plus>' ELSE w END AS named, CASE w WHEN '<space>' THEN ' ' WHEN '<comma>' THEN ',' ELSE w END AS word, CASE WHEN w = 'การ' THEN 'NOUN' ELSE {_SQL_UD}[t] END AS tag, map(['NCMN', 'VACT', 'JSBR', '', 'NLBL', 'RPRE'], ['n', 'v', '', '', '', ''])[t] AS net FROM s""")
+def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of signs in a corpus and back, its tags as universal ones and a word net's."""
+    from saithong.operators import tagging as G
+
+    tag = F.get(F.array(*map(F.lit, _TAG_SAMPLES)), (F.floor(F.col("p_partkey") / 2) % len(_TAG_SAMPLES)).cast("int"))
+    s = _table(spark, sf_dir, "part").select("p_partkey", _pick(_TAGGED_WORDS, "p_partkey").alias("w"), tag.alias("t"))
+    back = G.restore_signs(F.array(F.struct(F.col("w").alias("word"), F.col("t").alias("tag"))), universal=True)[0]
+    return s.select("p_partkey", G.name_signs(F.array("w"))[0].alias("named"), back["word"].alias("word"), back["tag"].alias("tag"), G.wordnet_pos("t").alias("net"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
+l AS (SELECT token AS word, len(token) % 3 AS kind FROM (SELECT DISTINCT token FROM w))
+SELECT p_partkey, list(CASE WHEN length(token) % 3 = 0 THEN '' ELSE 'T' || CAST(length(token) % 3 AS VARCHAR) END ORDER BY pos) AS tags FROM w GROUP BY p_partkey""")
+def tags_by_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of names' words by a table of words and tags, which lacks some."""
+    from saithong.operators import tagging as G
+
+    p = _table(spark, sf_dir, "part").withColumn("tokens", F.split("p_name", " "))
+    lexicon = p.select(F.explode("tokens").alias("word")).distinct().select("word", F.concat(F.lit("T"), (F.length("word") % 3).cast("string")).alias("tag")).filter("tag <> 'T0'")
+    return G.pos_tag(p, "tokens", "p_partkey", lexicon=lexicon).select("p_partkey", F.transform("tagged", lambda x: x["tag"]).alias("tags"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
+t AS (SELECT p_partkey, pos, left(word, length(word) - 1) AS token FROM w), l AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+c AS (SELECT token, word, n, levenshtein(token, word) AS d FROM (SELECT DISTINCT token FROM t), l WHERE levenshtein(token, word) <= 2),
+b AS (SELECT token, list(word ORDER BY n DESC, word) AS candidates FROM (SELECT *, min(d) OVER (PARTITION BY token) AS m FROM c) WHERE d = m GROUP BY token)
+SELECT p_partkey, CAST(pos AS INT) AS pos, t.token, coalesce(candidates, [t.token]) AS candidates FROM t LEFT JOIN b ON t.token = b.token""")
+def spell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of names without their last letter, and the words that are nearest to them."""
+    p = _table(spark, sf_dir, "part").withColumn("tokens", F.split("p_name", " "))
+    lexicon = p.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    typed = p.select("p_partkey", F.transform("tokens", lambda t: F.left(t, F.length(t) - 1)).alias("typed"))
+    return L.spell_words(typed, "typed", lexicon, "p_partkey")
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part), p AS (SELECT p_partkey AS a, (p_partkey * 7) % n + 1 AS b FROM part, n),
+up(node, anc, steps) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, anc // 2, steps + 1 FROM up WHERE anc > 1),
+m AS (SELECT a, b, x.anc, x.steps + y.steps AS steps, 1 + (SELECT max(steps) FROM up u WHERE u.node = x.anc) AS depth FROM p JOIN up x ON x.node = a JOIN up y ON y.node = b AND y.anc = x.anc),
+s AS (SELECT a, b, min(steps) AS steps, max(depth) AS depth FROM m GROUP BY a, b), h AS (SELECT max(steps) + 1 AS h FROM up)
+SELECT a, b, CAST(steps AS INT) AS steps, round(1 / (steps + 1), 9) AS path, round(ln(2.0 * h / (steps + 1)), 9) AS lch, round(2.0 * depth / (2 * depth + steps), 9) AS wup FROM (SELECT p.a, p.b, s.steps, s.depth FROM p LEFT JOIN s USING (a, b)), h""")
+def taxonomy_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of nodes of a tree: each part's parent is the one with half its key."""
+    from saithong.operators import wordnet as W
+
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    up = p.filter("k > 1").select(F.col("k").alias("child"), F.floor(F.col("k") / 2).alias("parent"))
+    n = p.agg(F.max("k").alias("n"))
+    pairs = p.crossJoin(F.broadcast(n)).select(F.col("k").alias("a"), ((F.col("k") * 7) % F.col("n") + 1).alias("b"))
+    return W.similarities(pairs, up, depth=24, height=W.height_of(up, 24)).select("a", "b", "steps", *(F.round(c, 9).alias(c) for c in ("path", "lch", "wup")))
+
+
+@query("""
+WITH s AS (SELECT n_regionkey AS synset, 'en' AS lang, n_name AS lemma FROM nation UNION ALL SELECT r_regionkey, 'xx', r_name FROM region),
+w AS (SELECT synset, lemma AS word FROM s WHERE lang = 'en')
+SELECT word, s.lemma AS found, 'translation' AS kind FROM w JOIN s USING (synset) WHERE lang = 'xx' UNION ALL SELECT word, s.lemma, 'synonym' FROM w JOIN s USING (synset) WHERE lang = 'en' AND s.lemma <> word
+UNION ALL SELECT lower(n_name) || 's', lower(n_name), 'base' FROM nation""")
+def wordnet_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synonyms and translations by common synsets, and words without an ending."""
+    from saithong.operators import wordnet as W
+
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    senses = n.select(F.col("n_regionkey").alias("synset"), F.lit("n").alias("pos"), F.lit("en").alias("lang"), F.col("n_name").alias("lemma")).unionByName(r.select(F.col("r_regionkey").alias("synset"), F.lit("n").alias("pos"), F.lit("xx").alias("lang"), F.col("r_name").alias("lemma")))
+    words = n.select(F.col("n_name").alias("word"))
+    own = W.synsets(words, senses, "en")
+    there = own.join(W.lemmas(own, senses, "xx"), "synset").select("word", F.col("lemma").alias("found"), F.lit("translation").alias("kind"))
+    alike = W.synonyms(words, senses, "en").select("word", F.col("synonym").alias("found"), F.lit("synonym").alias("kind"))
+    low = senses.filter("lang = 'en'").withColumn("lemma", F.lower("lemma"))
+    base = W.morphy(words.select(F.concat(F.lower("word"), F.lit("s")).alias("word")), low, [("s", ""), ("es", "")], "en").select("word", F.col("base").alias("found"), F.lit("base").alias("kind"))
+    return there.unionByName(alike).unionByName(base)

@@ -358,11 +358,68 @@ def test_command_line(tmp_path, capsys, spark):
     assert main(["evaluate", str(tmp_path / "a"), str(tmp_path / "b")]) == 0 and '"word_recall":0.333' in capsys.readouterr().out
 
 
-def test_lunar_calendar():
-    cal = L.LunarCalendar({2021: -0.484674999991406}, [dt.date(2012, 11, 13), dt.date(2022, 11, 23)])
-    assert cal.lunar_date(dt.date(2024, 11, 15)) == "ขึ้น 15 ค่ำ เดือน 12"
-    assert cal.lunar_date(None) is None and cal.lunar_date(dt.date(1885, 1, 1)) is None
+def test_lunar_calendar(value):
+    cal = L.LunarCalendar()
+    assert [cal.lunar_date(dt.date(*d)) for d in ((2024, 11, 15), (2024, 1, 1), (2024, 12, 31))] == ["ขึ้น 15 ค่ำ เดือน 12", "แรม 5 ค่ำ เดือน 1", "ขึ้น 2 ค่ำ เดือน 2"]
+    assert cal.lunar_date(None) is None and cal.lunar_date(dt.date(1885, 1, 1)) is None and cal.lunar_date(dt.date(2461, 1, 1)) is None
     assert [L.days_in_year(y) for y in (1900, 2000, 2023, 2024)] == [365, 366, 365, 366]
+    assert cal.deviation(2021) == pytest.approx(-0.484674999991406) and cal.ends[2012] == dt.date(2012, 11, 13) and cal.ends[2452] == dt.date(2452, 12, 11)
+    assert value(L.lunar_date(F.lit("2024-11-15"))) == "ขึ้น 15 ค่ำ เดือน 12"
+
+
+def test_sentences_by_rules(spark):
+    from saithong.operators import sentences as Z
+
+    d = S.Dictionary("ฉัน รัก ไป โรงเรียน และ หรือ จึง บ้าน เธอ กิน ข้าว เขา ไม่ มา เพราะ ฝน ตก".split())
+    cases = {
+        "ฉันไปโรงเรียน เมื่อเธอกินข้าว": ["ฉันไปโรงเรียน", "เมื่อเธอกินข้าว"], "ฉันไม่มาเพราะฝนตก": ["ฉันไม่มา", "เพราะฝนตก"], "ฉันกินข้าวค่ะเขาไปบ้าน": ["ฉันกินข้าวค่ะ", "เขาไปบ้าน"], "เธอมา!ฉันไป?เขาไม่มา": ["เธอมา!", "ฉันไป?", "เขาไม่มา"],
+        "ฉันรักเพื่อน": ["ฉันรักเพื่อน"], "ฉันรักเธอและเขา ฉันไปบ้าน": ["ฉันรักเธอและเขา", "ฉันไปบ้าน"], "ฉันไปบ้านและเธอกินข้าวเขาไปโรงเรียน ฝนตก": ["ฉันไปบ้าน", "และเธอกินข้าวเขาไปโรงเรียน ฝนตก"], "": [],
+    }
+    assert {t: Z.split_sentences(t, d) for t in cases} == cases
+    long = Z.split_sentences(" ".join(["ฉันรักเธอ"] * 12), d, cut_long=True)
+    assert len(long) == 2 and " ".join(long) == " ".join(["ฉันรักเธอ"] * 12)
+    given = S.broadcast_words(spark, list(d))
+    assert spark.createDataFrame([(None,), ("ฝนตก\nเพราะฉันมา",)], "t string").select(Z.thai_sentences("t", given).alias("s")).collect() == [([],), (["ฝนตก", "เพราะฉันมา"],)]
+
+
+def test_catalog(tmp_path, spark, capsys):
+    from saithong.__main__ import main
+    from saithong.sources.catalog import Catalog, safe_join, safe_name
+
+    (tmp_path / "w.txt").write_text("\ufeffก # one\n\nข\n", encoding="utf-8")
+    c = Catalog(tmp_path / "data")
+    assert list(c) == [] and "w" not in c and c.path("w") is None and c.detail("w") == {}
+    c.add("w", tmp_path / "w.txt", "1.0")
+    c.add("w", tmp_path / "w.txt", "1.10")
+    assert c.detail("w")["version"] == "1.10" and c.detail("w", "1.0")["file"] == "w-1.0.txt" and c.detail("w", "9") == {}
+    assert c.lines("w") == ["ก", "ข"] and sorted(r.word for r in c.words(spark, "w").collect()) == ["ก", "ข"]
+    assert main(["data", "get", "w", "--folder", str(c.folder)]) == 0 and capsys.readouterr().out.split() == ["ก", "ข"]
+    assert main(["data", "path", "x", "--folder", str(c.folder)]) == 1
+    assert c.remove("w") and not c.remove("w") and c.path("w") is None
+    assert safe_name("../a b") == "_a_b"
+    with pytest.raises(ValueError):
+        safe_join(tmp_path, "..", "x")
+    with pytest.raises(KeyError):
+        c.lines("w")
+
+
+def test_tags_and_emoji(spark):
+    from saithong.operators import tagging as G
+
+    tagger = L.PerceptronTagger()
+    tagger.train([[("คน", "NCMN"), ("<space>", "PUNC"), ("กิน", "VACT")]] * 30)
+    df = spark.createDataFrame([(1, ["คน", " ", "กิน"]), (2, []), (3, None)], "id int, t array<string>")
+    got = {r.id: r.tagged for r in G.pos_tag(df, "t", "id", tagger=tagger, corpus="orchid", universal=True).collect()}
+    assert [tuple(x) for x in got[1]] == [("คน", "NOUN"), (" ", "PUNCT"), ("กิน", "VERB")] and got[2] == []
+    lexicon = spark.createDataFrame([("คน", "NN"), ("คน", "NN")], "word string, tag string")
+    got = {r.id: r.tagged for r in G.pos_tag(df, "t", "id", lexicon=lexicon).collect()}
+    assert [tuple(x) for x in got[1]] == [("คน", "NN"), (" ", ""), ("กิน", "")] and got[2] == [] and got[3] == []
+    with pytest.raises(ValueError):
+        G.pos_tag(df, "t", "id")
+    assert L.ungroup_emoji(["👏🏽😀", "ab", "1", "👨‍👩‍👧", "🇹🇭😀", "ก"]) == ["👏🏽", "😀", "ab", "1", "👨‍👩‍👧", "🇹🇭", "😀", "ก"]
+    lex = spark.createDataFrame([("คน", 5), ("ฝน", 9), ("กิน", 2)], "word string, n int")
+    said = spark.createDataFrame([(1, ["คม", "กิน", "xyz"])], "id int, t array<string>")
+    assert L.correct_sentences(said, "t", lex, "id").first().corrected == ["คน", "กิน", "xyz"]
 
 
 def test_syllables_in_three_systems(spark):
