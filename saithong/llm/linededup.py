@@ -101,6 +101,19 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return let(F.when(longer, a).otherwise(b), lambda x: let(F.when(longer, b).otherwise(a), lambda y: behind(x, y)))
 
 
+def marks(line: Column) -> Column:
+    """256 bits, four numbers, of which those are set that hashes of a line's pairs of neighbouring characters name. An edit removes at most two pairs and adds two, so it changes at most four bits."""
+    chars = F.split(line, "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.length(line)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(256)).cast("int"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+    word = lambda codes, i: F.aggregate(F.filter(codes, lambda c: F.floor(c / 64) == i), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(one((c % 64).cast("int"))))
+    return let(F.array_distinct(pairs), lambda codes: F.struct(*(word(codes, i).alias(f"m{i}") for i in range(4))))
+
+
+def _different_marks(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.m0").bitwiseXOR(F.col(f"{b}.m0"))))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, pos, line): lines with a character other than white space; a document without any has one row with a null line."""
     full = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: F.btrim(s["line"], F.lit(" \t\n\x0b\x0c\r")) != "")
@@ -130,15 +143,16 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ids = cut(here.select(F.col("a").alias("i")).union(there.select("b")).distinct(), "ids")
     texts = lines.select("id", "line").join(small(ids), F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = cut(texts.withColumn("n", F.length("line")).select("id", "line", "n", own.alias("own"), F.concat(own, probes).alias("all")), "texts")
-    here = cut(here.join(texts.select("id", F.col("line").alias("l_a"), F.col("n").alias("n_a"), "own"), F.col("a") == F.col("id")).drop("id"), "here")
-    there = cut(there.join(texts.select("id", F.col("line").alias("l_b"), F.col("n").alias("n_b"), "all"), F.col("b") == F.col("id")).drop("id"), "there")
+    texts = cut(texts.withColumn("n", F.length("line")).select("id", "line", "n", own.alias("own"), F.concat(own, probes).alias("all"), marks(F.col("line")).alias("marks")), "texts")
+    here = cut(here.join(texts.select("id", F.col("line").alias("l_a"), F.col("n").alias("n_a"), "own", F.col("marks").alias("m_a")), F.col("a") == F.col("id")).drop("id"), "here")
+    there = cut(there.join(texts.select("id", F.col("line").alias("l_b"), F.col("n").alias("n_b"), "all", F.col("marks").alias("m_b")), F.col("b") == F.col("id")).drop("id"), "there")
     # Each pair is verified once, under its smallest common key, and within the join, so that no pairs but links leave it.
     once = (F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))
     first_key = F.array_min(F.array_intersect("own", "all")) == F.col("key")
     shorter = F.least("n_a", "n_b")
     alike = F.when(shorter >= edits * per_edit, within(F.col("l_a"), F.col("l_b"), edits)).otherwise(F.levenshtein("l_a", "l_b") <= F.floor(shorter / per_edit))
-    near = (F.col("key") == F.col("k")) & (F.col("part") == F.col("of")) & (F.col("a") != F.col("b")) & F.when(~(once & first_key), False).otherwise(alike)
+    # Most pairs that share but a segment, of lines from one template say, are told apart by their marks, at the cost of a few operations.
+    near = (F.col("key") == F.col("k")) & (F.col("part") == F.col("of")) & (F.col("a") != F.col("b")) & F.when(~once | (_different_marks("m_a", "m_b") > 4 * edits), False).when(~first_key, False).otherwise(alike)
     links = cut(here.join(there, near).select(F.col("a"), F.col("b")), "links")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("links"))

@@ -524,6 +524,43 @@ def test_line_dedup(spark, docs, empty):
     assert line_summary(empty).collect() == []
 
 
+def test_marks_bound_edits(spark):
+    from saithong.llm.linededup import marks
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        a = [rng.choice("abcdé ") for _ in range(rng.randint(2, 60))]
+        b = list(a)
+        for _ in range(2):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], ["x"], [b[at], "y"]])
+            b = b or ["z"]
+        rows.append(("".join(a), "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select(marks(F.col("a")).alias("x"), marks(F.col("b")).alias("y")).collect()
+    assert all(sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(r.x, r.y, strict=True)) <= 8 for r in got)
+    assert len({tuple(r.x) for r in got}) > 250
+
+
+def test_lines_of_one_template(spark):
+    import time
+
+    from saithong.llm.linededup import line_classes
+
+    rng = random.Random(8)
+    lines = ["A common opening of some lines in a template, number " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(4000)]
+    lines += [lines[7] + "s", lines[7][:-1] + "?"]
+    seconds = []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(lines[:n] + lines[4000:])], "doc_id int, text string").repartition(4).cache()
+        df.count()
+        start = time.perf_counter()
+        linked = {r.doc for r in line_classes(df).filter("links > 0").collect()}
+        seconds.append(time.perf_counter() - start)
+        assert linked == {7, n, n + 1}
+    assert seconds[1] < 4 * seconds[0]
+
+
 def test_edit_distance_bit_parallel(spark):
     from saithong.llm.linededup import within
 
