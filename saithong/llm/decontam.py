@@ -156,7 +156,7 @@ def phrases_of(items: list[tuple[str | None, str | None]], window: int) -> tuple
         of = names.setdefault(name, len(names))
         for i in range(max(1, len(n) - window + 1) if n else 0):
             rows[tuple(n[i : i + window]), of] = None
-    out = np.full((len(rows), window), len(vocabulary), np.int64)
+    out = np.full((len(rows), window), len(vocabulary), np.int32)
     for k, (w, _) in enumerate(rows):
         out[k, : len(w)] = w
     return vocabulary, out, np.array([len(w) for w, _ in rows], np.int64), np.array([of for _, of in rows], np.int64), list(names)
@@ -193,10 +193,10 @@ def _lookup(index: DataFrame, items: list[tuple], window: int, id_col: str) -> D
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, rows: int) -> Iterator[list[tuple]]:
-    """The test items in blocks of about `rows` items or 32 MB, each small enough for the driver and a broadcast."""
+    """The different test items in blocks of about `rows` items or 4 MB, each small enough for the driver and a broadcast (some 50 bytes a window)."""
     items = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()  # equal ones would meet in one block
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    parts = max(1, -(-n // rows), -(-size // (32 << 20)))
+    parts = max(1, -(-n // rows), -(-size // (4 << 20)))
     for k in range(parts):
         yield [tuple(r) for r in (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else items).collect()]
 

@@ -280,18 +280,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of near duplicates, with all its columns: that with the smallest id (null last); all rows without words, which are linked with nothing. Rows are told apart by a 64-bit hash of id and text, so rows with a null id, or with one id and different texts, are documents of their own; of rows alike in both one stays. What is to be dropped is sent to the texts if it is little (counted), else joined."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", shingle=shingle, percent=percent)
-    found = cut(found.select("key", F.col("component_id").alias("component")), "components")
-    several = found.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n")).filter("n > 1").select("c")
-    members = cut(found.join(several, F.col("component") == F.col("c")).groupBy("key", "component").agg(F.count("*").alias("n")), "members")
-    ids = docs.select(key.alias("k"), F.col(id_col).alias("id"))
-    few = members.count() <= _BROADCAST_IDS
-    ids = ids.join(F.broadcast(members.select("key", "component")) if few else members.select("key", "component"), F.col("k") == F.col("key")).select("key", "component", "id")
+    small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
+    rows = cut(found.groupBy("key", F.col("component_id").alias("component")).agg(F.count("*").alias("n")), "components")
+    # Keys of groups of several: those that aren't their component's own, and these components. No join deals rows by component, which a large group would make hot.
+    others = rows.filter(F.col("key") != F.col("component")).select("key", "component")
+    members = cut(others.unionByName(others.groupBy(F.col("component").alias("key")).agg(F.first("component").alias("component"))), "members")
+    ids = docs.select(key.alias("k"), F.col(id_col).alias("id")).join(small(members), F.col("k") == F.col("key")).select("key", "component", "id")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("stays"))
     bad, again = unused(docs, "dropped_key", "repeated_key")
-    marked = cut(members.join(first, F.col("key") == F.col("stays"), "left").select("key", "n", F.col("stays").isNotNull().alias("stays")), "marked")
-    small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
-    out = docs.join(small(marked.filter("not stays").select(F.col("key").alias(bad))), key == F.col(bad), "left_anti")
-    repeated = marked.filter("stays and n > 1").select(F.col("key").alias(again))
+    dropped = cut(members.join(first, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias(bad)), "dropped")
+    out = docs.join(small(dropped), key == F.col(bad), "left_anti")
+    repeated = cut(rows.filter("n > 1").join(dropped, F.col("key") == F.col(bad), "left_anti").select(F.col("key").alias(again)), "repeated")
     if repeated.isEmpty():
         return out
     repeated = small(repeated)

@@ -15,7 +15,7 @@ _BROADCAST_ROWS = 10_000
 
 
 def water_fill(sources: DataFrame, *, max_epochs: int = 3) -> DataFrame:
-    """sources (source, source_size, weight) with target, the share of the sum of all sizes that each source gets.
+    """sources (source, source_size, weight; a row each, all of which one task puts in order) with target, the share of the sum of all sizes that each source gets.
 
     Sources want shares in proportion to their weights but get at most max_epochs times their size; what is above is dealt again by weight until none is above. That is a water level: in order of cap per weight, the first k sources stand at their caps and the others at level * weight, with the smallest k for which none of the others is above its cap. Needs max_epochs >= 1; sources of size 0 get 0.
     """
@@ -102,6 +102,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = SEED) -> DataFrame:
     """The mix itself: rows of docs, as often as mix() takes them, with all their columns; a fractional repetition has the text's first words, joined by blanks (and length_col, if given, their length). The texts aren't shuffled."""
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}  # the columns made here can clash with none of these
+    docs = docs.toDF(*at.values())
+    id_col, text_col, source_col, length_col = at[id_col], at[text_col], at[source_col], at.get(length_col or "")
     sizes = cut(_sized(docs.select(F.col(id_col), F.col(source_col), F.col(text_col)), id_col, text_col, seed).select(F.col(source_col).alias("source"), "_size", "_bin"), "sizes")
     plan = plan_mix(sizes, source_col="source", weights=weights, max_epochs=max_epochs)
     dealt = deal(_sized(docs, id_col, text_col, seed), plan, id_col=id_col, source_col=source_col)
@@ -112,4 +116,4 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("_text", text)
     if length_col:
         rows = rows.withColumn(length_col, F.when(cut_short, F.length("_text").cast("long")).otherwise(F.col(length_col)))
-    return rows.withColumn(text_col, F.col("_text")).select(*(F.col(c) for c in docs.columns))
+    return rows.withColumn(text_col, F.col("_text")).select(*(F.col(c) for c in docs.columns)).toDF(*names)

@@ -20,6 +20,7 @@ from saithong.llm.common import by_bytes, coded_words, cut, held, tidied
 
 END = 1
 _MEMO = 500_000
+_ROWS = 50_000  # documents in a task, about
 _BLOCK = 1 << 20  # ids in a shard, about; a longer document makes a shard of its own
 #: One row of the file format. rules: pairs of symbols, uint32; a rule's own symbol is n_ids plus its place. lengths: ids that each rule expands to, uint32. symbols: the compressed sequence, uint32 or uint16. doc_sizes, doc_symbols: ids and symbols of each document, uint32.
 SHARD = "part int, shard int, n_ids int, width int, n_tokens bigint, rules binary, lengths binary, symbols binary, doc_sizes binary, doc_symbols binary"
@@ -225,7 +226,7 @@ def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray]
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block: int = _BLOCK) -> DataFrame:
     """The table of shards (SHARD and doc_ids, an array) of docs in ascending order of ids, written in the shared folder and read from there.
 
-    Rows are dealt by ranges of ids, so that shards in order of (part, shard) hold ids in ascending order, nulls first; rows with the same id follow in the order of their texts. A null text is the empty text: END alone. An empty table makes no shards.
+    Rows are dealt by ranges of ids, so that shards in order of (part, shard) hold ids in ascending order, nulls first; rows with the same id follow in the order of a hash of their texts, which deals them to several tasks if they are many. A null text is the empty text: END alone. An empty table makes no shards.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [x.split()[0] for x in SHARD.split(", ")]
@@ -261,7 +262,9 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // _ROWS))
+    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
+    ordered = rows.repartitionByRange(parts, F.col(id_col), F.col("text_hash")).sortWithinPartitions(id_col, "text_hash").drop("text_hash")
     return cut(ordered.mapInArrow(tidied(run), f"{SHARD}, doc_ids array<{kind}>"), "shards")
 
 

@@ -524,6 +524,44 @@ def test_line_dedup(spark, docs, empty):
     assert line_summary(empty).collect() == []
 
 
+def test_mix_keeps_clashing_columns(spark):
+    from saithong.llm.mixing import mixed_documents
+
+    rows = [(i, f"one two three {i}", f"s{i % 3}", i, -i, "t", 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, _size int, _h int, _text string, c0 int")
+    got = mixed_documents(df)
+    assert got.columns == df.columns and all(r._h == -r._size and r._text == "t" and r.c0 == 7 for r in got.collect())
+
+
+def test_links_of_many_documents(spark):
+    """Recall of links near the threshold: groups of texts that share little more than four fifths with each other."""
+    from saithong.llm.hyperminhash import near_duplicates
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(300):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 300))]
+        for _ in range(5):
+            w = list(base)
+            for at in rng.sample(range(len(w)), max(1, len(w) // 32)):
+                w[at] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w))
+    sets = [frozenset(zip(w, w[1:])) for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    links = 0
+    for g in range(0, len(texts), 5):  # texts of different groups share nothing
+        for i in range(g, g + 5):
+            for j in range(i + 1, g + 5):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    links += 1
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label[g : g + 5] = [new if x == old else x for x in label[g : g + 5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, shingle=2, percent=80).collect()}
+    assert links > 1000 and got == dict(enumerate(label))
+
+
 def test_marks_bound_edits(spark):
     from saithong.llm.linededup import marks
 
