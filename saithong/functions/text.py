@@ -218,8 +218,14 @@ def rm_brackets(x: Column | str) -> Column:
 
 
 def replace_url(x: Column | str, by: str = "xxurl") -> Column:
-    """Addresses of web pages become a word."""
-    return F.regexp_replace(as_column(x), r"(?i)\b(?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)(?:[^\s()<>]+|\((?:[^\s()<>]+|\([^\s()<>]+\))*\))+(?:\((?:[^\s()<>]+|\([^\s()<>]+\))*\)|[^\s`!()\[\]{};:'\".,<>?«»“”‘’])", by)
+    """Addresses of web pages become a word. An address goes on up to white space or an angle bracket; brackets that don't close, and signs and quotes at its end, stay."""
+    start = r"(?i)\b(?:https?://|www\d{0,3}[.]|[a-z0-9.\-]{1,253}[.][a-z]{2,4}/)"  # no name of a host is longer
+    # Possessive: each sign, letter or bracketed piece has one place, so that a text takes time in proportion to its length.
+    sign, letter = "[`!\\[\\]{};:'\".,?«»“”‘’]", "[^\\s`!()\\[\\]{};:'\".,<>?«»“”‘’]"
+    bracket = "\\((?:[^\\s()<>]++|\\([^\\s()<>]++\\))*+\\)"
+    solid = f"(?:{letter}++|{bracket})"
+    body = f"(?:{sign}++|(?:{letter}|{bracket}){sign}*+){solid}(?:{sign}*+{solid})*+"
+    return F.regexp_replace(as_column(x), start + body, by)
 
 
 def fix_html(x: Column | str) -> Column:

@@ -296,8 +296,13 @@ def ngram_probabilities(counts: DataFrame, context_counts: DataFrame | None = No
 # Classification
 
 
+_MOST_TRAINING = 8_000_000
+
+
 def gzip_knn(df: DataFrame, text: str, key: str, training: list[tuple[str, str]], k: int = 1) -> DataFrame:
-    """(key, label): the label of most of the k training texts nearest by compressed size; the smallest of equal ones. The training texts go to every worker: give few."""
+    """(key, label): the label of most of the k training texts nearest by compressed size; the smallest of equal ones. The training texts go to every worker: more than _MOST_TRAINING characters are an error."""
+    if sum(len(t) for t, _ in training) > _MOST_TRAINING:
+        raise ValueError(f"training texts of more than {_MOST_TRAINING} characters")
     size = lambda s: len(gzip.compress(s.encode(), mtime=0))
     known = df.sparkSession.sparkContext.broadcast([(t, label, size(t)) for t, label in training])
 

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from saithong.functions.text import as_column
 
 
+_BUCKET = 256  # characters
+
+
 def spans_to_sentences(sentences: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, pos, start, end, word): each span (start, end inclusive, over the joined sentences) cut out of the sentence (key, pos, text) that holds it. An interval join within a key."""
+    """(key, pos, start, end, word): each span (start, end inclusive, over the joined sentences) cut out of the sentence (key, pos, text) that holds it. An interval join by key and stretches of text: a span meets only sentences that reach into its start's stretch."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sentences.withColumn("from", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).withColumn("to", F.col("from") + F.length("text"))
-    held = placed.join(spans, [key]).filter((F.col("start") >= F.col("from")) & (F.col("end") < F.col("to")))
+    placed = sentences.select(key, "pos", "text", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("from")).withColumn("to", F.col("from") + F.length("text")).filter("to > `from`")
+    stretch = lambda c: F.floor(c / _BUCKET)
+    placed = placed.withColumn("stretch", F.explode(F.sequence(stretch(F.col("from")), stretch(F.col("to") - 1))))
+    held = placed.join(spans.select(key, "start", "end", stretch(F.col("start")).alias("stretch")), [key, "stretch"]).filter((F.col("start") >= F.col("from")) & (F.col("end") < F.col("to")))
     return held.select(key, "pos", "start", "end", F.substring("text", F.col("start") - F.col("from") + 1, F.col("end") - F.col("start") + 1).alias("word"))
 
 
@@ -87,8 +92,9 @@ def odd_one_out(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def most_similar(positive: list[str], negative: list[str], vectors: DataFrame, n: int = 10) -> DataFrame:
-    """(word, score): the n words with the best product of similarities to the positive words over that to the negative ones (each shifted to 0..1). The few given words' vectors are literals of the plan; all others are scanned."""
-    given = {r.word: r.u for r in vectors.filter(F.col("word").isin([*positive, *negative])).select("word", _unit(F.col("vector")).alias("u")).collect()}
+    """(word, score): the n words with the best product of similarities to the positive words over that to the negative ones (each shifted to 0..1). The few given words' vectors (of several the smallest) are literals of the plan; all others are scanned."""
+    few = vectors.filter(F.col("word").isin([*positive, *negative])).groupBy("word").agg(_unit(F.min("vector")).alias("u"))  # a row a given word
+    given = {r.word: r.u for r in few.collect()}
     for w in [*positive, *negative]:
         if w not in given:
             raise KeyError(w)

@@ -66,7 +66,7 @@ def test_metrics_score_every_turn_whole(spark, tmp_path):
                 rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][-1]))
         return rows[-1][-1]
 
-    assert {(r.k, r.turn): len(r.lcs) for r in run("longest_common_subsequence")} == {k: brute(*p) for k, p in pairs.items()}
+    assert {(r.conv_id, r.turn): len(r.lcs) for r in run("longest_common_subsequence")} == {k: brute(*p) for k, p in pairs.items()}
     words = {k: (a.split(" "), b.split(" ")) for k, (a, b) in pairs.items()}
-    assert {(r.k, r.turn): r.recall for r in run("rouge_l")} == {k: pytest.approx(brute(a, b) / len(a)) for k, (a, b) in words.items()}
-    assert {(r.k, r.turn): r.wer for r in run("word_error_rate")} == {(1, 0): 5 / 8, (1, 1): 1 / 4, (2, 4): 5 / 6, (4, 0): 2.0}
+    assert {(r.conv_id, r.turn): r.recall for r in run("rouge_l")} == {k: pytest.approx(brute(a, b) / len(a), abs=1e-8) for k, (a, b) in words.items()}
+    assert {(r.conv_id, r.turn): r.wer for r in run("word_error_rate")} == {(1, 0): 5 / 8, (1, 1): 1 / 4, (2, 4): round(5 / 6, 9), (4, 0): 2.0}

@@ -79,6 +79,17 @@ def test_normalization(value):
         T.morse_encode("x", "de")
 
 
+def test_addresses_take_linear_time(spark):
+    import time
+
+    long = ["http://" + "!" * 100_000, "http://" + "a!" * 50_000, "http://" + "(" * 100_000, "a." * 50_000]
+    start = time.perf_counter()
+    got = spark.createDataFrame([(t,) for t in long], "t string").select(T.replace_url("t").alias("t")).collect()
+    assert [r.t for r in got] == [long[0], "xxurl!", long[2], long[3]] and time.perf_counter() - start < 30
+    cases = {"see http://a.b/c(d)e. x": "see xxurl. x", "(www.a.com/x)": "(xxurl)", "a.com/- ": "a.com/- ", "no address.": "no address.", "HTTPS://x.y!": "xxurl!"}
+    assert [r.t for r in spark.createDataFrame([(t,) for t in cases], "t string").select(T.replace_url("t").alias("t")).collect()] == list(cases.values())
+
+
 def test_collation(spark):
     words = ["ไก่", "เป็ด", "หมู", "วัว", "ก้วย", "ก๋วย", "ก่วย", "กวย", "ก้วย", "ก่วย", "ก๊วย"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
