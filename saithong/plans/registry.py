@@ -540,7 +540,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from saithong.plans import more  # noqa: F401  adds its queries
+    from saithong.plans import more, published  # noqa: F401  they add their queries
 
     return dict(_QUERIES)
 
