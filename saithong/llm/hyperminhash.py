@@ -22,6 +22,7 @@ REGISTERS = 1 << P
 BANDS, ROWS = 48, 6  # a pair with a Jaccard similarity of 0.8 shares no band with a probability of 4.6e-7
 _MARGIN = 0.11  # estimates below the threshold by more are not verified: over 4 standard deviations
 _BLOCK = 512
+_TASK_ROWS = 3000  # rows of blocks in a task, about
 _BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240)
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row: its id, n_shingles (size of its set), component_id (smallest id that links reach) and kept (its id is that).
 
     A row's set holds the distinct shingles of `shingle` lower-cased words; a text with fewer words has its whole sequence as one; texts without words, and null, have none and are linked with nothing. Rows with 100 * intersection >= percent * union are linked. Ids should be distinct and not null: equal rows with one id count as one document; rows with a null id stay alone, with a null component_id, and are kept. An empty table gives no rows; other columns of docs are ignored.
-    Hashes of 64 bits stand for shingles. A link at the threshold itself is missed with a probability of less than 1e-6, a closer one with less.
+    Hashes of 64 bits stand for shingles. A link at the threshold itself is missed with a probability of about 5e-6: 4.6e-7 because no band is common, the rest because the estimate of full registers is too low; small sets, whose estimates are nearly exact, and closer pairs with less.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -256,11 +257,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     main = F.transform(upto("n_rest"), lambda j: place(0, own, j, F.lit(0)))
     rest = F.concat(F.transform(upto("n_main"), lambda i: place(0, i, own, F.lit(1))), F.transform(upto("n_rest"), lambda j: place(1, F.least(own, j), F.greatest(own, j), own)))
     left = left.select("key", "label", "a", "n", F.explode(F.when(is_main, main).otherwise(rest)).alias("p")).select("key", "p.*", "label", "a", "n")
-    with_regs = cut(left, "left").join(sets.select(F.col("id").alias("i"), "regs"), F.col("a") == F.col("i")).drop("i")
     block = ["key", "kind", "x", "y"]
-    left = cut(with_regs.groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}"), "promising")
-    left = left.join(sets.select(F.col("id").alias("i"), "half"), F.col("a") == F.col("i")).select(*block, "side", "label", "a", "half")
-    more = cut(left.groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely").distinct()
+    dealt = lambda df, rows: df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _TASK_ROWS)), *block)  # noqa: E731  by rows, not bytes: these stages compute much for little data
+    left = cut(left, "left")
+    with_regs = left.join(sets.select(F.col("id").alias("i"), "regs"), F.col("a") == F.col("i")).drop("i")
+    left = cut(dealt(with_regs, left.count()).groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}"), "promising")
+    with_halves = left.join(sets.select(F.col("id").alias("i"), "half"), F.col("a") == F.col("i")).select(*block, "side", "label", "a", "half")
+    more = cut(dealt(with_halves, left.count()).groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely").distinct()
     more = _confirm(with_sets(with_sets(more, "a"), "b").select("a", "b", "s_a", "s_b"), percent)
     by = lambda side: label.select(F.col("node").alias(f"n_{side}"), F.col("label").alias(f"l_{side}"))
     more = more.join(by("a"), F.col("a") == F.col("n_a"), "left").join(by("b"), F.col("b") == F.col("n_b"), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
