@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut
+from saithong.llm.common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the smallest node that it can reach. Repeated edges, loops and either direction are fine; no edges give no rows."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    table = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
+        labels = table.select("node", "label")
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         # A label is a node too: follow its own label, and tell it what its followers have seen.
         lower = labels.join(seen, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -23,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         own = cut(own, "labels")
         jump = own.select(F.col("node").alias("l_node"), F.col("label").alias("l_label"))
         new = cut(own.join(jump, F.col("label") == F.col("l_node")).select("node", "old", F.col("l_label").alias("label")), "labels")
-        labels = new.select("node", "label")
+        drop(table, lower, own)
+        table = new
         if new.filter(F.col("label") != F.col("old")).isEmpty():
-            return labels
+            drop(both)
+            return new.select("node", "label")

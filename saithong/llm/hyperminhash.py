@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut, tidied, unused, word_numbers
+from saithong.llm.common import by_bytes, cut, drop, tidied, unused, word_numbers
 from saithong.llm.components import components
 
 P, R = 8, 10  # 2**P registers; bits of mantissa beside a leading-zero count of 6 bits
@@ -231,21 +231,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = cut(buckets.filter(F.col("hub.rep") != F.col("last")), "buckets")
     member = cut(keyed.join(buckets.select(F.col("key").alias("k"), "hub", "members"), F.col("key") == F.col("k")).select("key", "rep", "n", "hub", "members"), "members")
 
+    drop(first, buckets)
+
     ids = cut(member.groupBy("rep").agg(F.count("*").alias("times")).select(F.col("rep").alias("r")), "candidates")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     few = ids.count() <= _BROADCAST_IDS  # counted
     texts = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("r"), "left_semi")
     sets = cut(_sets(texts, shingle), "sets")
+    drop(ids)
 
     near = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("rep") != F.col("hub.rep"))
     star = member.filter(near).groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.count("*").alias("bands"))
     with_sets = lambda df, side: df.join(sets.select(F.col("id").alias(f"i_{side}"), F.col("s").alias(f"s_{side}")), F.col(side) == F.col(f"i_{side}")).drop(f"i_{side}")
-    pairs = with_sets(cut(with_sets(cut(star.select("a", "b"), "star"), "a"), "half"), "b").select("a", "b", "s_a", "s_b")
-    links = cut(_confirm(pairs, percent), "links")
+    pairs = cut(with_sets(star.select("a", "b"), "a"), "half")
+    links = cut(_confirm(with_sets(pairs, "b").select("a", "b", "s_a", "s_b"), percent), "links")
+    drop(pairs)
     label = components(links)
+    drop(links)
 
     # Buckets that still hold several components: all pairs between them, in blocks. The largest component needs none within itself, so only the others' rows are repeated for each of its blocks.
     labelled = cut(member.filter("members > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("a"), "n", F.coalesce("label", "rep").alias("label")), "labelled")
+    drop(member)
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     several = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
     several = cut(several.select("k", F.col("most.label").alias("main"), F.ceil(F.col("most.c") / _BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("most.c")) / _BLOCK).cast("int").alias("n_rest")), "several")
@@ -260,20 +266,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     block = ["key", "kind", "x", "y"]
     dealt = lambda df, rows: df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _TASK_ROWS)), *block)  # noqa: E731  by rows, not bytes: these stages compute much for little data
     left = cut(left, "left")
+    drop(labelled, several)
     with_regs = left.join(sets.select(F.col("id").alias("i"), "regs"), F.col("a") == F.col("i")).drop("i")
+    blocks = left
     left = cut(dealt(with_regs, left.count()).groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}"), "promising")
+    drop(blocks)
     with_halves = left.join(sets.select(F.col("id").alias("i"), "half"), F.col("a") == F.col("i")).select(*block, "side", "label", "a", "half")
-    more = cut(dealt(with_halves, left.count()).groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely").distinct()
-    more = _confirm(with_sets(with_sets(more, "a"), "b").select("a", "b", "s_a", "s_b"), percent)
+    likely = cut(dealt(with_halves, left.count()).groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely")
+    more = _confirm(with_sets(with_sets(likely.distinct(), "a"), "b").select("a", "b", "s_a", "s_b"), percent)
     by = lambda side: label.select(F.col("node").alias(f"n_{side}"), F.col("label").alias(f"l_{side}"))
     more = more.join(by("a"), F.col("a") == F.col("n_a"), "left").join(by("b"), F.col("b") == F.col("n_b"), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    top = components(cut(more, "more"))
+    more = cut(more, "more")
+    drop(sets, left, likely)
+    top = components(more)
+    drop(more)
 
     before = label.select(F.col("node").alias("l_node"))
     label = label.join(top.select(F.col("node").alias("t_node"), F.col("label").alias("t_label")), F.col("label") == F.col("t_node"), "left").select("node", F.coalesce("t_label", "label").alias("label"))
     alone = top.join(before, F.col("node") == F.col("l_node"), "left_anti").select("node", "label")
     label = cut(label.unionByName(alone), "labels")
     known = cut(classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component_id")), "known")
+    drop(classes)
     out = rows.select("id", "n", "digest").join(known, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut, let, unused
+from saithong.llm.common import cut, drop, let, unused
 from saithong.llm.components import components
 
 EDITS = 2
@@ -141,11 +141,16 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     here = cut(indexed.join(few, F.col("key") == F.col("m")).select("a", "key", F.pmod(F.col("a"), "parts").cast("int").alias("part")), "here")
     there = cut(probing.join(few, F.col("k") == F.col("m")).select("b", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of")), "there")
 
+    drop(distinct, met)
+
     ids = cut(here.select(F.col("a").alias("i")).union(there.select("b")).distinct(), "ids")
     texts = lines.select("id", "line").join(small(ids), F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = cut(texts.withColumn("n", F.length("line")).select("id", "line", "n", own.alias("own"), F.concat(own, probes).alias("all"), marks(F.col("line")).alias("marks")), "texts")
+    drop(ids)
+    keyed = here, there
     here = cut(here.join(texts.select("id", F.col("line").alias("l_a"), F.col("n").alias("n_a"), "own", F.col("marks").alias("m_a")), F.col("a") == F.col("id")).drop("id"), "here")
     there = cut(there.join(texts.select("id", F.col("line").alias("l_b"), F.col("n").alias("n_b"), "all", F.col("marks").alias("m_b")), F.col("b") == F.col("id")).drop("id"), "there")
+    drop(*keyed, texts)
     # Each pair is verified once, under its smallest common key, and within the join, so that no pairs but links leave it.
     once = (F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))
     first_key = F.array_min(F.array_intersect("own", "all")) == F.col("key")
@@ -154,6 +159,7 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Most pairs that share but a segment, of lines from one template say, are told apart by their marks, at the cost of a few operations.
     near = (F.col("key") == F.col("k")) & (F.col("part") == F.col("of")) & (F.col("a") != F.col("b")) & F.when(~once | (_different_marks("m_a", "m_b") > 4 * edits), False).when(~first_key, False).otherwise(alike)
     links = cut(here.join(there, near).select(F.col("a"), F.col("b")), "links")
+    drop(here, there)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("links"))
     label = components(links)
