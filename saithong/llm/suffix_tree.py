@@ -26,14 +26,14 @@ GAIN = 6.0  # nats by which a context's next words must be likelier than in its
 _LEAST = 2  # occurrences of a context
 _SLICE = 1_000_000  # tokens whose keys share a bucket, about
 _END, _BEGIN = b"\n", b"\n\n"  # stand behind and before a text; no word has white space
-_PIECE = 128 << 10  # bytes of a block in a row
+_PIECE = 64 << 10  # bytes of a block in a row
 _RAW = 5  # bytes of a difference between keys that are stored as they are
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
         column = pc.fill_null(b.column("text"), "")
-        for start, end in by_bytes(column, 6 << 20):
+        for start, end in by_bytes(column, 4 << 20):
             yield b.slice(start, end - start), column[start:end]
 
 
