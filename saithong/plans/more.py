@@ -600,3 +600,44 @@ def wordnet_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = senses.filter("lang = 'en'").withColumn("lemma", F.lower("lemma"))
     base = W.morphy(words.select(F.concat(F.lower("word"), F.lit("s")).alias("word")), low, [("s", ""), ("es", "")], "en").select("word", F.col("base").alias("found"), F.lit("base").alias("kind"))
     return there.unionByName(alike).unionByName(base)
+
+
+# Streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Events as a stream, and a new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    schema = _table(spark, sf_dir, "events").schema
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{shared.rstrip('/')}/saithong/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='saithong-')}"
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event*.parquet"), folder
+
+
+@query("""
+WITH t AS (SELECT date_trunc('day', ts) AS start, unnest(regexp_extract_all(event_type || ' ' || props, '[a-z]+')) AS token FROM events)
+SELECT CAST(start AS VARCHAR) AS start, token, count(*) AS n FROM t GROUP BY ALL""")
+def stream_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of events' types and properties, counted day by day as a stream."""
+    from saithong.streaming import tokens as K
+
+    events, folder = _stream(spark, sf_dir)
+    words = events.select("ts", F.regexp_extract_all(F.concat_ws(" ", "event_type", "props"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    return K.run_to_end(K.windowed_counts(words, "tokens", "ts", window="1 day"), folder).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "token", "n")
+
+
+@query("""
+WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users in the stream of events."""
+    from saithong.streaming import tokens as K
+
+    events, folder = _stream(spark, sf_dir)
+    clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return K.run_to_end(K.sessions(events, "user_id", "ts"), folder).select("user_id", clock("start"), clock("end"), "n")
