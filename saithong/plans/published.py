@@ -85,13 +85,13 @@ _published("tcc_p_examples", FINE_CLUSTERS, lambda w: S.subword_tokenize(w, "tcc
 _published("royin_examples", ROMANIZED, lambda w: X.romanize(F.split(w, r"\|")))
 _published("braille_examples", BRAILLE, X.braille)
 _published("complete_soundex_examples", COMPLETE_SOUNDEX, lambda w: L.soundex(w, "complete_soundex"))
-_published("syllable_sound_examples", _inverted(SYLLABLES), L.arrow(L.sound_syllable, "string"))
-_published("tone_examples", _inverted(TONES), L.arrow(L.tone, "string"))
+_published("syllable_sound_examples", _inverted(SYLLABLES), lambda w: L.arrow(L.sound_syllable, "string")(w))
+_published("tone_examples", _inverted(TONES), lambda w: L.arrow(L.tone, "string")(w))
 _published("old_spelling_examples", OLD_SPELLING, lambda w: X.aksonhan_to_current(w, ["ถนน", "สรรเพชญ"]))
 _published("pali_examples", PALI, X.pronounce_pali)
 _published("spelling_examples", SPELLED, X.spell_out)
 _published("rtgs_examples", RTGS, X.ipa_to_rtgs)
 _published("domain_examples", DOMAINS, L.to_idna)
-_published("vowel_examples", _inverted(VOWELS), L.arrow(P.vowel, "string"))
-_published("final_examples", _inverted(FINALS), L.arrow(P.final, "string"))
+_published("vowel_examples", _inverted(VOWELS), lambda w: L.arrow(P.vowel, "string")(w))
+_published("final_examples", _inverted(FINALS), lambda w: L.arrow(P.final, "string")(w))
 _published("common_subsequence_examples", SUBSEQUENCES, lambda w: R.lcs(F.split_part(w, F.lit("|"), F.lit(1)), F.split_part(w, F.lit("|"), F.lit(2))))

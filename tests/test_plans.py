@@ -70,3 +70,13 @@ def test_metrics_score_every_turn_whole(spark, tmp_path):
     words = {k: (a.split(" "), b.split(" ")) for k, (a, b) in pairs.items()}
     assert {(r.conv_id, r.turn): r.recall for r in run("rouge_l")} == {k: pytest.approx(brute(a, b) / len(a), abs=1e-8) for k, (a, b) in words.items()}
     assert {(r.conv_id, r.turn): r.wer for r in run("word_error_rate")} == {(1, 0): 5 / 8, (1, 1): 1 / 4, (2, 4): round(5 / 6, 9), (4, 0): 2.0}
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q), len(o))"], capture_output=True, text=True, cwd=Path(__file__).parent.parent, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert min(map(int, said.stdout.split())) > 90
