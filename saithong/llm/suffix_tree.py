@@ -215,14 +215,14 @@ class _Block:
             elsewhere = np.zeros_like(elsewhere)
 
     def asks(self, turn: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first), twice that and one more if other texts have them; and nats by which the next words of contexts, of turn - 2 words or in the last turn of as many as there are, are likelier than in the suffix's state."""
+        """(kind, sorted keys, values to add up) of a turn: how often training texts have phrases of turn + 1 words (and words, in the first), twice that and one more if other texts have them; and nats by which the next words of contexts are likelier than in the suffix's state: of single words in the second turn, of others when they weigh least on the disks, a turn after they could."""
         if turn == 1:
             yield _counts_of(0), self.words, self.counts
         for x in self.levels(min(turn, depth)):
             if isinstance(x, _Unknown):
                 keys, of = np.unique(x.keys, return_inverse=True)
                 yield _counts_of(x.level), keys, 2 * np.bincount(of, x.train, len(keys)).astype(np.int64) + (np.bincount(of, ~x.train, len(keys)) > 0)
-            elif turn == min(x.level + 2, depth + 1) and (told := x.told()).any():
+            elif turn == (min(x.level + 2, depth + 1) if x.level > 1 else 2) and (told := x.told()).any():
                 keys, of = np.unique(x.context[told], return_inverse=True)
                 nats = self.train[x.at[told]] * np.log(x.sure[told] / x.lower[told])
                 yield _stays(x.level), keys, np.bincount(of, nats, len(keys)).astype(np.float32)
