@@ -240,18 +240,21 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID_SQL = f"WITH w AS (SELECT o_orderkey, {_sql_parts('o_orderkey')} AS words, CAST(day(o_orderdate) AS VARCHAR) AS d, {_MONTHS}[month(o_orderdate)] AS m FROM orders)"
 
 
-@query(f"""{_SAID_SQL}
-SELECT o_orderkey, words || [d, m] AS newmm, words || [' ', d, ' ', m] AS longest, words || [' ', d, ' ', m] AS mm, words || [' ', d, ' ', m] AS safe, words || [' ', d, ' ', m] AS spans FROM w""")
-def newmm_on_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in words and dates, cut by each engine with a dictionary of their words: one Arrow function for all."""
+def _engines(spark: SparkSession, sf_dir: str, **engines) -> DataFrame:
+    """Numbers in words and dates, cut by engines (functions of a text and a dictionary) with a dictionary of their words: one Arrow function for all, so that texts reach Python once."""
     given = S.broadcast_words(spark, [*_NUMBER_WORDS, *D.MONTHS])
+    cut = lambda t: {k: f(t, S.dictionary_of(given)) for k, f in engines.items()}
+    return _spoken(spark, sf_dir).select("o_orderkey", L.arrow(cut, f"struct<{','.join(f'{n}:array<string>' for n in engines)}>")("said").alias("x")).select("o_orderkey", "x.*")
+
+
+@query(f"{_SAID_SQL} SELECT o_orderkey, words || [d, m] AS newmm, words || [' ', d, ' ', m] AS longest FROM w")
+def newmm_on_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engines(spark, sf_dir, newmm=lambda t, d: S.tokenize(t, d, keep_whitespace=False), longest=lambda t, d: S.tokenize(t, d, "longest"))
 
-    def cut(t: str) -> dict[str, list[str]]:
-        d = S.dictionary_of(given)
-        return {"newmm": S.tokenize(t, d, keep_whitespace=False), "longest": S.tokenize(t, d, "longest"), "mm": S.tokenize(t, d, "mm"), "safe": S.tokenize(t, d, "newmm-safe"), "spans": S.multi_cut(t, d)}
 
-    names = ("newmm", "longest", "mm", "safe", "spans")
-    return _spoken(spark, sf_dir).select("o_orderkey", L.arrow(cut, f"struct<{','.join(f'{n}:array<string>' for n in names)}>")("said").alias("x")).select("o_orderkey", "x.*")
+@query(f"{_SAID_SQL} SELECT o_orderkey, words || [' ', d, ' ', m] AS mm, words || [' ', d, ' ', m] AS safe, words || [' ', d, ' ', m] AS spans FROM w")
+def engines_on_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engines(spark, sf_dir, mm=lambda t, d: S.tokenize(t, d, "mm"), safe=lambda t, d: S.tokenize(t, d, "newmm-safe"), spans=S.multi_cut)
 
 
 @query(f"""
