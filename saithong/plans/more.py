@@ -482,6 +482,18 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sentence_vectors(p, "tokens", vectors, "p_partkey").withColumn("value", F.round("value", 9))
 
 
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ') || [p_type]) AS word FROM part),
+u AS (SELECT p_partkey, word, length(word) / sqrt(length(word) * length(word) + ascii(word) * ascii(word)) AS x, ascii(word) / sqrt(length(word) * length(word) + ascii(word) * ascii(word)) AS y FROM w),
+m AS (SELECT p_partkey, avg(x) AS mx, avg(y) AS my FROM u GROUP BY p_partkey)
+SELECT p_partkey, arg_min(word, (round(x * mx + y * my, 12), word)) AS word FROM u JOIN m USING (p_partkey) GROUP BY p_partkey""")
+def odd_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a part's words the one whose vector (its length and first letter) is farthest from the others'."""
+    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("word"))
+    vectors = words.select("word").distinct().select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double")).alias("vector"))
+    return E.odd_one_out(words, vectors, "p_partkey")
+
+
 # Calendars, sentences, tags, spelling, word nets
 
 _LUNAR = """

@@ -52,6 +52,10 @@ VOWELS = {
 FINALS = {
     "กง": ["ปลิง", "ยูง", "กล่อง", "สอง", "งง", "ผึ้ง", "หนึ่ง", "แข็ง", "เริง", "เรื่อง"], "กม": ["ลม", "เข็ม", "จาม", "ยิ้ม", "รมย์", "พิมพ์", "กรม", "ธรรม"], "เกย": ["สวย", "โปรย", "เนย", "คอย", "ง่าย", "เลื่อย", "เลย"], "เกอว": ["สาว", "นิ้ว", "แมว", "ดาว", "เกียว", "เหว"], "กก": ["บก", "โรค", "ลาก", "นัข", "ตรึก", "เงือก", "พวก"],
 }
+IPA = {"กา": "kaː˧", "แมว": "mɛːw˧", "คน": "kʰon˧", "กะ": "kaʔ˨˩"}
+THREE_SYSTEMS = {"กา": ["gaa", "ka", "kaː˧"], "คน": ["kon", "khon", "kʰon˧"]}
+CLOCK = {"บ่ายโมงครึ่ง": "13:30", "เที่ยงคืนหนึ่งนาที": "00:01", "ตีสามสิบห้า": "03:15", "หกโมงเช้า": "06:00"}
+RHYMING = {"กา": ["นา", "ตา", "กา", "ปลา"], "ตี": ["ตี", "มี", "ดี"], "นก": ["นก", "รก", "บก"], "แมว": ["แมว", "แถว"]}
 SUBSEQUENCES = {"ABCBDAB|BDCAB": "BDAB", "AGGTAB|GXTXAYB": "GTAB", "ABCDGH|AEDFHR": "ADH", "|": "", "ABC|": "", "A|B": "", "ABC|AC": "AC", "ภาษาไทย|ไทย": "ไทย"}
 
 
@@ -95,3 +99,19 @@ _published("domain_examples", DOMAINS, L.to_idna)
 _published("vowel_examples", _inverted(VOWELS), lambda w: L.arrow(P.vowel, "string")(w))
 _published("final_examples", _inverted(FINALS), lambda w: L.arrow(P.final, "string")(w))
 _published("common_subsequence_examples", SUBSEQUENCES, lambda w: R.lcs(F.split_part(w, F.lit("|"), F.lit(1)), F.split_part(w, F.lit("|"), F.lit(2))))
+_published("ipa_examples", IPA, X.transliterate_syllables)
+_published("three_systems_examples", THREE_SYSTEMS, lambda w: F.array(*(X.all_systems(w)[k] for k in ("paiboon", "royin", "ipa"))))
+_published("clock_examples", CLOCK, lambda w: L.arrow(L.thaiword_to_time, "string")(w))
+
+_RHYMES = [(w, k) for k, words in RHYMING.items() for w in words]
+
+
+@query(f"""
+WITH l(word, k) AS (VALUES {', '.join(f"({_text(w)}, {_text(k)})" for w, k in _RHYMES)}),
+p AS (SELECT DISTINCT [{', '.join(_text(w) for w, _ in _RHYMES)}][p_partkey % {len(_RHYMES)} + 1] AS word FROM part)
+SELECT p.word, y.word AS rhyme FROM p JOIN l x ON x.word = p.word JOIN l y ON y.k = x.k AND y.word <> x.word""")
+def rhyming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that rhyme with those that the rows of part pick, of a list in groups that are known to rhyme."""
+    lexicon = spark.createDataFrame([(w,) for w, _ in _RHYMES], "word string")
+    word = F.get(F.array(*(F.lit(w) for w, _ in _RHYMES)), (F.col("p_partkey") % len(_RHYMES)).cast("int"))
+    return P.rhymes(_table(spark, sf_dir, "part").select(word.alias("word")).distinct(), lexicon).select("word", "rhyme")
