@@ -6,17 +6,20 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from saithong.functions.text import let as let
 
@@ -41,25 +44,96 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+_GROUP = 8 << 20  # bytes of a row group that a Python worker writes
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a table in the shared folder and read from there; survives lost executors. What was shuffled for it leaves the disks once it is written. The table goes when drop() is called or the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saithong/{name}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a query run inside leaves the disks when the query ends."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a table in the shared folder and read from there; survives lost executors. What was shuffled for it leaves the disks once it is written. The table goes when drop() is called or the application ends."""
+    path = f"{shared_dir(df.sparkSession)}/saithong/{name}-{uuid.uuid4().hex}"
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
+    return _table(df.sparkSession, path, df.schema)
+
+
+def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     _folder(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     table._cut_at = path
     return table
 
 
+def _files(folder: str, run: Callable | None) -> Callable:
+    """A function for mapInArrow that writes what it gets, or what run makes of it, to a file in folder, and returns the file's name; nothing makes no file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
+        with contextlib.ExitStack() as files:
+            for group in _groups(run(batches) if run else batches):
+                group = group.cast(pa.schema([(f.name, _nullable(f.type)) for f in group.schema]))
+                if writer is None:
+                    writer = files.enter_context(pq.ParquetWriter(f"{folder}/{name}", group.schema, use_dictionary=False))
+                writer.write_table(group)
+        if writer is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    if run:
+        write.__module__ = run.__module__
+    return tidied(write)
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with parts that may be null: a struct that is null has null parts, whatever its type says of them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return pa.map_(_nullable(kind.key_type), _nullable(kind.item_type)) if pa.types.is_map(kind) else kind
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of consecutive batches, about _GROUP bytes or more of each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= _GROUP:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cut_by_workers(df: DataFrame, name: str, run: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """cut(), or that of df.mapInArrow(run, schema), but for the files, which Python workers write if the shared folder is a local or mounted one.
+
+    Hadoop's local file system starts a process (chmod) for each folder and several for each file that it makes, and until such a process runs its own program it holds the executor's memory a second time. Workers start none. They write to a folder of files not yet in the table; only those of the attempts that counted are moved to it. What a Python function returns should be dealt out anew (repartition) before, or run be that function, so that a task has one worker.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saithong/{name}-{uuid.uuid4().hex}"
+    if _folder(spark, path).getUri().getScheme() != "file":
+        return cut(df.mapInArrow(tidied(run), schema) if run else df, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+    os.makedirs(f"{folder}/_temporary")
+    with _cleaned(spark):
+        made = df.mapInArrow(_files(f"{folder}/_temporary", run), "name string").collect()
+    for row in made:
+        os.replace(f"{folder}/_temporary/{row['name']}", f"{folder}/{row['name']}")
+    shutil.rmtree(f"{folder}/_temporary")
+    return _table(spark, path, StructType.fromDDL(schema) if run else df.schema)
+
+
 def _folder(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saithong.llm.common import cut, drop
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of edges (a, b): label is the smallest node that it can reach. Repeated edges, loops and either direction are fine; no edges give no rows."""
+def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
+    """(node, label) for each node of edges (a, b): label is the smallest node that it can reach. Repeated edges, loops and either direction are fine; no edges give no rows. cut: how steps are written."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "edges")
     table = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")

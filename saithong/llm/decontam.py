@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import cut, tidied, unused, word_numbers
+from saithong.llm.common import cut, cut_by_workers, tidied, unused, word_numbers
 
 WINDOW = 13
 _BLOCK_BYTES = 4 << 20
@@ -143,7 +143,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if texts:
             yield flush()
 
-    return cut(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"{INDEX}, ids array<{kind}>, block string"), "postings")
+    return cut_by_workers(docs.select(F.col(id_col), F.col(text_col)), "postings", run, f"{INDEX}, ids array<{kind}>, block string")
 
 
 def phrases_of(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, list[str | None]]:

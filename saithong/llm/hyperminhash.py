@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, cut, drop, tidied, unused, word_numbers
+from saithong.llm.common import by_bytes, cut_by_workers, drop, tidied, unused, word_numbers
 from saithong.llm.components import components
 
 P, R = 8, 10  # 2**P registers; bits of mantissa beside a leading-zero count of 6 bits
@@ -116,7 +116,7 @@ def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                 digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array(sizes), digest, bands], ["id", "n", "digest", "bands"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, n bigint, digest binary, bands array<bigint>")
+    return cut_by_workers(docs.select(F.col(id_col), F.col(text_col)), "signatures", run, f"id {kind}, n bigint, digest binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 sets = shingle_sets(texts[start:end], n)
                 yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()), pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["id", "s", "half", "regs"])
 
-    return docs.mapInArrow(tidied(run), f"id {kind}, s binary, half binary, regs binary")
+    return cut_by_workers(docs, "sets", run, f"id {kind}, s binary, half binary, regs binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -138,9 +138,8 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(percent: int):
     """Links (a, b) among pairs (a, b, s_a, s_b): those whose estimate comes near the threshold and whose full sets reach it."""
-    kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +150,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(likely and _similar(a, b, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(tidied(run), f"a {kind}, b {kind}")
+    return run
 
 
 def _likely(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[float, int, int]]:
@@ -221,40 +220,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = cut(_signatures(docs, shingle, id_col, text_col), "signatures")
+    rows = _signatures(docs, shingle, id_col, text_col)
     linked = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = cut(linked.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    first = cut(linked.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep"))).select("rep", "n", "bands"), "first")
+    classes = cut_by_workers(linked.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    first = cut_by_workers(linked.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep"))).select("rep", "n", "bands"), "first")
 
     keyed = first.select("rep", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last"), F.count("*").alias("members"))
-    buckets = cut(buckets.filter(F.col("hub.rep") != F.col("last")), "buckets")
-    member = cut(keyed.join(buckets.select(F.col("key").alias("k"), "hub", "members"), F.col("key") == F.col("k")).select("key", "rep", "n", "hub", "members"), "members")
+    buckets = cut_by_workers(buckets.filter(F.col("hub.rep") != F.col("last")), "buckets")
+    member = cut_by_workers(keyed.join(buckets.select(F.col("key").alias("k"), "hub", "members"), F.col("key") == F.col("k")).select("key", "rep", "n", "hub", "members"), "members")
 
     drop(first, buckets)
 
-    ids = cut(member.groupBy("rep").agg(F.count("*").alias("times")).select(F.col("rep").alias("r")), "candidates")
+    ids = cut_by_workers(member.groupBy("rep").agg(F.count("*").alias("times")).select(F.col("rep").alias("r")), "candidates")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     few = ids.count() <= _BROADCAST_IDS  # counted
     texts = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("r"), "left_semi")
-    sets = cut(_sets(texts, shingle), "sets")
+    sets = _sets(texts, shingle)
     drop(ids)
 
     near = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("rep") != F.col("hub.rep"))
     star = member.filter(near).groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.count("*").alias("bands"))
     with_sets = lambda df, side: df.join(sets.select(F.col("id").alias(f"i_{side}"), F.col("s").alias(f"s_{side}")), F.col(side) == F.col(f"i_{side}")).drop(f"i_{side}")
-    pairs = cut(with_sets(star.select("a", "b"), "a"), "half")
-    links = cut(_confirm(with_sets(pairs, "b").select("a", "b", "s_a", "s_b"), percent), "links")
+    pairs = cut_by_workers(with_sets(star.select("a", "b"), "a"), "half")
+    links = cut_by_workers(with_sets(pairs, "b").select("a", "b", "s_a", "s_b"), "links", _confirmed(percent), f"a {kind}, b {kind}")
     drop(pairs)
-    label = components(links)
+    label = components(links, cut_by_workers)
     drop(links)
 
     # Buckets that still hold several components: all pairs between them, in blocks. The largest component needs none within itself, so only the others' rows are repeated for each of its blocks.
-    labelled = cut(member.filter("members > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("a"), "n", F.coalesce("label", "rep").alias("label")), "labelled")
+    labelled = cut_by_workers(member.filter("members > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("a"), "n", F.coalesce("label", "rep").alias("label")), "labelled")
     drop(member)
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     several = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
-    several = cut(several.select("k", F.col("most.label").alias("main"), F.ceil(F.col("most.c") / _BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("most.c")) / _BLOCK).cast("int").alias("n_rest")), "several")
+    several = cut_by_workers(several.select("k", F.col("most.label").alias("main"), F.ceil(F.col("most.c") / _BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("most.c")) / _BLOCK).cast("int").alias("n_rest")), "several")
     left = labelled.join(several, F.col("key") == F.col("k"))
     is_main, h = F.col("label") == F.col("main"), F.xxhash64("a")
     own = F.when(is_main, F.pmod(h, "n_main")).otherwise(F.pmod(h, "n_rest")).cast("int")
@@ -265,27 +264,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = left.select("key", "label", "a", "n", F.explode(F.when(is_main, main).otherwise(rest)).alias("p")).select("key", "p.*", "label", "a", "n")
     block = ["key", "kind", "x", "y"]
     dealt = lambda df, rows: df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _TASK_ROWS)), *block)  # noqa: E731  by rows, not bytes: these stages compute much for little data
-    left = cut(left, "left")
+    left = cut_by_workers(left, "left")
     drop(labelled, several)
     with_regs = left.join(sets.select(F.col("id").alias("i"), "regs"), F.col("a") == F.col("i")).drop("i")
     blocks = left
-    left = cut(dealt(with_regs, left.count()).groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}"), "promising")
+    left = cut_by_workers(dealt(with_regs, left.count()).groupBy(*block).applyInArrow(_promising(percent), f"key bigint, kind int, x int, y int, side int, label {kind}, a {kind}").repartition(*block), "promising")
     drop(blocks)
     with_halves = left.join(sets.select(F.col("id").alias("i"), "half"), F.col("a") == F.col("i")).select(*block, "side", "label", "a", "half")
-    likely = cut(dealt(with_halves, left.count()).groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}"), "likely")
-    more = _confirm(with_sets(with_sets(likely.distinct(), "a"), "b").select("a", "b", "s_a", "s_b"), percent)
+    likely = cut_by_workers(dealt(with_halves, left.count()).groupBy(*block).applyInArrow(_joined_in_block(percent), f"a {kind}, b {kind}").distinct(), "likely")
+    more = with_sets(with_sets(likely, "a"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidied(_confirmed(percent)), f"a {kind}, b {kind}")
     by = lambda side: label.select(F.col("node").alias(f"n_{side}"), F.col("label").alias(f"l_{side}"))
     more = more.join(by("a"), F.col("a") == F.col("n_a"), "left").join(by("b"), F.col("b") == F.col("n_b"), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    more = cut(more, "more")
+    more = cut_by_workers(more.distinct(), "more")
     drop(sets, left, likely)
-    top = components(more)
+    top = components(more, cut_by_workers)
     drop(more)
 
     before = label.select(F.col("node").alias("l_node"))
     label = label.join(top.select(F.col("node").alias("t_node"), F.col("label").alias("t_label")), F.col("label") == F.col("t_node"), "left").select("node", F.coalesce("t_label", "label").alias("label"))
     alone = top.join(before, F.col("node") == F.col("l_node"), "left_anti").select("node", "label")
-    label = cut(label.unionByName(alone), "labels")
-    known = cut(classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component_id")), "known")
+    label = cut_by_workers(label.unionByName(alone), "labels")
+    known = cut_by_workers(classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component_id")), "known")
     drop(classes)
     out = rows.select("id", "n", "digest").join(known, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
@@ -297,16 +296,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", shingle=shingle, percent=percent)
     small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
-    rows = cut(found.groupBy("key", F.col("component_id").alias("component")).agg(F.count("*").alias("n")), "components")
+    rows = cut_by_workers(found.groupBy("key", F.col("component_id").alias("component")).agg(F.count("*").alias("n")), "components")
     # Keys of groups of several: those that aren't their component's own, and these components. No join deals rows by component, which a large group would make hot.
     others = rows.filter(F.col("key") != F.col("component")).select("key", "component")
-    members = cut(others.unionByName(others.groupBy(F.col("component").alias("key")).agg(F.first("component").alias("component"))), "members")
+    members = cut_by_workers(others.unionByName(others.groupBy(F.col("component").alias("key")).agg(F.first("component").alias("component"))), "members")
     ids = docs.select(key.alias("k"), F.col(id_col).alias("id")).join(small(members), F.col("k") == F.col("key")).select("key", "component", "id")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("stays"))
     bad, again = unused(docs, "dropped_key", "repeated_key")
-    dropped = cut(members.join(first, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias(bad)), "dropped")
+    dropped = cut_by_workers(members.join(first, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias(bad)), "dropped")
     out = docs.join(small(dropped), key == F.col(bad), "left_anti")
-    repeated = cut(rows.filter("n > 1").join(dropped, F.col("key") == F.col(bad), "left_anti").select(F.col("key").alias(again)), "repeated")
+    repeated = cut_by_workers(rows.filter("n > 1").join(dropped, F.col("key") == F.col(bad), "left_anti").select(F.col("key").alias(again)), "repeated")
     if repeated.isEmpty():
         return out
     repeated = small(repeated)

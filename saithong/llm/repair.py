@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saithong.llm.common import by_bytes, coded_words, cut, held, tidied
+from saithong.llm.common import by_bytes, coded_words, cut_by_workers, held, tidied
 
 END = 1
 _MEMO = 500_000
@@ -265,7 +265,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // _ROWS))
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
     ordered = rows.repartitionByRange(parts, F.col(id_col), F.col("text_hash")).sortWithinPartitions(id_col, "text_hash").drop("text_hash")
-    return cut(ordered.mapInArrow(tidied(run), f"{SHARD}, doc_ids array<{kind}>"), "shards")
+    return cut_by_workers(ordered, "shards", run, f"{SHARD}, doc_ids array<{kind}>")
 
 
 class Shard:

@@ -718,3 +718,36 @@ def test_grammar_of_many_ids():
         row = _shard(0, 0, [ids], [np.full(200, len(ids) // 200)], n_ids)
         shard = Shard(dict(zip("part shard n_ids width n_tokens rules lengths symbols doc_sizes doc_symbols".split(), row, strict=True)))
         assert (shard.all() == ids).all() and len(shard.symbols) < len(ids)
+
+
+def test_tables_by_workers(spark):
+    import pyarrow.compute as pc
+
+    from saithong.llm.common import cut_by_workers, drop
+
+    df = spark.range(25_000).selectExpr("id", "cast(id as string) s", "if(id % 3 = 0, null, named_struct('a', id, 'b', array(id, null))) t", "cast(cast(id as string) as binary) b", "cast(id / 7 as decimal(20, 4)) d", "timestamp_seconds(id) at", "date_add(date '1500-01-01', cast(id as int)) day")
+    table = cut_by_workers(df, "own")
+    assert table.schema.simpleString() == df.schema.simpleString()
+    assert table.exceptAll(df).isEmpty() and table.count() == 25_000
+    odd = cut_by_workers(df.select("id"), "own", lambda batches: (b.filter(pc.equal(pc.bit_wise_and(b.column(0), 1), 1)) for b in batches), "id bigint")
+    assert odd.count() == 12_500 and odd.filter("id % 2 = 0").isEmpty()
+    none = cut_by_workers(df.filter("id < 0"), "own")
+    assert none.collect() == [] and none.schema.simpleString() == df.schema.simpleString()
+    drop(table, odd, none)
+
+
+def test_near_duplicates_start_no_processes(spark):
+    """Hadoop's local file system writes a .crc file beside each file, and starts processes for each of both."""
+    from pathlib import Path
+
+    from saithong.llm.common import shared_dir
+    from saithong.llm.hyperminhash import keep_one
+
+    folder = Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / "saithong"
+    before = set(folder.glob("*"))
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(words if i % 2 else [*words[:-1], f"own{i}"])) for i in range(40)] + [(40, "alone"), (41, None)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == [0, 40, 41]
+    tables = set(folder.glob("*")) - before
+    files = [f.name for t in tables for f in t.rglob("*") if f.is_file()]
+    assert files and not [f for f in files if f.endswith(".crc")]
