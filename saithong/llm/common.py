@@ -45,24 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _GROUP = 8 << 20  # bytes of a row group that a Python worker writes
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "16m"  # 64 MB, which is usual, are held several times over by an executor and its workers
+#: cleanup: what is shuffled for a query leaves the disks when it ends; batch: bytes of the batches that go to Python workers.
+_CONF = {"cleanup": "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "batch": "spark.sql.execution.arrow.maxBytesPerBatch"}
 
 
 @contextlib.contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """What is shuffled for a query run inside leaves the disks when the query ends."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _with_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for queries run inside, by the names in _CONF."""
+    before = {_CONF[k]: spark.conf.get(_CONF[k], None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(_CONF[k], v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to a table in the shared folder and read from there; survives lost executors. What was shuffled for it leaves the disks once it is written. The table goes when drop() is called or the application ends."""
     path = f"{shared_dir(df.sparkSession)}/saithong/{name}-{uuid.uuid4().hex}"
-    with _cleaned(df.sparkSession):
+    with _with_conf(df.sparkSession, cleanup="true"):
         df.write.parquet(path)
     return _table(df.sparkSession, path, df.schema)
 
@@ -126,7 +130,7 @@ def cut_by_workers(df: DataFrame, name: str, run: Callable | None = None, schema
         return cut(df.mapInArrow(tidied(run), schema) if run else df, name)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
     os.makedirs(f"{folder}/_temporary")
-    with _cleaned(spark):
+    with _with_conf(spark, cleanup="true", batch=_BATCH):
         made = df.mapInArrow(_files(f"{folder}/_temporary", run), "name string").collect()
     for row in made:
         os.replace(f"{folder}/_temporary/{row['name']}", f"{folder}/{row['name']}")
